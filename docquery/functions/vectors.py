@@ -6,7 +6,7 @@ A hashed embedding is a sparse vector ``array<struct<b:int, c:int>>`` sorted by
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquery import config as C
@@ -27,33 +27,47 @@ def token_bucket(token) -> Column:
     return F.pmod(h, F.lit(C.EMBED_BUCKETS)).cast("int")
 
 
-def hashed_embedding(text) -> Column:
-    """Sparse token-count vector of a text, sorted by bucket."""
-    s = F.array_sort(F.transform(tokens(text), token_bucket))
-    n = F.size(s)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                      lambda i: (n > 0) & ((i == 1) | (F.try_element_at(s, i) != F.try_element_at(s, F.greatest(i - 1, F.lit(1))))))
-    entries = F.transform(
-        starts,
-        lambda st, j: F.struct(F.try_element_at(s, st).alias("b"),
-                               (F.coalesce(F.try_element_at(starts, j + 2), n + 1) - st).alias("c")))
-    return entries
+def with_embedding(df: DataFrame, text_col: str, out: str = "vector", norm_out: str | None = "norm2") -> DataFrame:
+    """Add the sparse token-count vector of ``text_col`` (sorted by bucket) and its squared norm.
+
+    Built in staged columns (sorted buckets → run starts → (bucket, count) runs) so that every array is
+    computed once per row; a lambda that referenced an un-materialised array would recompute it per
+    element.
+    """
+    hb, hs = f"_{out}_b", f"_{out}_s"
+    df = df.withColumn(hb, F.array_sort(F.transform(tokens(F.col(text_col)), token_bucket)))
+    s, n = F.col(hb), F.size(F.col(hb))
+    df = df.withColumn(hs, F.filter(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+        lambda i: (F.size(F.col(hb)) > 0)
+        & ((i == 1) | (F.try_element_at(s, i) != F.try_element_at(s, F.greatest(i - 1, F.lit(1)))))))
+    st = F.col(hs)
+    df = df.withColumn(out, F.transform(
+        st, lambda x, j: F.struct(F.try_element_at(s, x).alias("b"),
+                                  (F.coalesce(F.try_element_at(st, j + 2), F.size(s) + 1) - x).alias("c"))))
+    df = df.drop(hb, hs)
+    if norm_out:
+        df = df.withColumn(norm_out, sparse_norm2(out))
+    return df
 
 
 def sparse_norm2(v) -> Column:
     return F.aggregate(_col(v), F.lit(0).cast("bigint"), lambda acc, e: acc + e["c"].cast("bigint") * e["c"])
 
 
-def sparse_dot(a, b) -> Column:
-    """Integer dot product: merge both sorted bucket lists; equal neighbours are the shared buckets."""
-    m = F.array_sort(F.concat(_col(a), _col(b)))
-    k = F.size(m)
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), F.lit(0).cast("bigint"),
+def with_sparse_cosine(df: DataFrame, a: str, b: str, na: str, nb: str, out: str = "cosine") -> DataFrame:
+    """Integer dot product by merging both sorted bucket lists (equal neighbours are shared buckets),
+    then ``dot / sqrt(na * nb)``."""
+    mc = f"_{out}_m"
+    df = df.withColumn(mc, F.array_sort(F.concat(F.col(a), F.col(b))))
+    m = F.col(mc)
+    dot = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.size(m) - 1, F.lit(1))), F.lit(0).cast("bigint"),
         lambda acc, i: acc + F.coalesce(
             F.when(F.try_element_at(m, i)["b"] == F.try_element_at(m, i + 1)["b"],
                    F.try_element_at(m, i)["c"].cast("bigint") * F.try_element_at(m, i + 1)["c"]),
             F.lit(0).cast("bigint")))
+    return df.withColumn(out, cosine_from_parts(dot, na, nb)).drop(mc)
 
 
 def cosine_from_parts(dot, n1, n2) -> Column:
@@ -62,12 +76,6 @@ def cosine_from_parts(dot, n1, n2) -> Column:
     return F.when(prod > 0, _col(dot).cast("double") / F.sqrt(prod)).otherwise(F.lit(0.0))
 
 
-def sparse_cosine(a, b, n1=None, n2=None) -> Column:
-    n1 = sparse_norm2(a) if n1 is None else _col(n1)
-    n2 = sparse_norm2(b) if n2 is None else _col(n2)
-    return cosine_from_parts(sparse_dot(a, b), n1, n2)
-
-
 def dense_dot(a, b) -> Column:
     """Dot product of two float arrays, summed left to right in double precision."""
     return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquery import config as C
 from docquery.functions.text import strip_all
-from docquery.functions.vectors import hashed_embedding, sparse_norm2
+from docquery.functions.vectors import with_embedding
 
 CHUNK_COLUMNS = ["context_id", "chunk_id", "title", "author", "chapter", "chapter_title",
                  "page_number", "chunk_number", "chunk_text", "subject"]
@@ -34,17 +34,19 @@ def explode_chunks(df: DataFrame, text_col: str = "text", size: int = C.CHUNK_SI
                       F.substring(F.col(text_col), F.col("chunk_number") + 1, size).alias("chunk_text")))
 
 
-def flatten_sources(pages: DataFrame, size: int = C.CHUNK_SIZE, with_vectors: bool = False) -> DataFrame:
+def flatten_sources(pages: DataFrame, size: int = C.CHUNK_SIZE, with_vectors: bool = False,
+                    extra: list[str] | None = None) -> DataFrame:
     """P2 + P3 + P4: page rows → chunk rows.
 
     ``pages``: ``context_id, title, author, chapter, chapter_title, page_number, subject, text``.
-    Titles are stripped here (after the registry keyed them unstripped).
+    Titles are stripped here (after the registry keyed them unstripped). ``extra`` columns pass through.
     """
-    base = pages.select("context_id", strip_all(F.col("title")).alias("title"), "author",
+    extra = list(extra or [])
+    base = pages.select(*extra, "context_id", strip_all(F.col("title")).alias("title"), "author",
                         F.col("chapter").cast("int").alias("chapter"), "chapter_title",
                         F.col("page_number").cast("int").alias("page_number"), "subject", "text")
     ch = explode_chunks(base, "text", size)
-    out = ch.select("context_id", chunk_id().alias("chunk_id"), "title", "author", "chapter", "chapter_title",
+    out = ch.select(*extra, "context_id", chunk_id().alias("chunk_id"), "title", "author", "chapter", "chapter_title",
                     "page_number", F.col("chunk_number").cast("int").alias("chunk_number"), "chunk_text", "subject")
     if with_vectors:
         out = with_chunk_vectors(out)
@@ -57,20 +59,20 @@ def with_chunk_vectors(chunks: DataFrame, text_col: str = "chunk_text") -> DataF
     Tokens never contain a newline or space, so the vector of ``chunk_text`` equals the vector of
     ``page_text``; it is computed once at ingest instead of once per hit.
     """
-    return (chunks.withColumn("chunk_vector", hashed_embedding(F.col(text_col)))
-                  .withColumn("vector_norm2", sparse_norm2("chunk_vector")))
+    return with_embedding(chunks, text_col, "chunk_vector", "vector_norm2")
 
 
 def documents_as_pages(documents: DataFrame) -> DataFrame:
     """Fixture mapping: every ``documents`` row is a plain-text source in context ``lang``,
     titled ``source-doc_id``, one page 0 in chapter 0, author unknown."""
     return documents.select(
-        F.col("lang").alias("context_id"),
+        "doc_id", F.col("lang").alias("context_id"),
         F.concat(F.col("source"), F.lit("-"), F.col("doc_id").cast("string")).alias("title"),
         F.lit(C.UNKNOWN_AUTHOR).alias("author"),
         F.lit(0).alias("chapter"), F.lit(C.NO_CHAPTER_TITLE).alias("chapter_title"),
         F.lit(0).alias("page_number"), F.col("lang").alias("subject"), F.col("text"))
 
 
-def document_chunks(documents: DataFrame, with_vectors: bool = False) -> DataFrame:
-    return flatten_sources(documents_as_pages(documents), with_vectors=with_vectors)
+def document_chunks(documents: DataFrame, with_vectors: bool = False, keep_doc_id: bool = False) -> DataFrame:
+    out = flatten_sources(documents_as_pages(documents), with_vectors=with_vectors, extra=["doc_id"])
+    return out if keep_doc_id else out.drop("doc_id")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquery.plans.retrieval import benchmark_queries, corpus_chunks, load, retrieve
+from docquery.config import RetrievalConfig
+from docquery.operators.rerank import answer_context, rerank, score_hits
+from docquery.plans.retrieval import benchmark_queries, corpus_chunks, label_verdicts, load, retrieve
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -23,3 +25,32 @@ def register(name: str):
 def q_search_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """R3 flagship: every benchmark question through the four-tier cascade over all document chunks."""
     return retrieve(benchmark_queries(load(spark, sf, "benchmark")), corpus_chunks(spark, sf))
+
+
+def _scored(spark: SparkSession, sf: str):
+    q = benchmark_queries(load(spark, sf, "benchmark"))
+    ch = corpus_chunks(spark, sf, keep_doc_id=True)
+    hits = retrieve(q, ch.drop("doc_id"))
+    return q, ch, hits, score_hits(hits, q, ch.drop("doc_id"))
+
+
+@register("rerank")
+def q_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine re-rank of every benchmark query's hits (threshold, top-k, collisions, citations)."""
+    _, _, _, scored = _scored(spark, sf)
+    return rerank(scored, RetrievalConfig())
+
+
+@register("apply_verdicts")
+def q_apply_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Re-rank keeping only hits whose verdict is yes (verdicts from ``labels.quality``)."""
+    _, ch, hits, scored = _scored(spark, sf)
+    v = label_verdicts(load(spark, sf, "labels"), hits, ch.select("chunk_id", "doc_id"))
+    return rerank(scored, RetrievalConfig(), v)
+
+
+@register("answer_context")
+def q_answer_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers gathered per query in answer order, with their source list."""
+    _, _, _, scored = _scored(spark, sf)
+    return answer_context(rerank(scored, RetrievalConfig()))

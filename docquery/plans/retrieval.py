@@ -31,11 +31,30 @@ def benchmark_queries(benchmark: DataFrame) -> DataFrame:
                             sanitize_keywords(raw, None, limit).alias("keywords"))
 
 
-def corpus_chunks(spark: SparkSession, sf_dir: str, with_vectors: bool = False) -> DataFrame:
-    return document_chunks(load(spark, sf_dir, "documents"), with_vectors=with_vectors)
+def corpus_chunks(spark: SparkSession, sf_dir: str, with_vectors: bool = False,
+                  keep_doc_id: bool = False) -> DataFrame:
+    return document_chunks(load(spark, sf_dir, "documents"), with_vectors=with_vectors, keep_doc_id=keep_doc_id)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
              post: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """Hits of every query (``query_id, pos, tier, pattern_no, rank, score, chunk_id``)."""
     return search_cascade(queries, chunks, cfg, post, vocab)
+
+
+def retrieve_and_rerank(queries: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
+                        verdicts: DataFrame | None = None) -> DataFrame:
+    """R3 + R4: hits, cosine scores, threshold/top-k/collisions, verdicts, citations."""
+    from docquery.operators.rerank import rerank, score_hits
+    hits = retrieve(queries, chunks, cfg)
+    return rerank(score_hits(hits, queries, chunks), cfg, verdicts)
+
+
+def label_verdicts(labels: DataFrame, hits: DataFrame, chunk_docs: DataFrame) -> DataFrame:
+    """Fixture stand-in for the model's yes/no verdict (F9): a hit's verdict is ``Yes`` when the
+    ``labels`` row of its document has ``quality = 1``; documents without a label get ``No``."""
+    j = (hits.select("query_id", "chunk_id").join(chunk_docs, "chunk_id")
+             .join(labels.select("doc_id", "quality"), "doc_id", "left"))
+    return j.select("query_id", "chunk_id",
+                    F.when(F.col("quality") == 1, F.lit("Assistant: Yes")).otherwise(F.lit("Assistant: No"))
+                    .alias("text"))

@@ -27,6 +27,9 @@ def get_session(master: str | None = None, app: str = "docquery",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # single JVM: the driver heap is the executor heap (cluster jobs size this at submit time)
+            b = b.config("spark.driver.memory", os.environ.get("DOCQUERY_DRIVER_MEMORY", "16g"))
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     if shuffle_partitions:
