@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docquery import config as C
 from docquery.config import RetrievalConfig
 from docquery.operators.rerank import answer_context, rerank, score_hits
 from docquery.plans.retrieval import benchmark_queries, corpus_chunks, label_verdicts, load, retrieve
@@ -54,3 +55,498 @@ def q_answer_context(spark: SparkSession, sf: str) -> DataFrame:
     """Answers gathered per query in answer order, with their source list."""
     _, _, _, scored = _scored(spark, sf)
     return answer_context(rerank(scored, RetrievalConfig()))
+
+
+# ---------------------------------------------------------------------------------------------
+# search internals
+# ---------------------------------------------------------------------------------------------
+from pyspark.sql import Window  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from docquery.functions.keywords import capitalize, py_title, sanitize_keywords, wildcard_form  # noqa: E402
+from docquery.functions.text import (citation, context_slug, final_answer, split_response,  # noqa: E402
+                                     summary_text, verdict_flag, wrap_dollars)
+from docquery.operators import chats as CH  # noqa: E402
+from docquery.operators import contexts as CX  # noqa: E402
+from docquery.operators import knn as KN  # noqa: E402
+from docquery.operators.chunk import flatten_sources, with_chunk_vectors  # noqa: E402
+from docquery.operators.match import match_terms, postings, vocabulary  # noqa: E402
+from docquery.operators.search import (keyword_table, pattern_hits, term_requests,  # noqa: E402
+                                       tier2_triples, tier3_pairs)
+from docquery.sources import files as FL  # noqa: E402
+from docquery.sources import text as TX  # noqa: E402
+from docquery.sources.html import with_html_paragraphs, with_html_text  # noqa: E402
+
+
+def _bq(spark, sf):
+    return benchmark_queries(load(spark, sf, "benchmark"))
+
+
+def _tier(t: int):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ph = pattern_hits(_bq(spark, sf), corpus_chunks(spark, sf))
+        return ph.where(F.col("tier") == t).select("query_id", "tier", "pattern_no", "rank", "score", "chunk_id")
+    run.__doc__ = f"T1: per-pattern top N of tier {t} for every benchmark query."
+    return run
+
+
+for _t in (1, 2, 3, 4):
+    REGISTRY[f"search_tier{_t}"] = _tier(_t)
+
+
+@register("keyword_token_matches")
+def q_keyword_token_matches(spark, sf):
+    """Every search term of the benchmark queries × matching vocabulary tokens (contains / edit distance)."""
+    terms = term_requests(keyword_table(_bq(spark, sf))).select("term", "d")
+    vocab = vocabulary(postings(corpus_chunks(spark, sf)))
+    return match_terms(terms, vocab)
+
+
+@register("keyword_patterns")
+def q_keyword_patterns(spark, sf):
+    """Tier-2 ordered triples and tier-3 ordered pairs of every benchmark query, in loop order."""
+    kw = keyword_table(_bq(spark, sf))
+    t2 = tier2_triples(kw).select("query_id", F.lit(2).alias("tier"), "pattern_no", "a", "b", "c")
+    kt = kw.select("query_id", "kw_no", "kt")
+    t3 = (tier3_pairs(kw)
+          .join(kt.withColumnRenamed("kw_no", "a_no").withColumnRenamed("kt", "a"), ["query_id", "a_no"])
+          .join(kt.withColumnRenamed("kw_no", "b_no").withColumnRenamed("kt", "b"), ["query_id", "b_no"])
+          .select("query_id", F.lit(3).alias("tier"), "pattern_no", "a", "b", F.lit(None).cast("string").alias("c")))
+    return t2.unionByName(t3)
+
+
+@register("keyword_variants")
+def q_keyword_variants(spark, sf):
+    """Each benchmark keyword with its wildcard, title, upper, lower and capitalised forms."""
+    kw = keyword_table(_bq(spark, sf))
+    return kw.select("query_id", "kw_no", "kw", "kwp", F.col("kt").alias("title_form"),
+                     F.upper("kwp").alias("upper_form"), F.lower("kwp").alias("lower_form"),
+                     capitalize(F.col("kwp")).alias("cap_form"))
+
+
+@register("sanitize_keywords")
+def q_sanitize_keywords(spark, sf):
+    """P13/F7 (N7): every benchmark text as a raw keyword answer, omit list ['The', 'and'], limit 6."""
+    b = load(spark, sf, "benchmark")
+    omit = F.array(F.lit("The"), F.lit("and"))
+    return b.select("item_id", sanitize_keywords(F.col("text"), omit, 6).alias("keywords"))
+
+
+@register("query_keywords")
+def q_query_keywords(spark, sf):
+    """R2 (fixture): the keyword list of every benchmark query (words ≥ 6 chars, N7, limit 1 + id % 6)."""
+    return _bq(spark, sf).select("query_id", "keywords", F.size("keywords").alias("n_keywords"))
+
+
+@register("hit_counts")
+def q_hit_counts(spark, sf):
+    """A1: number of hits per benchmark query (0 when nothing is found)."""
+    q = _bq(spark, sf)
+    h = retrieve(q, corpus_chunks(spark, sf)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    return (q.select("query_id").join(h, "query_id", "left")
+             .select("query_id", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits")))
+
+
+@register("attach_vectors")
+def q_attach_vectors(spark, sf):
+    """Hits joined to their chunk vectors (norm, bucket count and bucket checksum)."""
+    ch = with_chunk_vectors(corpus_chunks(spark, sf))
+    h = retrieve(_bq(spark, sf), ch.drop("chunk_vector", "vector_norm2"))
+    j = h.join(ch.select("chunk_id", "chunk_vector", "vector_norm2"), "chunk_id")
+    return j.select("query_id", "pos", "chunk_id", "vector_norm2", F.size("chunk_vector").alias("n_buckets"),
+                    F.aggregate("chunk_vector", F.lit(0).cast("bigint"),
+                                lambda a, e: a + e["b"].cast("bigint") * e["c"]).alias("checksum"))
+
+
+# ---------------------------------------------------------------------------------------------
+# chunks, embeddings, vectors
+# ---------------------------------------------------------------------------------------------
+@register("chunk_documents")
+def q_chunk_documents(spark, sf):
+    """Every document as 1000-character chunks keyed by character offset."""
+    return corpus_chunks(spark, sf).select("context_id", "chunk_id", "title", "chunk_number", "chunk_text",
+                                           F.char_length("chunk_text").alias("chunk_len"))
+
+
+@register("embed_documents")
+def q_embed_documents(spark, sf):
+    """P17 (N9): hashed token-count vector of every chunk (norm, bucket count, checksum)."""
+    ch = with_chunk_vectors(corpus_chunks(spark, sf))
+    return ch.select("chunk_id", "vector_norm2", F.size("chunk_vector").alias("n_buckets"),
+                     F.aggregate("chunk_vector", F.lit(0).cast("bigint"),
+                                 lambda a, e: a + e["b"].cast("bigint") * e["c"]).alias("checksum"))
+
+
+@register("vector_cosine")
+def q_vector_cosine(spark, sf):
+    """Cosine of every embedding with its label centroid."""
+    return KN.vector_cosine(load(spark, sf, "embeddings"))
+
+
+@register("knn_exact")
+def q_knn_exact(spark, sf):
+    """J7 exact: the 4 embeddings nearest to each label centroid."""
+    return KN.knn_exact(load(spark, sf, "embeddings"), 4)
+
+
+# ---------------------------------------------------------------------------------------------
+# row-wise text functions over the given tables
+# ---------------------------------------------------------------------------------------------
+def _model_outputs(spark, sf):
+    """Fixture model outputs: each assistant turn echoed after its prompt, as an echoing model prints."""
+    c = load(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return (c.withColumn("prev", F.lag("text").over(w))
+             .where(F.col("role") == "assistant")
+             .select("conv_id", "turn", F.concat(F.coalesce("prev", F.lit("")), F.lit("\n\nAssistant: "),
+                                                 F.col("text")).alias("raw")))
+
+
+@register("split_response")
+def q_split_response(spark, sf):
+    """P10 (N5): model output → answer text between the agent marks."""
+    m = _model_outputs(spark, sf)
+    return m.select("conv_id", "turn", split_response(F.col("raw")).alias("response"))
+
+
+@register("verdict_flag")
+def q_verdict_flag(spark, sf):
+    """yes/no verdict of every model output (``yes`` anywhere after N5, any case)."""
+    m = _model_outputs(spark, sf)
+    return m.select("conv_id", "turn", verdict_flag(F.col("raw")).alias("verdict"))
+
+
+@register("chat_summary_text")
+def q_chat_summary_text(spark, sf):
+    """Summary text of every user turn from a fixture paraphrase answer."""
+    c = load(spark, sf, "conversations").where(F.col("role") == "user")
+    raw = F.concat(F.lit('Sure! Here is the paraphrased message: "'), F.col("text"), F.lit('"'))
+    return c.select("conv_id", "turn", summary_text(raw).alias("summary"))
+
+
+def _names(spark, sf):
+    d = load(spark, sf, "documents")
+    w1 = F.coalesce(F.try_element_at(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}'-]+"), 0), F.lit(1)), F.lit(""))
+    name = F.when(F.pmod("doc_id", F.lit(4)) == 0, F.concat(F.col("doc_id").cast("string"), F.lit("-"), w1)) \
+            .otherwise(F.concat(w1, F.lit(" "), F.col("source")))
+    return d.select("doc_id", name.alias("display_name"))
+
+
+@register("context_slug")
+def q_context_slug(spark, sf):
+    """P5 (N4): context id of a display name built from every document (first word, source)."""
+    return _names(spark, sf).select("doc_id", "display_name", context_slug(F.col("display_name")).alias("context_id"))
+
+
+@register("citations")
+def q_citations(spark, sf):
+    """P12 (N6): citation of every chunk of the paged fixture (titles/authors from file names)."""
+    ch = flatten_sources(_paged(spark, sf))
+    return ch.select("chunk_id", citation().alias("source"))
+
+
+# ---------------------------------------------------------------------------------------------
+# sources
+# ---------------------------------------------------------------------------------------------
+def _files(spark, sf):
+    return FL.document_files(load(spark, sf, "documents"))
+
+
+def _sources_of_kind(spark, sf, kinds):
+    ta = FL.title_author(_files(spark, sf)).where(F.col("kind").isin(*kinds))
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("file_pos"), "text", "lang")
+    return ta.join(d, "file_pos").select(F.col("lang").alias("context_id"), "title", "author",
+                                         F.col("lang").alias("subject"), "text")
+
+
+def _paged(spark, sf):
+    return TX.paged_pages(_sources_of_kind(spark, sf, [".pdf"]))
+
+
+@register("source_dispatch")
+def q_source_dispatch(spark, sf):
+    """Suffix dispatch of the fixture file list; unknown suffixes are skipped."""
+    return FL.source_dispatch(_files(spark, sf)).select("file_pos", "path", "kind")
+
+
+@register("source_title_author")
+def q_source_title_author(spark, sf):
+    """S2 (N1): title and author of every dispatched file."""
+    return FL.title_author(_files(spark, sf))
+
+
+@register("source_registry")
+def q_source_registry(spark, sf):
+    """S3: registry keyed by unstripped title; later file wins, first position kept."""
+    return FL.source_registry(_files(spark, sf))
+
+
+@register("source_page_counts")
+def q_source_page_counts(spark, sf):
+    """Pages per paged source."""
+    return FL.source_page_counts(_paged(spark, sf))
+
+
+@register("ingest_text")
+def q_ingest_text(spark, sf):
+    """Plain-text files (.txt/.docx/.doc text) → chunks."""
+    ch = flatten_sources(TX.text_pages(_sources_of_kind(spark, sf, [".txt", ".docx", ".doc"])))
+    return ch.select("context_id", "chunk_id", "title", "author", "chunk_number", "chunk_text")
+
+
+@register("ingest_markdown")
+def q_ingest_markdown(spark, sf):
+    """Markdown files → text (native regex chain) → chunks."""
+    ch = flatten_sources(TX.markdown_pages(_sources_of_kind(spark, sf, [".md"])))
+    return ch.select("context_id", "chunk_id", "title", "author", "chunk_number", "chunk_text")
+
+
+@register("ingest_paged")
+def q_ingest_paged(spark, sf):
+    """Paged files → one page per line (0-based) → per-page chunks."""
+    ch = flatten_sources(_paged(spark, sf))
+    return ch.select("context_id", "chunk_id", "title", "author", "page_number", "chunk_number", "chunk_text")
+
+
+def _page_items(spark, sf):
+    p = load(spark, sf, "pages")
+    book = F.regexp_extract("url", r"/([a-z]{2})/", 1)
+    item = F.concat(F.when(F.col("url").contains("page="), F.lit("Chapter")).otherwise(F.lit("cover")),
+                    F.col("page_id").cast("string"), F.lit(".xhtml"))
+    return p.select(book.alias("context_id"), F.concat(F.lit("site-"), book).alias("title"),
+                    F.lit("Unknown").alias("author"), book.alias("subject"), F.col("page_id").alias("item_no"),
+                    item.alias("item_name"), "html")
+
+
+@register("ingest_html")
+def q_ingest_html(spark, sf):
+    """S5 (N2): every web page → text (stdlib parser in Arrow batches) → chunks."""
+    p = load(spark, sf, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("title"),
+                                        "url", "html")
+    t = with_html_text(p, "html", "text")
+    src = t.select(F.regexp_extract("url", r"/([a-z]{2})/", 1).alias("context_id"), "title",
+                   F.lit("Unknown").alias("author"), F.regexp_extract("url", r"/([a-z]{2})/", 1).alias("subject"),
+                   "text")
+    ch = flatten_sources(TX.text_pages(src))
+    return ch.select("context_id", "chunk_id", "title", "chunk_number", "chunk_text")
+
+
+@register("ingest_chaptered")
+def q_ingest_chaptered(spark, sf):
+    """S8 (N3): web pages as book items; chapter items numbered from 2; paragraphs → chunks."""
+    items = with_html_paragraphs(_page_items(spark, sf), "html", "paragraphs")
+    ch = flatten_sources(TX.chaptered_pages(items))
+    return ch.select("context_id", "chunk_id", "title", "chapter", "chapter_title", "chunk_number", "chunk_text")
+
+
+# ---------------------------------------------------------------------------------------------
+# contexts
+# ---------------------------------------------------------------------------------------------
+def _registry(spark, sf):
+    d = load(spark, sf, "documents")
+    base = CX.contexts_from_names(d.select(F.col("lang").alias("display_name")).distinct())
+    upd = (d.select(F.concat(F.lit("Source "), F.col("source")).alias("display_name"),
+                    F.concat(F.col("lang"), F.lit(", "), F.col("source")).alias("omit"), F.col("doc_id").alias("seq")))
+    u = CX.contexts_from_names(upd, "display_name", "omit").join(upd.select("display_name", "seq"), "display_name")
+    return CX.upsert_contexts(base, u)
+
+
+@register("context_registry")
+def q_context_registry(spark, sf):
+    """Registry of languages upserted with per-source contexts (last row per id wins)."""
+    return _registry(spark, sf)
+
+
+@register("context_lookup")
+def q_context_lookup(spark, sf):
+    """S13 read: every document's source display name → its context id and omit keywords."""
+    names = load(spark, sf, "documents").select(F.concat(F.lit("Source "), F.col("source")).alias("name")).distinct()
+    return CX.lookup_context(_registry(spark, sf), names)
+
+
+@register("context_has_sources")
+def q_context_has_sources(spark, sf):
+    """F8: which registry contexts have loaded chunks."""
+    return CX.context_has_sources(_registry(spark, sf), corpus_chunks(spark, sf))
+
+
+@register("context_subjects")
+def q_context_subjects(spark, sf):
+    """A3: subject (first chunk id) and chunk count per context."""
+    return CX.context_subjects(corpus_chunks(spark, sf))
+
+
+@register("drop_context")
+def q_drop_context(spark, sf):
+    """Drop the English context's rows (chunk ids of what remains)."""
+    ch = corpus_chunks(spark, sf)
+    drop = load(spark, sf, "documents").select(F.col("lang").alias("context_id")).where("context_id = 'en'").distinct()
+    return CX.drop_context(ch, drop).select("context_id", "chunk_id")
+
+
+@register("delete_contexts")
+def q_delete_contexts(spark, sf):
+    """S13 delete: remove the language entries from the registry."""
+    names = load(spark, sf, "documents").select(F.col("lang").alias("name")).distinct()
+    return CX.delete_contexts(_registry(spark, sf), names)
+
+
+# ---------------------------------------------------------------------------------------------
+# conversations
+# ---------------------------------------------------------------------------------------------
+def _msgs(spark, sf):
+    return CH.messages_from_conversations(load(spark, sf, "conversations"))
+
+
+def _fmt(df):
+    return df.withColumn("datetime", F.date_format("datetime", CH.TS_FORMAT))
+
+
+@register("pair_turns")
+def q_pair_turns(spark, sf):
+    """User turns paired with the following assistant turn (system turns dropped)."""
+    return CH.pair_turns(load(spark, sf, "conversations"))
+
+
+@register("append_messages")
+def q_append_messages(spark, sf):
+    """Every answered pair as a stored message row ($-sanitised and wrapped)."""
+    return _fmt(_msgs(spark, sf))
+
+
+@register("chat_history")
+def q_chat_history(spark, sf):
+    """Chronological unwrapped history of every chat."""
+    return CH.chat_history(_msgs(spark, sf))
+
+
+@register("rolling_context")
+def q_rolling_context(spark, sf):
+    """Last five pairs before every message and every current question, tail-trimmed."""
+    c = load(spark, sf, "conversations")
+    return CH.rolling_context(_msgs(spark, sf), CH.current_questions(c), RetrievalConfig().max_prompt_length)
+
+
+@register("chat_list")
+def q_chat_list(spark, sf):
+    """A2: one summary per chat."""
+    return CH.chat_list(_msgs(spark, sf))
+
+
+@register("chat_by_name")
+def q_chat_by_name(spark, sf):
+    """Open a chat by display name (every listed summary) → smallest chat id."""
+    m = _msgs(spark, sf)
+    return CH.chat_by_name(m, CH.chat_list(m).select(F.col("summary").alias("name")).distinct())
+
+
+def _sizes(m):
+    return m.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("rename_chat")
+def q_rename_chat(spark, sf):
+    """Chats with more than two messages move to ``renamed_<id>`` with the summary ``Renamed: <summary>``."""
+    m = _msgs(spark, sf)
+    big = _sizes(m).where("n > 2").join(CH.chat_list(m), "chat_id")
+    r = big.select("chat_id", F.concat(F.lit("renamed_"), F.col("chat_id")).alias("new_chat_id"),
+                   F.concat(F.lit("Renamed: "), F.col("summary")).alias("new_summary"))
+    return _fmt(CH.rename_chat(m, r))
+
+
+@register("delete_chat")
+def q_delete_chat(spark, sf):
+    """Delete the chats with at most two messages."""
+    m = _msgs(spark, sf)
+    return _fmt(CH.delete_chat(m, _sizes(m).where("n <= 2")))
+
+
+@register("next_chat_after_delete")
+def q_next_chat_after_delete(spark, sf):
+    """U3 follow-up: chat opened after deleting the chats with at most two messages."""
+    m = _msgs(spark, sf)
+    return CH.next_chat_after_delete(m, _sizes(m).where("n <= 2"))
+
+
+@register("delete_all_chats")
+def q_delete_all_chats(spark, sf):
+    """U4: the emptied messages table."""
+    return _fmt(CH.delete_all_chats(_msgs(spark, sf)))
+
+
+@register("semantic_repeat")
+def q_semantic_repeat(spark, sf):
+    """Nearest stored prompt of every chat's current question, and whether cosine > 0.9."""
+    c = load(spark, sf, "conversations")
+    return KN.semantic_repeat(CH.current_questions(c), _msgs(spark, sf))
+
+
+@register("repeat_answers")
+def q_repeat_answers(spark, sf):
+    """Repeated questions answered from the stored response."""
+    c = load(spark, sf, "conversations")
+    m = _msgs(spark, sf)
+    return KN.repeat_answers(KN.semantic_repeat(CH.current_questions(c), m), m)
+
+
+# ---------------------------------------------------------------------------------------------
+# prompts and final answers (R5–R8) for every chat's current question
+# ---------------------------------------------------------------------------------------------
+from docquery.plans.prompts import assemble_prompts, finalise  # noqa: E402
+
+
+def _chat_questions(spark, sf):
+    """Fixture settings per chat (data-driven rules): search on unless ``conv_id % 3 = 0``, safe mode
+    when even, context ``en`` unless ``conv_id % 5 = 0``; the scope verdict is yes for messages under
+    80 characters; keywords as for the benchmark (words ≥ 6 chars, N7, limit ``1 + conv_id % 6``)."""
+    c = load(spark, sf, "conversations")
+    cq = CH.current_questions(c)
+    conv = F.split_part(F.col("id"), F.lit(":"), F.lit(1)).cast("bigint")
+    m = _msgs(spark, sf)
+    rc = CH.rolling_context(m, cq, RetrievalConfig().max_prompt_length).where("is_question")
+    words = F.filter(F.regexp_extract_all("message", F.lit(r"[\p{L}\p{N}'-]+"), 0), lambda w: F.char_length(w) >= 6)
+    q = cq.select(conv.alias("query_id"), "chat_id", F.col("id").alias("question_id"), "message",
+                  (F.pmod(conv, F.lit(3)) != 0).alias("search_on"), (F.pmod(conv, F.lit(2)) == 0).alias("safe_mode"),
+                  F.when(F.pmod(conv, F.lit(5)) != 0, F.lit("en")).otherwise(F.lit("< None >")).alias("context"),
+                  F.when(F.char_length("message") < 80, F.lit("Assistant: Yes")).otherwise(F.lit("Assistant: No"))
+                  .alias("unsafe_text"),
+                  sanitize_keywords(F.array_join(words, ", "), None, (F.lit(1) + F.pmod(conv, F.lit(6))).cast("int"))
+                  .alias("keywords"))
+    q = q.join(rc.select("chat_id", F.col("ref").alias("question_id"), "history"), ["chat_id", "question_id"])
+    return q, cq, m
+
+
+def _prompt_inputs(spark, sf):
+    q, cq, m = _chat_questions(spark, sf)
+    queries = q.select("query_id", F.lit(None).cast("string").alias("context_id"),
+                       F.col("message").alias("query_text"), "keywords")
+    ch = corpus_chunks(spark, sf)
+    ans = answer_context(rerank(score_hits(retrieve(queries, ch), queries, ch), RetrievalConfig()))
+    reps = (KN.repeat_answers(KN.semantic_repeat(cq, m), m)
+              .join(q.select("chat_id", "query_id"), "chat_id").select("query_id", "text"))
+    return q, ans, reps, m
+
+
+@register("assemble_prompts")
+def q_assemble_prompts(spark, sf):
+    """Prompt and route for every chat's current question (search, re-rank, history)."""
+    q, ans, reps, _ = _prompt_inputs(spark, sf)
+    return assemble_prompts(q, ans, reps, RetrievalConfig())
+
+
+@register("final_answers")
+def q_final_answers(spark, sf):
+    """Fixture model output (prompt echoed + the chat's last assistant turn) → answer with
+    sources → row to store; chats without stored messages get a P9 summary of the message."""
+    q, ans, reps, m = _prompt_inputs(spark, sf)
+    p = assemble_prompts(q, ans, reps, RetrievalConfig())
+    c = load(spark, sf, "conversations")
+    last_asst = (c.where(F.col("role") == "assistant").groupBy("conv_id")
+                  .agg(F.max_by("text", F.col("turn")).alias("reply")))
+    resp = (p.join(last_asst, p["query_id"] == last_asst["conv_id"], "left")
+             .select("query_id", F.concat(F.col("prompt"), F.coalesce("reply", F.lit(""))).alias("text")))
+    cl = CH.chat_list(m)
+    chats = (q.select("query_id", "chat_id", "message").join(cl, "chat_id", "left")
+              .select("query_id", "message", F.coalesce("summary", F.lit(C.NEW_CHAT)).alias("summary"),
+                      F.concat(F.lit("Here is the paraphrased message: "), F.col("message")).alias("paraphrase")))
+    return finalise(p, resp, chats)
