@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from docquery.config import RetrievalConfig
 from docquery.functions.keywords import capitalize, like_body, py_title, wildcard_form
 from docquery.operators.match import match_terms, postings, term_chunks, vocabulary
+from docquery.session import cut_lineage
 
 # (role, d for the fuzzy flag) of every search term kind
 _ROLES_MULTI = [("K", 1)]
@@ -195,8 +196,10 @@ def keyword_flags(kw: DataFrame, chunks: DataFrame, post: DataFrame | None = Non
 def pattern_hits(queries: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
                  post: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """``query_id, tier, pattern_no, rank, score, chunk_id`` – top N of every search pattern."""
-    kw = keyword_table(queries)
-    flags = keyword_flags(kw, chunks, post, vocab)
+    # keyword rows and flags are read several times below: materialise them once in the shared
+    # checkpoint folder (also bounds recomputation after an executor loss and keeps plans small)
+    kw = cut_lineage(keyword_table(queries))
+    flags = cut_lineage(keyword_flags(kw, chunks, post, vocab))
     slots = slot_table(kw)
     base = (slots.join(flags, ["query_id", "role", "kw_no"])
                  .select("query_id", "tier", "pattern_no", "chunk_id",
@@ -228,7 +231,7 @@ def search_cascade(queries: DataFrame, chunks: DataFrame, cfg: RetrievalConfig =
 
     ``queries``: ``query_id, context_id (null = every context), keywords array<string>``.
     """
-    ph = pattern_hits(queries, chunks, cfg, post, vocab)
+    ph = cut_lineage(pattern_hits(queries, chunks, cfg, post, vocab))
     first = (ph.groupBy("query_id", "chunk_id")
                .agg(F.min(F.struct("tier", "pattern_no", "rank", "score")).alias("f")))
     w = Window.partitionBy("query_id").orderBy("f.tier", "f.pattern_no", "f.rank")
