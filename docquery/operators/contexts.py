@@ -62,11 +62,30 @@ def drop_context(chunks: DataFrame, context_ids: DataFrame) -> DataFrame:
     return chunks.join(context_ids.select("context_id"), "context_id", "left_anti")
 
 
-def load_context(spark: SparkSession, chunks: DataFrame, path: str) -> DataFrame:
-    """Replace the written contexts' partitions (dynamic partition overwrite), leave the others.
-
-    ``path`` must be a shared folder (e.g. under ``spark.checkpoint.dir``); never the path being read.
+def _drop_partitions(spark: SparkSession, path: str, context_ids: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for cid in context_ids:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/context_id={cid}")
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            fs.delete(p, True)
+
+
+def load_context(spark: SparkSession, chunks: DataFrame, path: str, context_ids: list[str]) -> DataFrame:
+    """Replace the named contexts in the chunk store at ``path`` (a shared folder, e.g. under
+    ``spark.checkpoint.dir``), leaving every other context untouched.
+
+    The reference drops a context before loading it, so a load with no rows empties the context; hence
+    the named partitions are dropped first and the new rows appended (never overwrite the path that is
+    being read).  ``context_ids`` is the short list of contexts being (re)loaded, a parameter.
     """
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    chunks.write.mode("overwrite").partitionBy("context_id").parquet(path)
+    _drop_partitions(spark, path, context_ids)
+    (chunks.where(F.col("context_id").isin(*context_ids))
+           .write.mode("append").partitionBy("context_id").parquet(path))
     return spark.read.parquet(path)
+
+
+def drop_context_store(spark: SparkSession, path: str, context_ids: list[str]) -> None:
+    """S10 on the store: remove the named contexts' partitions."""
+    _drop_partitions(spark, path, context_ids)

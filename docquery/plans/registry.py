@@ -550,3 +550,17 @@ def q_final_answers(spark, sf):
               .select("query_id", "message", F.coalesce("summary", F.lit(C.NEW_CHAT)).alias("summary"),
                       F.concat(F.lit("Here is the paraphrased message: "), F.col("message")).alias("paraphrase")))
     return finalise(p, resp, chats)
+
+
+@register("load_context")
+def q_load_context(spark, sf):
+    """Store every document's chunks by context, then reload context ``fr`` from the French paged
+    files (replace semantics); read the store back."""
+    import uuid
+    from docquery.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/context-store-{uuid.uuid4().hex}"
+    ch = corpus_chunks(spark, sf)
+    ch.write.mode("overwrite").partitionBy("context_id").parquet(path)
+    paged = flatten_sources(_paged(spark, sf))
+    back = CX.load_context(spark, paged, path, ["fr"])
+    return back.select(F.col("context_id").cast("string").alias("context_id"), "chunk_id", "title", "chunk_number")
