@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docquery.config import RetrievalConfig
 from docquery.functions.text import citation, flatten_newlines, verdict_flag
 from docquery.functions.vectors import with_embedding, with_sparse_cosine
+from docquery.session import cut_lineage
 
 
 def score_hits(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -31,8 +32,11 @@ def score_hits(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFr
     qv = with_embedding(queries.select("query_id", "query_text"), "query_text", "query_vector", "query_norm2")
     j = with_sparse_cosine(h.join(qv, "query_id"), "query_vector", "chunk_vector", "query_norm2", "vector_norm2",
                            "relevance")
-    return (j.withColumn("page_text", flatten_newlines(F.col("chunk_text")))
-             .drop("chunk_vector", "query_vector", "query_norm2", "vector_norm2", "chunk_text", "query_text"))
+    out = (j.withColumn("page_text", flatten_newlines(F.col("chunk_text")))
+            .drop("chunk_vector", "query_vector", "query_norm2", "vector_norm2", "chunk_text", "query_text"))
+    # Materialise (at most M rows per query): a later filter on ``relevance`` would otherwise be pushed
+    # through the projections and re-inline the staged vector arrays into per-element lambdas.
+    return cut_lineage(out)
 
 
 def rerank(scored: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),

@@ -167,9 +167,11 @@ def keyword_flags(kw: DataFrame, chunks: DataFrame, post: DataFrame | None = Non
                       _longest_literal_run(F.col("term")).alias("seg")))
     terms = (req.select("term", "d")
                 .unionByName(seg.select(F.col("seg").alias("term"), F.lit(0).alias("d"))))
-    post = postings(chunks) if post is None else post
+    # the postings feed both the vocabulary and the postings join: tokenise once (at ingest, pass a
+    # persisted index instead); term → chunk matches are read three times below
+    post = cut_lineage(postings(chunks)) if post is None else post
     vocab = vocabulary(post) if vocab is None else vocab
-    tc = term_chunks(match_terms(terms, vocab), post)
+    tc = cut_lineage(term_chunks(match_terms(terms, vocab), post))
 
     scope = "(q_ctx IS NULL OR q_ctx = context_id)"
     r = req.withColumnRenamed("context_id", "q_ctx")
