@@ -2,16 +2,18 @@
 
 ``messages``: ``chat_id, id, datetime (timestamp_ntz), summary, prompt, response`` – one row per stored
 (prompt, response) pair, texts wrapped in ``$$`` as stored.  All operators are column expressions,
-joins and windows partitioned by ``chat_id``; nothing is collected.
+joins and partial aggregates; order inside a chat comes from a global position (range partitioning),
+never from a window per chat, so one chat holding a third of all rows is still spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquery import config as C
 from docquery.functions.text import lstrip_all, summary_text, tail_trim, unwrap_dollars, wrap_dollars
+from docquery.operators.sequence import group_position, next_row, ordered_index, preceding_rows
 
 EPOCH = "2024-01-01 00:00:00"   # fixture clock: message time = EPOCH + turn minutes
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
@@ -20,25 +22,25 @@ TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 def pair_turns(conversations: DataFrame) -> DataFrame:
     """Drop ``system`` turns, pair each ``user`` turn with the next turn when it is ``assistant``.
 
-    Returns ``conv_id, turn, prompt, response`` (response null = unanswered user turn).
+    Returns ``conv_id, turn, prompt, response`` (response null = unanswered user turn).  The next
+    turn is found by position (:mod:`docquery.operators.sequence`), not by a window per conversation.
     """
-    c = conversations.where(F.col("role") != "system")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return (c.withColumn("next_role", F.lead("role").over(w))
-             .withColumn("next_text", F.lead("text").over(w))
-             .where(F.col("role") == "user")
-             .select("conv_id", "turn", F.col("text").alias("prompt"),
-                     F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("response")))
+    c = conversations.where(F.col("role") != "system").select("conv_id", "turn", "role", "text")
+    nxt = next_row(ordered_index(c, ["conv_id"], ["turn"]), ["conv_id"], ["role", "text"])
+    return (nxt.where(F.col("role") == "user")
+               .select("conv_id", "turn", F.col("text").alias("prompt"),
+                       F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("response")))
 
 
 def _chat_cols(pairs: DataFrame) -> DataFrame:
     ts = F.expr(f"timestampadd(MINUTE, turn, TIMESTAMP_NTZ'{EPOCH}')")
-    first = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return pairs.select(
+    # first prompt of each conversation: partial aggregate per key, joined back on the key
+    first = pairs.groupBy("conv_id").agg(F.min_by("prompt", F.col("turn")).alias("first_prompt"))
+    return pairs.join(first, "conv_id").select(
         F.concat(F.lit("chat_"), F.col("conv_id").cast("string")).alias("chat_id"),
         F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("id"),
         ts.alias("datetime"),
-        lstrip_all(summary_text(F.first("prompt").over(first))).alias("summary"),
+        lstrip_all(summary_text(F.col("first_prompt"))).alias("summary"),
         "prompt", "response")
 
 
@@ -53,10 +55,11 @@ def messages_from_conversations(conversations: DataFrame) -> DataFrame:
 def current_questions(conversations: DataFrame) -> DataFrame:
     """The unanswered last user turn of each chat: ``chat_id, id, datetime, summary, message``."""
     p = _chat_cols(pair_turns(conversations))
-    last = Window.partitionBy("chat_id").orderBy(F.desc("datetime"), F.desc("id"))
-    return (p.withColumn("_r", F.row_number().over(last))
-             .where("_r = 1 AND response IS NULL")
-             .select("chat_id", "id", "datetime", "summary", F.col("prompt").alias("message")))
+    last = (p.groupBy("chat_id")
+             .agg(F.max_by(F.struct("id", "datetime", "summary", "prompt", "response"),
+                           F.struct("datetime", "id")).alias("m")))
+    return (last.where("m.response IS NULL")
+                .select("chat_id", "m.id", "m.datetime", "m.summary", F.col("m.prompt").alias("message")))
 
 
 def chat_history(messages: DataFrame) -> DataFrame:
@@ -64,31 +67,30 @@ def chat_history(messages: DataFrame) -> DataFrame:
     keep the row with the largest id (the reference keys its dict by timestamp)."""
     g = (messages.groupBy("chat_id", "datetime")
                  .agg(F.max_by(F.struct("id", "prompt", "response"), F.col("id")).alias("m")))
-    w = Window.partitionBy("chat_id").orderBy("datetime")
-    return g.select("chat_id", F.row_number().over(w).alias("seq"),
-                    F.date_format("datetime", TS_FORMAT).alias("datetime"),
-                    unwrap_dollars(F.col("m.prompt")).alias("prompt"),
-                    unwrap_dollars(F.col("m.response")).alias("response"))
+    pos = group_position(ordered_index(g, ["chat_id"], ["datetime"]), ["chat_id"])
+    return pos.select("chat_id", F.col("_pos").cast("int").alias("seq"),
+                      F.date_format("datetime", TS_FORMAT).alias("datetime"),
+                      unwrap_dollars(F.col("m.prompt")).alias("prompt"),
+                      unwrap_dollars(F.col("m.response")).alias("response"))
 
 
 def rolling_context(messages: DataFrame, questions: DataFrame, max_prompt_length: int = 9000) -> DataFrame:
     """For every message and every current question, the last 5 (prompt, response) pairs before
     it joined by a blank line, keeping the last ``max_prompt_length`` characters.
 
-    Window per chat over a bounded ROWS frame (5 preceding .. 1 preceding); no self-join.
+    The ROWS frame (5 preceding .. 1 preceding) is built by position: every row is sent to the five
+    rows after it, so a chat of any size is spread over many tasks.
     """
     hist = chat_history(messages).select("chat_id", "datetime", F.lit(0).alias("q"), "prompt", "response",
                                          F.col("seq").cast("string").alias("ref"))
     qs = questions.select("chat_id", F.date_format("datetime", TS_FORMAT).alias("datetime"), F.lit(1).alias("q"),
                           F.col("message").alias("prompt"), F.lit(None).cast("string").alias("response"),
                           F.col("id").alias("ref"))
-    seq = hist.unionByName(qs)
-    w = (Window.partitionBy("chat_id").orderBy("datetime", "q", "ref")
-               .rowsBetween(-C.HISTORY_PAIRS, -1))
-    prev = F.collect_list(F.struct("prompt", "response")).over(w)
-    text = F.array_join(F.flatten(F.transform(prev, lambda e: F.array(e["prompt"], e["response"]))), "\n\n")
-    return seq.select("chat_id", "datetime", F.col("q").cast("boolean").alias("is_question"), "ref",
-                      tail_trim(F.coalesce(text, F.lit("")), max_prompt_length).alias("history"))
+    idx = ordered_index(hist.unionByName(qs), ["chat_id"], ["datetime", "q", "ref"])
+    prev = preceding_rows(idx, ["chat_id"], F.struct("prompt", "response"), C.HISTORY_PAIRS, "prev")
+    text = F.array_join(F.flatten(F.transform("prev", lambda e: F.array(e["prompt"], e["response"]))), "\n\n")
+    return prev.select("chat_id", "datetime", F.col("q").cast("boolean").alias("is_question"), "ref",
+                       tail_trim(F.coalesce(text, F.lit("")), max_prompt_length).alias("history"))
 
 
 def chat_list(messages: DataFrame) -> DataFrame:

@@ -24,10 +24,12 @@ def semantic_repeat(questions: DataFrame, messages: DataFrame, threshold: float
                        "message", "qv", "qn")
     m = with_embedding(messages.select("chat_id", "id", "prompt"), "prompt", "mv", "mn")
     j = with_sparse_cosine(q.join(m, "chat_id"), "qv", "mv", "qn", "mn", "cosine")
-    w = Window.partitionBy("chat_id", "question_id").orderBy(F.desc("cosine"), F.asc("id"))
-    return (j.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-             .select("chat_id", "question_id", F.col("id").alias("nearest_id"), F.round("cosine", 6).alias("cosine"),
-                     (F.col("cosine") > F.lit(threshold)).alias("repeated")))
+    # best per question as a partial aggregate (map-side combine): a chat holding a third of all
+    # messages still sends one row per map task to the shuffle
+    best = (j.groupBy("chat_id", "question_id")
+             .agg(F.min_by(F.struct("id", "cosine"), F.struct((-F.col("cosine")).alias("nc"), "id")).alias("b")))
+    return best.select("chat_id", "question_id", F.col("b.id").alias("nearest_id"),
+                       F.round("b.cosine", 6).alias("cosine"), (F.col("b.cosine") > F.lit(threshold)).alias("repeated"))
 
 
 def repeat_answers(repeats: DataFrame, messages: DataFrame) -> DataFrame:

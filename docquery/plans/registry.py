@@ -60,7 +60,6 @@ def q_answer_context(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 # search internals
 # ---------------------------------------------------------------------------------------------
-from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from docquery.functions.keywords import capitalize, py_title, sanitize_keywords, wildcard_form  # noqa: E402
@@ -71,6 +70,7 @@ from docquery.operators import contexts as CX  # noqa: E402
 from docquery.operators import knn as KN  # noqa: E402
 from docquery.operators.chunk import flatten_sources, with_chunk_vectors  # noqa: E402
 from docquery.operators.match import match_terms, postings, vocabulary  # noqa: E402
+from docquery.operators.sequence import ordered_index, previous_row  # noqa: E402
 from docquery.operators.search import (keyword_table, pattern_hits, term_requests,  # noqa: E402
                                        tier2_triples, tier3_pairs)
 from docquery.sources import files as FL  # noqa: E402
@@ -194,10 +194,10 @@ def q_knn_exact(spark, sf):
 # ---------------------------------------------------------------------------------------------
 def _model_outputs(spark, sf):
     """Fixture model outputs: each assistant turn echoed after its prompt, as an echoing model prints."""
-    c = load(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return (c.withColumn("prev", F.lag("text").over(w))
-             .where(F.col("role") == "assistant")
+    c = load(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    prev = previous_row(ordered_index(c, ["conv_id"], ["turn"]), ["conv_id"], ["text"])
+    return (prev.select("conv_id", "turn", "role", "text", F.col("prev_text").alias("prev"))
+                .where(F.col("role") == "assistant")
              .select("conv_id", "turn", F.concat(F.coalesce("prev", F.lit("")), F.lit("\n\nAssistant: "),
                                                  F.col("text")).alias("raw")))
 

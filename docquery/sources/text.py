@@ -3,10 +3,11 @@ subject, text`` (chunked by :func:`docquery.operators.chunk.flatten_sources`).""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquery import config as C
+from docquery.operators.sequence import group_position, ordered_index
 
 
 def text_pages(sources: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def chaptered_pages(items: DataFrame) -> DataFrame:
     item order, titled by the item name; the text is the item's paragraphs joined by ``\\n`` (D1),
     all on page 0.  ``items``: context_id, title, author, subject, item_no, item_name, paragraphs."""
     ch = items.where(F.lower(F.col("item_name")).contains("chapter"))
-    w = Window.partitionBy("context_id", "title").orderBy("item_no")
-    return ch.select("context_id", "title", "author", (F.row_number().over(w) + 1).alias("chapter"),
+    pos = group_position(ordered_index(ch, ["context_id", "title"], ["item_no"]), ["context_id", "title"])
+    return pos.select("context_id", "title", "author", (F.col("_pos") + 1).cast("int").alias("chapter"),
                      F.col("item_name").alias("chapter_title"), F.lit(0).alias("page_number"), "subject",
                      F.array_join("paragraphs", "\n").alias("text"))

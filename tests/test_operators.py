@@ -169,3 +169,48 @@ def test_flatten_sources_ids_stable(spark):
     a = flatten_sources(pages).select("chunk_id", "title").collect()
     b = flatten_sources(pages).select("chunk_id", "title").collect()
     assert a == b and a[0].title == "T" and len(a) == 2
+
+
+def test_hot_chat_is_split_and_exact(spark):
+    """One chat holding half of all rows: positions span several range partitions, and the rolling
+    context and pairing equal a plain Python walk over each chat."""
+    from docquery.operators.sequence import ordered_index
+
+    rnd = random.Random(3)
+    rows = []
+    for conv, n in [(0, 400)] + [(c, rnd.randint(1, 12)) for c in range(1, 60)]:
+        roles = [rnd.choice(["user", "user", "assistant", "system"]) for _ in range(n)]
+        rows += [(conv, t, roles[t], f"c{conv}t{t}") for t in range(n)]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    idx = ordered_index(c, ["conv_id"], ["turn"], num_partitions=8)
+    g = sorted((r.conv_id, r.turn, r._g) for r in idx.collect())
+    assert [x[2] for x in g] == list(range(len(rows)))
+    hot = (c.repartitionByRange(8, "conv_id", "turn").where("conv_id = 0")
+            .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert hot >= 3
+
+    # reference walk
+    want_pairs, want_hist = set(), {}
+    by_conv = {}
+    for conv, t, role, text in rows:
+        by_conv.setdefault(conv, []).append((t, role, text))
+    for conv, turns in by_conv.items():
+        ts = [x for x in sorted(turns) if x[1] != "system"]
+        stored = []
+        for i, (t, role, text) in enumerate(ts):
+            if role != "user":
+                continue
+            nxt = ts[i + 1] if i + 1 < len(ts) else None
+            resp = nxt[2] if nxt and nxt[1] == "assistant" else None
+            want_pairs.add((conv, t, text, resp))
+            if resp is not None:
+                want_hist[(f"chat_{conv}", len(stored) + 1)] = "\n\n".join(
+                    x for p in stored[-5:] for x in p)
+                stored.append((text, resp))
+    got_pairs = {(r.conv_id, r.turn, r.prompt, r.response) for r in CH.pair_turns(c).collect()}
+    assert got_pairs == want_pairs
+    m = CH.messages_from_conversations(c)
+    rc = CH.rolling_context(m, CH.current_questions(c), 9000).where("NOT is_question").collect()
+    got_hist = {(r.chat_id, int(r.ref)): r.history for r in rc}
+    assert got_hist == want_hist
