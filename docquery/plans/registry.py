@@ -63,7 +63,7 @@ def q_answer_context(spark: SparkSession, sf: str) -> DataFrame:
 from pyspark.sql import functions as F  # noqa: E402
 
 from docquery.functions.keywords import capitalize, py_title, sanitize_keywords, wildcard_form  # noqa: E402
-from docquery.functions.text import (citation, context_slug, final_answer, split_response,  # noqa: E402
+from docquery.functions.text import (citation, context_slug, final_answer, source_kind, split_response,  # noqa: E402
                                      summary_text, verdict_flag, wrap_dollars)
 from docquery.operators import chats as CH  # noqa: E402
 from docquery.operators import contexts as CX  # noqa: E402
@@ -73,6 +73,7 @@ from docquery.operators.match import match_terms, postings, vocabulary  # noqa:
 from docquery.operators.sequence import ordered_index, previous_row  # noqa: E402
 from docquery.operators.search import (keyword_table, pattern_hits, term_requests,  # noqa: E402
                                        tier2_triples, tier3_pairs)
+from docquery.plans import ingest as IG  # noqa: E402
 from docquery.sources import files as FL  # noqa: E402
 from docquery.sources import text as TX  # noqa: E402
 from docquery.sources.html import with_html_paragraphs, with_html_text  # noqa: E402
@@ -339,6 +340,45 @@ def q_ingest_chaptered(spark, sf):
     return ch.select("context_id", "chunk_id", "title", "chapter", "chapter_title", "chunk_number", "chunk_text")
 
 
+def _escape_html(x):
+    return F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def _corpus_files(spark, sf):
+    """Fixture corpus: the file list of ``documents`` with each file's content – the document text,
+    wrapped as one escaped ``<p>`` for ``.html`` files.  ``.pdf`` pages are the text's lines."""
+    f = FL.document_files(load(spark, sf, "documents"), extra=["text"])
+    html = F.concat(F.lit("<html><body><p>"), _escape_html(F.col("text")), F.lit("</p></body></html>"))
+    return f.select("file_pos", "path", "context",
+                    F.when(source_kind(F.col("path")) == ".html", html).otherwise(F.col("text")).alias("content"))
+
+
+def _epub_items(files):
+    """Fixture items of ``.epub`` files: one item per line; even lines are ``Chapter<n>.xhtml``, odd
+    lines ``notes<n>.xhtml``; the item's HTML is the escaped line in one ``<p>``."""
+    e = files.where(source_kind(F.col("path")) == ".epub")
+    lines = e.select("file_pos", F.posexplode(F.split(F.col("content"), "\n")).alias("item_no", "line"))
+    name = F.concat(F.when(F.col("item_no") % 2 == 0, F.lit("Chapter")).otherwise(F.lit("notes")),
+                    F.col("item_no").cast("string"), F.lit(".xhtml"))
+    return lines.select("file_pos", "item_no", name.alias("item_name"),
+                        F.concat(F.lit("<p>"), _escape_html(F.col("line")), F.lit("</p>")).alias("html"))
+
+
+@register("flatten_books")
+def q_flatten_books(spark, sf):
+    """Registered books (last file per title) read by the native readers – text, Markdown,
+    paged – and flattened chapter → page → chunk."""
+    return IG.ingest_corpus(_corpus_files(spark, sf), IG.NATIVE_KINDS)
+
+
+@register("ingest_corpus")
+def q_ingest_corpus(spark, sf):
+    """The whole corpus – every dispatched kind, HTML and chaptered items through the parser."""
+    files = _corpus_files(spark, sf)
+    return IG.ingest_corpus(files, IG.ALL_KINDS, epub_items=_epub_items(files))
+
+
 # ---------------------------------------------------------------------------------------------
 # contexts
 # ---------------------------------------------------------------------------------------------

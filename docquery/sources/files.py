@@ -13,8 +13,8 @@ from docquery.functions.vectors import tokens
 FIXTURE_EXTENSIONS = [".html", ".pdf", ".epub", ".txt", ".docx", ".doc", ".md", ".xyz", ".PDF", ".Txt"]
 
 
-def document_files(documents: DataFrame) -> DataFrame:
-    """``file_pos, path, context, n_lines`` – one file per document, in ``doc_id`` order."""
+def document_files(documents: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """``file_pos, path, context, n_lines`` (+ ``extra`` columns) – one file per document, in ``doc_id`` order."""
     w = tokens(F.col("text"))
     w1 = F.coalesce(F.try_element_at(w, F.lit(1)), F.lit("untitled"))
     w2 = F.coalesce(F.try_element_at(w, F.lit(2)), F.lit(""))
@@ -27,7 +27,7 @@ def document_files(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").alias("file_pos"),
                             F.concat(F.lit("/corpus/"), F.col("lang"), F.lit("/"), name, ext).alias("path"),
                             F.col("lang").alias("context"),
-                            F.size(F.split(F.col("text"), "\n")).alias("n_lines"))
+                            F.size(F.split(F.col("text"), "\n")).alias("n_lines"), *(extra or []))
 
 
 def source_dispatch(files: DataFrame) -> DataFrame:

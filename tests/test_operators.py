@@ -214,3 +214,15 @@ def test_hot_chat_is_split_and_exact(spark):
     rc = CH.rolling_context(m, CH.current_questions(c), 9000).where("NOT is_question").collect()
     got_hist = {(r.chat_id, int(r.ref)): r.history for r in rc}
     assert got_hist == want_hist
+
+
+def test_ingest_reads_only_the_winning_file(spark):
+    from docquery.plans.ingest import ingest_corpus
+    files = spark.createDataFrame([
+        (1, "/c/Book Author Ann.txt", "ctx", "old text"),
+        (2, "/c/Book Author Bob.md", "ctx", "# new *text*"),
+        (3, "/c/Other.html", "ctx", "<p>a &amp; b</p>"),
+        (4, "/c/Skip.xyz", "ctx", "never read"),
+    ], "file_pos int, path string, context string, content string")
+    got = sorted((r.title, r.author, r.chunk_text) for r in ingest_corpus(files).collect())
+    assert got == [("Book", "Bob", "new text"), ("Other", "Unknown", "a & b")]

@@ -7,7 +7,8 @@ import pytest
 SF = "/root/testdata/sf0.001"
 FAST = ["search_cascade", "rerank", "keyword_token_matches", "chunk_documents", "embed_documents", "knn_exact",
         "source_registry", "ingest_paged", "ingest_markdown", "rolling_context", "chat_history", "semantic_repeat",
-        "context_registry", "citations", "split_response", "context_slug"]
+        "context_registry", "citations", "split_response", "context_slug", "flatten_books", "ingest_corpus",
+        "pair_turns"]
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="test data absent")
