@@ -33,25 +33,24 @@ def vocabulary(post: DataFrame) -> DataFrame:
     return post.select("token").distinct()
 
 
-def _deletions(s: Column, d: Column) -> Column:
-    """All strings reachable from ``s`` by deleting up to ``d`` (0..2) characters, distinct."""
-    n = F.char_length(s)
-    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    one = F.filter(F.transform(idx, lambda i: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, 1 << 30))),
-                   lambda v: n > 0)
-    two = F.flatten(F.transform(idx, lambda i: F.transform(
-        F.filter(idx, lambda j: j > i),
-        lambda j: F.concat(F.substring(s, 1, i - 1), F.substring(s, i + 1, j - i - 1),
-                           F.substring(s, j + 1, 1 << 30)))))
-    out = F.when(d >= 2, F.concat(F.array(s), one, F.filter(two, lambda v: n > 1))) \
-           .when(d >= 1, F.concat(F.array(s), one)).otherwise(F.array(s))
-    return F.array_distinct(out)
-
-
-def _grams(s: Column) -> Column:
-    n = F.char_length(s)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))),
-                                        lambda i: F.substring(s, i, 3)))
+def _deletion_rows(df: DataFrame, s: str, d: str, out: str = "variant") -> DataFrame:
+    """One row per way of deleting up to ``d`` (0..2) characters of ``s``: ``df`` columns + ``out``.
+
+    Deletion positions come from two ``explode``s over position sequences (``i = 0`` means no
+    deletion), and the variant is a ``concat`` of ``substring``s – plain expressions that stay inside
+    whole-stage code generation.  Duplicates (repeated letters) are left in; the caller's verified
+    matches are de-duplicated by their grouping.
+    """
+    n = F.char_length(F.col(s))
+    i, j, x = F.col("_i"), F.col("_j"), F.col(s)
+    # i = first deleted position (0: none); j = second deleted position, j = i meaning none
+    pos = (df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.when(F.col(d) >= 1, n).otherwise(F.lit(0)))))
+             .withColumn("_j", F.explode(F.sequence(i, F.when((F.col(d) >= 2) & (i >= 1), n).otherwise(i)))))
+    big = F.lit(1 << 30)
+    one = F.concat(F.substring(x, 1, i - 1), F.substring(x, i + 1, big))
+    two = F.concat(F.substring(x, 1, i - 1), F.substring(x, i + 1, j - i - 1), F.substring(x, j + 1, big))
+    v = F.when(i == 0, x).when(j == i, one).otherwise(two)
+    return pos.withColumn(out, v).drop("_i", "_j")
 
 
 def _anchor_gram(term: Column) -> Column:
@@ -72,7 +71,9 @@ def match_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
 
     # -- contains, anchored terms: equi-join on a 3-gram ------------------------------------------
     anchored = t.select("term", _anchor_gram(F.col("term")).alias("gram")).where("gram IS NOT NULL")
-    vgrams = v.where("tlen >= 3").select("token", F.explode(_grams(F.col("token"))).alias("gram"))
+    # every 3-gram start of the token (duplicates are harmless: matches are grouped below)
+    vgrams = (v.where("tlen >= 3").select("token", F.explode(F.sequence(F.lit(1), F.col("tlen") - 2)).alias("_o"))
+               .select("token", F.substring("token", F.col("_o"), 3).alias("gram")))
     c1 = (vgrams.join(anchored, "gram")
                 .where(F.expr("token LIKE concat('%', replace(term, '?', '_'), '%')"))
                 .select("term", "token"))
@@ -88,9 +89,8 @@ def match_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     need = (ft.select(F.explode(F.sequence(F.greatest(F.col("xlen") - F.col("d"), F.lit(1)),
                                            F.col("xlen") + F.col("d"))).alias("tlen"), "d")
               .groupBy("tlen").agg(F.max("d").alias("vd")))
-    tv = ft.select("term", "d", F.explode(_deletions(F.col("term"), F.col("d"))).alias("variant"))
-    vv = (v.join(need, "tlen")
-           .select("token", F.explode(_deletions(F.col("token"), F.col("vd"))).alias("variant")))
+    tv = _deletion_rows(ft.select("term", "d"), "term", "d")
+    vv = _deletion_rows(v.join(need, "tlen").select("token", "vd"), "token", "vd").select("token", "variant")
     fuzzy = (vv.join(tv, "variant")
                .select("term", "token", F.expr("levenshtein(token, term, d)").alias("lev"))
                .where("lev >= 0")
