@@ -170,7 +170,8 @@ def keyword_flags(kw: DataFrame, chunks: DataFrame, post: DataFrame | None = Non
     # the postings feed both the vocabulary and the postings join: tokenise once (at ingest, pass a
     # persisted index instead); term → chunk matches are read three times below
     post = cut_lineage(postings(chunks)) if post is None else post
-    vocab = vocabulary(post) if vocab is None else vocab
+    # the vocabulary feeds three candidate joins (3-grams, short terms, deletion variants): once only
+    vocab = cut_lineage(vocabulary(post)) if vocab is None else vocab
     tc = cut_lineage(term_chunks(match_terms(terms, vocab), post))
 
     scope = "(q_ctx IS NULL OR q_ctx = context_id)"
