@@ -9,8 +9,8 @@ evaluated as vocabulary × terms: both are turned into equi-joins that Spark can
   member gives a small candidate set which ``levenshtein(t, x, d)`` then verifies exactly;
 * contains: a token containing ``x`` contains every 3-gram of ``x``'s literal runs, so an equi-join on
   one such 3-gram gives the candidates, verified by ``LIKE``.  Terms without a 3-character literal run
-  (1–2 characters, or mostly wildcards) are few and short; they are matched against the vocabulary
-  with a nested loop whose term side is bounded by the distinct short strings of the query batch.
+  join on a 1- or 2-gram of their longest run, or – all wildcards – on a length key; there is no
+  nested loop and no cross join anywhere.
 """
 
 from __future__ import annotations
@@ -53,11 +53,16 @@ def _deletion_rows(df: DataFrame, s: str, d: str, out: str = "variant") -> DataF
     return pos.withColumn(out, v).drop("_i", "_j")
 
 
+def _longest_run(term: Column) -> Column:
+    """The first longest ``?``-free run of a search term (empty when the term is all wildcards)."""
+    runs = F.split(term, r"\?")
+    return F.aggregate(runs, F.lit(""), lambda acc, r: F.when(F.char_length(r) > F.char_length(acc), r)
+                       .otherwise(acc))
+
+
 def _anchor_gram(term: Column) -> Column:
     """First 3 characters of the longest literal (``?``-free) run of the term; null when shorter."""
-    runs = F.split(term, r"\?")
-    longest = F.aggregate(runs, F.lit(""), lambda acc, r: F.when(F.char_length(r) > F.char_length(acc), r)
-                          .otherwise(acc))
+    longest = _longest_run(term)
     return F.when(F.char_length(longest) >= 3, F.substring(longest, 1, 3))
 
 
@@ -77,10 +82,25 @@ def match_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     c1 = (vgrams.join(anchored, "gram")
                 .where(F.expr("token LIKE concat('%', replace(term, '?', '_'), '%')"))
                 .select("term", "token"))
-    # -- contains, unanchored (short) terms: bounded nested loop ----------------------------------
-    short = t.where(_anchor_gram(F.col("term")).isNull()).select("term")
-    c2 = (v.join(F.broadcast(short), F.expr("token LIKE concat('%', replace(term, '?', '_'), '%')"))
-           .select("term", "token"))
+    # -- contains, other terms: equi-join on a short key -----------------------------------------
+    # longest literal run of 1 or 2 characters → that run as a 1-/2-gram key; only wildcards → a
+    # length key (a token of length n carries L:1 .. L:n).  Candidates are verified by LIKE.
+    run = _longest_run(F.col("term"))
+    short = (t.where(_anchor_gram(F.col("term")).isNull())
+              .select("term", F.when(F.char_length(run) == 0,
+                                     F.concat(F.lit("L:"), F.char_length("term").cast("string")))
+                               .otherwise(F.concat(F.char_length(run).cast("string"), F.lit(":"), run))
+                       .alias("key")))
+    o = F.col("_o")
+    tkeys = (v.select("token", "tlen", F.explode(F.sequence(F.lit(1), F.col("tlen"))).alias("_o"))
+              .select("token", F.explode(F.array(
+                  F.concat(F.lit("1:"), F.substring("token", o, 1)),
+                  F.when(o < F.col("tlen"), F.concat(F.lit("2:"), F.substring("token", o, 2))),
+                  F.concat(F.lit("L:"), o.cast("string")))).alias("key"))
+              .where("key IS NOT NULL"))
+    c2 = (tkeys.join(short, "key")
+               .where(F.expr("token LIKE concat('%', replace(term, '?', '_'), '%')"))
+               .select("term", "token"))
     contains = c1.unionByName(c2).select("term", "token", F.lit(True).alias("tok_contains"),
                                          F.lit(None).cast("int").alias("lev"))
 

@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from docquery.config import RetrievalConfig
 from docquery.functions.keywords import capitalize, like_body, py_title, wildcard_form
-from docquery.operators.match import match_terms, postings, term_chunks, vocabulary
+from docquery import config as C
+from docquery.operators.match import _longest_run, match_terms, postings, term_chunks, vocabulary
 from docquery.session import cut_lineage
 
 # (role, d for the fuzzy flag) of every search term kind
@@ -65,12 +66,6 @@ def term_requests(kw: DataFrame) -> DataFrame:
     return multi.unionByName(single)
 
 
-def _longest_literal_run(term):
-    runs = F.split(term, r"\?")
-    return F.aggregate(runs, F.lit(""), lambda acc, r: F.when(F.char_length(r) > F.char_length(acc), r)
-                       .otherwise(acc))
-
-
 def slot_table(kw: DataFrame) -> DataFrame:
     """``query_id, tier, pattern_no, role, kw_no, wf, wi`` – weight of each flag in each pattern."""
     per_q = kw.groupBy("query_id", "nk").agg(
@@ -162,9 +157,11 @@ def keyword_flags(kw: DataFrame, chunks: DataFrame, post: DataFrame | None = Non
     req = term_requests(kw)
     # wildcard terms need their chunk-level LIKE checked against text; their candidates are the chunks
     # holding a token that contains the longest literal run of the term
-    seg = (req.where(F.col("term").contains("?"))
-              .select("query_id", "context_id", "kw_no", "role", "term",
-                      _longest_literal_run(F.col("term")).alias("seg")))
+    seg_all = (req.where(F.col("term").contains("?"))
+                  .select("query_id", "context_id", "kw_no", "role", "term", _longest_run(F.col("term")).alias("seg")))
+    seg = seg_all.where("seg != ''")
+    # a term of wildcards only matches a chunk exactly when the chunk has at least that many characters
+    only_wild = seg_all.where("seg = ''")
     terms = (req.select("term", "d")
                 .unionByName(seg.select(F.col("seg").alias("term"), F.lit(0).alias("d"))))
     # the postings feed both the vocabulary and the postings join: tokenise once (at ingest, pass a
@@ -190,6 +187,13 @@ def keyword_flags(kw: DataFrame, chunks: DataFrame, post: DataFrame | None = Non
                             F.concat(F.lit("%"), like_body(F.col("term")), F.lit("%")).alias("pat")))
     wild_i = _verify_like(wild_cand, chunks, "pat").select("query_id", "kw_no", "role", "chunk_id",
                                                            F.lit(True).alias("i"))
+    # ... as an equi-join on the chunk length (chunk texts hold at most CHUNK_SIZE characters)
+    k = F.char_length("term")
+    lens = only_wild.select("query_id", F.col("context_id").alias("q_ctx"), "kw_no", "role",
+                            F.explode(F.sequence(k, F.greatest(F.lit(C.CHUNK_SIZE), k))).alias("clen"))
+    clen = chunks.select("context_id", "chunk_id", F.char_length("chunk_text").alias("clen"))
+    wild_i = wild_i.unionByName(lens.join(clen, "clen").where(scope)
+                                    .select("query_id", "kw_no", "role", "chunk_id", F.lit(True).alias("i")))
     wild_all = (wild_f.join(wild_i, ["query_id", "kw_no", "role", "chunk_id"], "full_outer")
                       .select("query_id", "kw_no", "role", "chunk_id",
                               F.coalesce("f", F.lit(False)).alias("f"), F.coalesce("i", F.lit(False)).alias("i")))

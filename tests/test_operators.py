@@ -226,3 +226,23 @@ def test_ingest_reads_only_the_winning_file(spark):
     ], "file_pos int, path string, context string, content string")
     got = sorted((r.title, r.author, r.chunk_text) for r in ingest_corpus(files).collect())
     assert got == [("Book", "Bob", "new text"), ("Other", "Unknown", "a & b")]
+
+
+def test_search_short_and_wildcard_terms_brute_force(spark):
+    """Terms without a 3-character literal run (1–2 characters, ``a?b?c``, only wildcards) take the
+    short-key and chunk-length joins; the answer must equal the brute force."""
+    rnd = random.Random(11)
+    words = WORDS + ["a", "b", "ab", "abc", "a'b", "zz", "!!", "--", "x-y", "o"]
+    chunks = [(f"c{i:03d}", " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6)))) for i in range(70)]
+    chunks += [("d001", "!!"), ("d002", "a b c"), ("d003", "")]
+    kws = ["o", "ba", "b'z", "'", "''", "a'", "f'o'o", "x", "a'b'c", "''''", "zz", "Foo"]
+    queries = [(q, [rnd.choice(kws) for _ in range(rnd.randint(1, 4))]) for q in range(30)]
+    queries += [(100 + i, [k]) for i, k in enumerate(kws)]
+    cdf = spark.createDataFrame(chunks, "chunk_id string, chunk_text string").withColumn("context_id", F.lit("c"))
+    qdf = spark.createDataFrame(queries, "query_id int, keywords array<string>") \
+        .withColumn("context_id", F.lit(None).cast("string"))
+    got = {}
+    for r in search_cascade(qdf, cdf).orderBy("query_id", "pos").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    for q, ks in queries:
+        assert got.get(q, []) == _ref_search(ks, chunks), (q, ks)
