@@ -44,17 +44,18 @@ def _chat_cols(pairs: DataFrame) -> DataFrame:
         "prompt", "response")
 
 
-def messages_from_conversations(conversations: DataFrame) -> DataFrame:
-    """S11 (batch form of ``update_db``): answered pairs as stored message rows (``$$``-wrapped)."""
-    p = _chat_cols(pair_turns(conversations))
+def messages_from_conversations(conversations: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """S11 (batch form of ``update_db``): answered pairs as stored message rows (``$$``-wrapped).
+    ``pairs``: :func:`pair_turns` of the same conversations when already computed."""
+    p = _chat_cols(pair_turns(conversations) if pairs is None else pairs)
     return (p.where(F.col("response").isNotNull())
              .select("chat_id", "id", "datetime", "summary", wrap_dollars(F.col("prompt")).alias("prompt"),
                      wrap_dollars(lstrip_all(F.col("response"))).alias("response")))
 
 
-def current_questions(conversations: DataFrame) -> DataFrame:
+def current_questions(conversations: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """The unanswered last user turn of each chat: ``chat_id, id, datetime, summary, message``."""
-    p = _chat_cols(pair_turns(conversations))
+    p = _chat_cols(pair_turns(conversations) if pairs is None else pairs)
     last = (p.groupBy("chat_id")
              .agg(F.max_by(F.struct("id", "datetime", "summary", "prompt", "response"),
                            F.struct("datetime", "id")).alias("m")))

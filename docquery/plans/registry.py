@@ -464,7 +464,9 @@ def q_chat_history(spark, sf):
 def q_rolling_context(spark, sf):
     """Last five pairs before every message and every current question, tail-trimmed."""
     c = load(spark, sf, "conversations")
-    return CH.rolling_context(_msgs(spark, sf), CH.current_questions(c), RetrievalConfig().max_prompt_length)
+    pairs = CH.pair_turns(c)
+    return CH.rolling_context(CH.messages_from_conversations(c, pairs), CH.current_questions(c, pairs),
+                              RetrievalConfig().max_prompt_length)
 
 
 @register("chat_list")
@@ -518,15 +520,17 @@ def q_delete_all_chats(spark, sf):
 def q_semantic_repeat(spark, sf):
     """Nearest stored prompt of every chat's current question, and whether cosine > 0.9."""
     c = load(spark, sf, "conversations")
-    return KN.semantic_repeat(CH.current_questions(c), _msgs(spark, sf))
+    pairs = CH.pair_turns(c)
+    return KN.semantic_repeat(CH.current_questions(c, pairs), CH.messages_from_conversations(c, pairs))
 
 
 @register("repeat_answers")
 def q_repeat_answers(spark, sf):
     """Repeated questions answered from the stored response."""
     c = load(spark, sf, "conversations")
-    m = _msgs(spark, sf)
-    return KN.repeat_answers(KN.semantic_repeat(CH.current_questions(c), m), m)
+    pairs = CH.pair_turns(c)
+    m = CH.messages_from_conversations(c, pairs)
+    return KN.repeat_answers(KN.semantic_repeat(CH.current_questions(c, pairs), m), m)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -540,9 +544,10 @@ def _chat_questions(spark, sf):
     when even, context ``en`` unless ``conv_id % 5 = 0``; the scope verdict is yes for messages under
     80 characters; keywords as for the benchmark (words ≥ 6 chars, N7, limit ``1 + conv_id % 6``)."""
     c = load(spark, sf, "conversations")
-    cq = CH.current_questions(c)
+    pairs = CH.pair_turns(c)   # ordered once, shared by the questions and the stored messages
+    cq = CH.current_questions(c, pairs)
     conv = F.split_part(F.col("id"), F.lit(":"), F.lit(1)).cast("bigint")
-    m = _msgs(spark, sf)
+    m = CH.messages_from_conversations(c, pairs)
     rc = CH.rolling_context(m, cq, RetrievalConfig().max_prompt_length).where("is_question")
     words = F.filter(F.regexp_extract_all("message", F.lit(r"[\p{L}\p{N}'-]+"), 0), lambda w: F.char_length(w) >= 6)
     q = cq.select(conv.alias("query_id"), "chat_id", F.col("id").alias("question_id"), "message",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,14 +55,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing ``df`` once as parquet into the shared checkpoint folder and reading
-    it back.
+    """Reliable checkpoint into the shared folder (survives executor loss; never ``localCheckpoint``).
 
-    Unlike an eager ``checkpoint()`` (one job to count, a second to write the files, recomputing the
-    plan), the plan runs once; the files survive executor loss, and the read-back gives the optimizer
-    real sizes and column pruning on the intermediate.
+    Measured against writing the intermediate as parquet and reading it back, the checkpoint was the
+    faster of the two on the headline queries.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/docquery-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
