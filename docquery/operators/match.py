@@ -28,6 +28,17 @@ def postings(chunks: DataFrame) -> DataFrame:
                          F.explode(F.array_distinct(tokens(F.col("chunk_text")))).alias("token"))
 
 
+def build_search_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings and vocabulary of a chunk table, each materialised once in the checkpoint folder.
+
+    Build it once per corpus (at ingest) and pass both to every query batch
+    (``search_cascade(..., post=, vocab=)``) instead of re-tokenising the chunks per batch.
+    """
+    from docquery.session import cut_lineage
+    post = cut_lineage(postings(chunks))
+    return post, cut_lineage(vocabulary(post))
+
+
 def vocabulary(post: DataFrame) -> DataFrame:
     """Distinct tokens (map-side partial distinct, one shuffle on ``token``)."""
     return post.select("token").distinct()

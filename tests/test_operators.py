@@ -246,3 +246,17 @@ def test_search_short_and_wildcard_terms_brute_force(spark):
         got.setdefault(r.query_id, []).append(r.chunk_id)
     for q, ks in queries:
         assert got.get(q, []) == _ref_search(ks, chunks), (q, ks)
+
+
+def test_prebuilt_index_gives_same_hits(spark):
+    from docquery.operators.match import build_search_index
+    rnd = random.Random(5)
+    chunks = [(f"c{i:03d}", " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 8)))) for i in range(40)]
+    queries = [(q, [rnd.choice(["foo", "bar", "o'neil", "baz"]) for _ in range(rnd.randint(1, 4))]) for q in range(12)]
+    cdf = spark.createDataFrame(chunks, "chunk_id string, chunk_text string").withColumn("context_id", F.lit("c"))
+    qdf = spark.createDataFrame(queries, "query_id int, keywords array<string>") \
+        .withColumn("context_id", F.lit(None).cast("string"))
+    post, vocab = build_search_index(cdf)
+    a = sorted(search_cascade(qdf, cdf).collect())
+    b = sorted(search_cascade(qdf, cdf, post=post, vocab=vocab).collect())
+    assert a == b and len(a) > 0
