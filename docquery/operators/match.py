@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquery.functions.keywords import like_body
 from docquery.functions.vectors import tokens
 
 

@@ -62,9 +62,9 @@ def q_answer_context(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 from pyspark.sql import functions as F  # noqa: E402
 
-from docquery.functions.keywords import capitalize, py_title, sanitize_keywords, wildcard_form  # noqa: E402
+from docquery.functions.keywords import capitalize, sanitize_keywords  # noqa: E402
 from docquery.functions.text import (citation, context_slug, final_answer, source_kind, split_response,  # noqa: E402
-                                     summary_text, verdict_flag, wrap_dollars)
+                                     summary_text, verdict_flag)
 from docquery.operators import chats as CH  # noqa: E402
 from docquery.operators import contexts as CX  # noqa: E402
 from docquery.operators import knn as KN  # noqa: E402
