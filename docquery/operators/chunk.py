@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquery import config as C
 from docquery.functions.text import strip_all
 from docquery.functions.vectors import with_embedding
+from docquery.session import spread_small
 
 CHUNK_COLUMNS = ["context_id", "chunk_id", "title", "author", "chapter", "chapter_title",
                  "page_number", "chunk_number", "chunk_text", "subject"]
@@ -74,5 +75,8 @@ def documents_as_pages(documents: DataFrame) -> DataFrame:
 
 
 def document_chunks(documents: DataFrame, with_vectors: bool = False, keep_doc_id: bool = False) -> DataFrame:
-    out = flatten_sources(documents_as_pages(documents), with_vectors=with_vectors, extra=["doc_id"])
+    # chunk rows are at most CHUNK_SIZE characters, so spreading them (not whole documents) is even
+    out = spread_small(flatten_sources(documents_as_pages(documents), extra=["doc_id"]))
+    if with_vectors:
+        out = with_chunk_vectors(out)
     return out if keep_doc_id else out.drop("doc_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docquery import config as C
 from docquery.config import RetrievalConfig
 from docquery.operators.rerank import answer_context, rerank, score_hits
-from docquery.plans.retrieval import benchmark_queries, corpus_chunks, label_verdicts, load, retrieve
+from docquery.plans.retrieval import benchmark_queries, corpus_chunks, label_verdicts, load, retrieve, stored_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -25,12 +25,12 @@ def register(name: str):
 @register("search_cascade")
 def q_search_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """R3 flagship: every benchmark question through the four-tier cascade over all document chunks."""
-    return retrieve(benchmark_queries(load(spark, sf, "benchmark")), corpus_chunks(spark, sf))
+    return retrieve(benchmark_queries(load(spark, sf, "benchmark")), stored_chunks(spark, sf))
 
 
 def _scored(spark: SparkSession, sf: str):
     q = benchmark_queries(load(spark, sf, "benchmark"))
-    ch = corpus_chunks(spark, sf, keep_doc_id=True)
+    ch = stored_chunks(spark, sf, keep_doc_id=True)
     hits = retrieve(q, ch.drop("doc_id"))
     return q, ch, hits, score_hits(hits, q, ch.drop("doc_id"))
 
@@ -85,7 +85,7 @@ def _bq(spark, sf):
 
 def _tier(t: int):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        ph = pattern_hits(_bq(spark, sf), corpus_chunks(spark, sf))
+        ph = pattern_hits(_bq(spark, sf), stored_chunks(spark, sf))
         return ph.where(F.col("tier") == t).select("query_id", "tier", "pattern_no", "rank", "score", "chunk_id")
     run.__doc__ = f"T1: per-pattern top N of tier {t} for every benchmark query."
     return run
@@ -143,7 +143,7 @@ def q_query_keywords(spark, sf):
 def q_hit_counts(spark, sf):
     """A1: number of hits per benchmark query (0 when nothing is found)."""
     q = _bq(spark, sf)
-    h = retrieve(q, corpus_chunks(spark, sf)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    h = retrieve(q, stored_chunks(spark, sf)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     return (q.select("query_id").join(h, "query_id", "left")
              .select("query_id", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits")))
 
@@ -565,7 +565,7 @@ def _prompt_inputs(spark, sf):
     q, cq, m = _chat_questions(spark, sf)
     queries = q.select("query_id", F.lit(None).cast("string").alias("context_id"),
                        F.col("message").alias("query_text"), "keywords")
-    ch = corpus_chunks(spark, sf)
+    ch = stored_chunks(spark, sf)
     ans = answer_context(rerank(score_hits(retrieve(queries, ch), queries, ch), RetrievalConfig()))
     reps = (KN.repeat_answers(KN.semantic_repeat(cq, m), m)
               .join(q.select("chat_id", "query_id"), "chat_id").select("query_id", "text"))

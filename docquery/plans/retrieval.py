@@ -36,6 +36,13 @@ def corpus_chunks(spark: SparkSession, sf_dir: str, with_vectors: bool = False,
     return document_chunks(load(spark, sf_dir, "documents"), with_vectors=with_vectors, keep_doc_id=keep_doc_id)
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str, keep_doc_id: bool = False) -> DataFrame:
+    """The chunk table as a search reads it: written once (as ingest stores it) and read back, so the
+    several text reads of a search batch do not re-chunk the documents."""
+    from docquery.session import cut_lineage
+    return cut_lineage(corpus_chunks(spark, sf_dir, keep_doc_id=keep_doc_id))
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
              post: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """Hits of every query (``query_id, pos, tier, pattern_no, rank, score, chunk_id``)."""

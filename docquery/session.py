@@ -54,6 +54,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a small input at least the cluster's default parallelism in partitions.
+
+    A table stored as one parquet row group is read by one task, and every narrow step after it
+    (chunking, tokenising, hashing) would stay on that task.  Inputs that already have enough
+    partitions – every large input – are returned untouched, so no shuffle is added at scale.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss; never ``localCheckpoint``).
 
