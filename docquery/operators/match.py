@@ -39,8 +39,15 @@ def build_search_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def vocabulary(post: DataFrame) -> DataFrame:
-    """Distinct tokens (map-side partial distinct, one shuffle on ``token``)."""
-    return post.select("token").distinct()
+    """Distinct tokens (map-side partial distinct, one shuffle on ``token``), spread over
+    ``spark.sql.shuffle.partitions`` tasks.
+
+    The distinct vocabulary is small in bytes, so AQE would coalesce it into a couple of partitions;
+    the deletion-variant and n-gram explodes that follow multiply every token by up to ~50 rows, so
+    the vocabulary is re-spread with a fixed partition count (which AQE does not coalesce).
+    """
+    n = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return post.select("token").distinct().repartition(n)
 
 
 def _deletion_rows(df: DataFrame, s: str, d: str, out: str = "variant") -> DataFrame:
@@ -120,7 +127,11 @@ def match_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
                                            F.col("xlen") + F.col("d"))).alias("tlen"), "d")
               .groupBy("tlen").agg(F.max("d").alias("vd")))
     tv = _deletion_rows(ft.select("term", "d"), "term", "d")
-    vv = _deletion_rows(v.join(need, "tlen").select("token", "vd"), "token", "vd").select("token", "variant")
+    # ``need`` holds one row per token length a term can reach (at most the longest term + 2 rows),
+    # so it is broadcast: a shuffle join on the ~30 distinct lengths would pack the vocabulary into a
+    # few tasks right before its largest explode
+    vv = _deletion_rows(v.join(F.broadcast(need), "tlen").select("token", "vd"), "token", "vd") \
+        .select("token", "variant")
     fuzzy = (vv.join(tv, "variant")
                .select("term", "token", F.expr("levenshtein(token, term, d)").alias("lev"))
                .where("lev >= 0")

@@ -74,6 +74,7 @@ from docquery.operators.sequence import ordered_index, previous_row  # noqa: E40
 from docquery.operators.search import (keyword_table, pattern_hits, term_requests,  # noqa: E402
                                        tier2_triples, tier3_pairs)
 from docquery.plans import ingest as IG  # noqa: E402
+from docquery.session import cut_lineage  # noqa: E402
 from docquery.sources import files as FL  # noqa: E402
 from docquery.sources import text as TX  # noqa: E402
 from docquery.sources.html import with_html_paragraphs, with_html_text  # noqa: E402
@@ -558,7 +559,8 @@ def _chat_questions(spark, sf):
                   sanitize_keywords(F.array_join(words, ", "), None, (F.lit(1) + F.pmod(conv, F.lit(6))).cast("int"))
                   .alias("keywords"))
     q = q.join(rc.select("chat_id", F.col("ref").alias("question_id"), "history"), ["chat_id", "question_id"])
-    return q, cq, m
+    # one row per chat, read by the search, the re-rank and the prompt join: materialise once
+    return cut_lineage(q), cq, m
 
 
 def _prompt_inputs(spark, sf):
