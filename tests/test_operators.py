@@ -260,3 +260,18 @@ def test_prebuilt_index_gives_same_hits(spark):
     a = sorted(search_cascade(qdf, cdf).collect())
     b = sorted(search_cascade(qdf, cdf, post=post, vocab=vocab).collect())
     assert a == b and len(a) > 0
+
+
+def test_parallelism_guards(spark):
+    """Small single-partition inputs are spread; the vocabulary keeps a fixed partition count."""
+    from docquery.operators.match import postings, vocabulary
+    from docquery.session import spread_small
+    n = spark.sparkContext.defaultParallelism
+    one = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "k int, v string").coalesce(1)
+    assert spread_small(one).rdd.getNumPartitions() == n
+    many = one.repartition(n + 3)
+    assert spread_small(many).rdd.getNumPartitions() == n + 3
+    ch = spark.createDataFrame([("c", "x1", "foo bar baz foo")], "context_id string, chunk_id string, chunk_text string")
+    v = vocabulary(postings(ch))
+    assert v.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.token for r in v.collect()) == ["bar", "baz", "foo"]
