@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import warc
+from .bpe import op7_bpe_codec
 from .token_binary import op9_token_binary
 
 QUERIES = {
+    "op7_bpe_codec": op7_bpe_codec,
+    "op8_warc": warc.op8_warc,
     "op9_token_binary": op9_token_binary,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_warc": warc.SQL,
+}
