@@ -5,8 +5,10 @@ from __future__ import annotations
 from . import warc
 from .bpe import op7_bpe_codec
 from .token_binary import op9_token_binary
+from .token_counts import op5_token_counts
 
 QUERIES = {
+    "op5_token_counts": op5_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_warc": warc.op8_warc,
     "op9_token_binary": op9_token_binary,

@@ -11,7 +11,8 @@
 3. Reading parses the files of the manifest record by record, checks digests of responses, and joins the
    revisits to their responses by record id.
 
-Payloads are never shuffled: the decision for a page travels to the page only where digests repeat.
+The list of revisits (ids and digests) is joined to the pages; while it is small enough for adaptive
+execution to broadcast, payloads are not shuffled at all, beyond that they are shuffled once, by id.
 
 Cases: null html is the empty payload; with ``min_bytes`` 0 empty payloads are equal to each other.  Rows
 that share the winning id are all written as responses (their record ids are equal too, and readers see
