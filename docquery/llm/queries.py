@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from . import warc
 from .bpe import op7_bpe_codec
+from .secrets import op4_secret_scan
 from .token_binary import op9_token_binary
 from .token_counts import op5_token_counts
 
 QUERIES = {
+    "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_warc": warc.op8_warc,
