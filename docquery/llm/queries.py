@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from . import warc
 from .bpe import op7_bpe_codec
+from .quality import op1_quality_classifier
 from .secrets import op4_secret_scan
 from .token_binary import op9_token_binary
 from .token_counts import op5_token_counts
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op7_bpe_codec": op7_bpe_codec,
