@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import decontaminate, warc
 from .bpe import op7_bpe_codec
 from .quality import op1_quality_classifier
 from .secrets import op4_secret_scan
@@ -16,8 +16,10 @@ QUERIES = {
     "op7_bpe_codec": op7_bpe_codec,
     "op8_warc": warc.op8_warc,
     "op9_token_binary": op9_token_binary,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 SQL: dict[str, str] = {
     "op8_warc": warc.SQL,
+    "op10_decontamination": decontaminate.SQL,
 }
