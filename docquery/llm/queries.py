@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, warc
+from . import decontaminate, rules, warc
 from .bpe import op7_bpe_codec
 from .quality import op1_quality_classifier
 from .secrets import op4_secret_scan
@@ -10,6 +10,7 @@ from .token_binary import op9_token_binary
 from .token_counts import op5_token_counts
 
 QUERIES = {
+    "op3_quality_rules": rules.op3_quality_rules,
     "op1_quality_classifier": op1_quality_classifier,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
@@ -20,6 +21,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_quality_rules": rules.SQL,
     "op8_warc": warc.SQL,
     "op10_decontamination": decontaminate.SQL,
 }
