@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, rules, warc
+from . import decontaminate, jaccard_join, rules, warc
 from .bpe import op7_bpe_codec
 from .quality import op1_quality_classifier
 from .secrets import op4_secret_scan
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_warc": warc.op8_warc,
     "op9_token_binary": op9_token_binary,
@@ -22,6 +23,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op3_quality_rules": rules.SQL,
+    "op6_ngram_jaccard_join": jaccard_join.SQL,
     "op8_warc": warc.SQL,
     "op10_decontamination": decontaminate.SQL,
 }

@@ -47,7 +47,7 @@ def default_rules() -> list[Rule]:
     lines = F.size(F.split(t, "\n"))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > F.col("n_words")),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * lines),
+        Rule("duplicate_lines", 5 * F.col("n_dup_lines") > 3 * lines),
         Rule("word_length", ~(F.col("word_chars")).between(2 * F.col("n_words"), 15 * F.col("n_words"))),
         Rule("upper_case", 10 * upper > 4 * letters),
         Rule("few_letters", 2 * letters < F.col("word_chars")),
@@ -163,7 +163,7 @@ WITH d AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * len(lines)
+  NOT (base_failed OR 10 * n_symbols > n_words OR 5 * n_dup_lines > 3 * len(lines)
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * upper > 4 * letters OR 2 * letters < word_chars
     OR 10 * digits > 3 * word_chars OR 10 * marks > n_words OR 10 * dots > 3 * len(lines) OR 10 * bullets > 9 * len(lines)) AS kept
 FROM f
