@@ -222,14 +222,14 @@ def default_pattern() -> str:
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                      with_ids: bool = False) -> DataFrame:
-    """Encode and decode each text; digests of both, and with ``with_ids`` the ids and the decoded text."""
+    """Encode and decode each text; digests of both, and with ``with_ids`` the ids themselves."""
     common.small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
               ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())]
     if with_ids:
-        schema += ", ids array<int>, decoded string"
-        fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
+        schema += ", ids array<int>"
+        fields.append(("ids", pa.list_(pa.int32())))
 
     def run(batches):
         codec = worker_codec(ranks_path, pattern)
@@ -241,7 +241,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 back = codec.decode(ids)
                 row = (doc_id, len(ids), hashlib.sha256(",".join(map(digits, ids)).encode()).hexdigest(),
                        hashlib.sha256(back.encode()).hexdigest(), back == text)
-                rows.append(row + ((ids, back) if with_ids else ()))
+                rows.append(row + ((ids,) if with_ids else ()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)],
                                                  schema=pa.schema(fields))

@@ -140,7 +140,7 @@ def reduced_sets(texts: DataFrame, left: DataFrame, n: int, percent: int) -> Dat
     kept = texts.join(left.select(*[F.col(c).alias("r" + c) for c in ("doc_id", "_th", "_tl")]),
                       F.col("doc_id").eqNullSafe(F.col("rdoc_id")) & (F.col("_th") == F.col("r_th")) & (F.col("_tl") == F.col("r_tl")))
     kept = kept.dropDuplicates(["doc_id", "_th", "_tl"])  # rows repeated as a whole
-    rows = common.staged(emitted(kept, n, None), "jaccard-shingles")
+    rows = emitted(kept, n, None).select("h", "node", "n")  # made twice from one shuffle of the texts
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     sets = rows.join(shared, "h").groupBy("node").agg(F.max("n").alias("n"), F.collect_list(F.struct("df", "h")).alias("t"))
     first = (F.size("t") - need(F.col("n"), percent) + 1).cast("int")

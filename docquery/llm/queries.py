@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, rules, warc
+from . import decontaminate, jaccard_join, line_dedup, rules, warc
 from .bpe import op7_bpe_codec
 from .quality import op1_quality_classifier
 from .secrets import op4_secret_scan
@@ -10,8 +10,9 @@ from .token_binary import op9_token_binary
 from .token_counts import op5_token_counts
 
 QUERIES = {
-    "op3_quality_rules": rules.op3_quality_rules,
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_quality_rules": rules.op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
@@ -22,6 +23,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.SQL,
     "op3_quality_rules": rules.SQL,
     "op6_ngram_jaccard_join": jaccard_join.SQL,
     "op8_warc": warc.SQL,
