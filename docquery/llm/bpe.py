@@ -6,8 +6,9 @@ bytes only needs, for the positions at which a later token may still start, the
 vocabulary can be under way are dead; what all live positions have in common is emitted.  The lookahead is
 therefore below the length of the longest token.
 
-A state is named by the last emitted token and the bytes after it.  States and transitions are made when a
-text first needs them and kept in a bounded table.  A piece that is a token as a whole is emitted at once,
+What follows a token boundary is encoded as if it stood alone, so a state is named by the bytes after the
+last emitted token.  States and transitions are made when a text first needs them and kept in a bounded
+table.  A piece that is a token as a whole is emitted at once,
 as the public library does.
 
 Decoding.  A machine whose state is the bytes of an unfinished character maps (state, token) to (text,
@@ -32,10 +33,9 @@ from . import common
 from .pieces import Pieces
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 150_000   # states kept per worker; the table is emptied when full
+MAX_STATES = 250_000   # states kept per worker; the table is emptied when full
 MAX_DECODE = 200_000   # decode transitions kept per worker
 MEMO_PARTS = 500_000   # parts of texts whose ids are kept per worker
-NONE = -1              # "no token before": the state at the start of a piece
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,18 +70,18 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.name: list[tuple[int, bytes]] = []       # state -> (last emitted token, bytes after it)
+        self.name: list[bytes] = []                   # state -> bytes after the last emitted token
         self.last: list[tuple[int, ...]] = []         # state -> last token of each prefix of those bytes
-        self.index: dict[tuple[int, bytes], int] = {}
+        self.index: dict[bytes, int] = {}
         self.step: list[dict[int, tuple[int, tuple[int, ...]]]] = []
         self.rest: list[tuple[int, ...] | None] = []  # state -> ids to emit when the piece ends here, once needed
-        self.start = self.state(NONE, b"", ())
+        self.start = self.state(b"", ())
 
-    def state(self, before: int, tail: bytes, last: tuple[int, ...]) -> int:
-        s = self.index.get((before, tail))
+    def state(self, tail: bytes, last: tuple[int, ...]) -> int:
+        s = self.index.get(tail)
         if s is None:
-            s = self.index[before, tail] = len(self.name)
-            self.name.append((before, tail))
+            s = self.index[tail] = len(self.name)
+            self.name.append(tail)
             self.last.append(last)
             self.step.append({})
             self.rest.append(None)
@@ -96,13 +96,9 @@ class Transducer:
         return tuple(reversed(out))
 
     def transition(self, s: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, tail = self.name[s]
-        last, tail = self.last[s], tail + bytes([byte])
+        last, tail = self.last[s], self.name[s] + bytes([byte])
         n = len(tail)
-        # neighbours in an encoding stay neighbours in that of any stretch of it, so the stretch from the
-        # last emitted token on is enough to find the last token of this prefix
-        tok = merge_bytes((self.bytes_of[before] if before != NONE else b"") + tail, self.ranks)[-1]
-        last = (*last, tok)
+        last = (*last, merge_bytes(tail, self.ranks)[-1])
         # positions at which a later token may start: the end, and those before bytes that begin a token
         live = [n] + [i for i in range(max(0, n - self.longest + 1), n) if tail[i:] in self.under_way]
         if 0 in live:
@@ -114,8 +110,8 @@ class Transducer:
             done = low[:same]
         if done:
             cut = sum(len(self.bytes_of[t]) for t in done)
-            before, tail, last = done[-1], tail[cut:], last[cut:]
-        to = (self.state(before, tail, last), done)
+            tail, last = tail[cut:], last[cut:]
+        to = (self.state(tail, last), done)
         self.step[s][byte] = to
         return to
 
