@@ -56,7 +56,7 @@ def fingerprints(texts: DataFrame, keys: list[str], window: int, k: int) -> Data
     m = F.col("_m")
     # a position is kept if it holds the minimum of any window over it: the largest of those minima is its hash
     kept = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_max(
-        F.slice(m, F.greatest(i - (span - 2), F.lit(1)), F.lit(span))) == g[i])
+        F.slice(m, F.greatest(i - (span - 2), F.lit(1)), F.least(F.lit(span), i + 1))) == g[i])
     df = df.select(*keys, "_g", F.explode(kept).alias("_at"))
     return df.select(*keys, F.element_at("_g", F.col("_at") + 1).alias("_hash"), "_at")
 
@@ -136,8 +136,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_i
     hits = common.staged(find_hits(docs, items, id_col, text_col, item_col, item_text_col, window, k)
                          .select(*[F.col(c).alias("r" + c) for c in KEYS]), "contaminated")
     ident, th, tl = common.row_key(id_col, text_col)
-    columns = [F.col(c) for c in docs.columns]
-    keyed = docs.select(F.struct(*columns).alias("_row"), ident, th, tl)
+    keyed = docs.select(F.struct("*").alias("_row"), ident, th, tl)
     same_row = F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_th") == F.col("r_th")) & (F.col("_tl") == F.col("r_tl"))
     return keyed.join(hits, same_row, "left_anti").select("_row.*")
 
