@@ -98,17 +98,20 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_col: str | None = None, kind: str = "line",
                     min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the removed units cut from the text, and column ``removed_spans`` with their original offsets."""
+    """``docs`` with the removed units cut from the text, and column ``removed_spans`` (replacing one of that
+    name) with their original offsets, null where nothing was removed."""
     spans = (repeated_spans(docs, id_col, text_col, rank_col, kind, min_words).groupBy(F.col("doc_id").alias("r_id"), F.col("_th").alias("r_th"))
              .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed_spans")))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("r_id")) & (F.xxhash64(F.col(text_col)) == F.col("r_th"))
-    joined = docs.join(spans, same, "left").drop("r_id", "r_th")
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"))
+    joined = keyed.join(spans, F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_th") == F.col("r_th")), "left")
 
     @F.pandas_udf("string")
     def cut_texts(texts: pd.Series, removed: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else cut(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, removed)])
 
-    return joined.withColumn(text_col, cut_texts(F.col(text_col), F.col("removed_spans")))
+    new = joined.select("_row", cut_texts(F.col("_row").getField(text_col), F.col("removed_spans")).alias("_new"), "removed_spans")
+    return new.select(*[F.col("_new").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns if c != "removed_spans"],
+                      "removed_spans")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
