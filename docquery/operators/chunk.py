@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from docquery import config as C
 from docquery.functions.text import strip_all
 from docquery.functions.vectors import with_embedding
-from docquery.session import spread_small
 
 CHUNK_COLUMNS = ["context_id", "chunk_id", "title", "author", "chapter", "chapter_title",
                  "page_number", "chunk_number", "chunk_text", "subject"]
 
 
 def chunk_id(context_id="context_id", title="title", chapter="chapter", page="page_number",
-             chunk="chunk_number") -> Column:
-    """Deterministic row id (sha-256 of the row's key) instead of a random uuid."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in (context_id, title, chapter, page, chunk)]
+             chunk="chunk_number", source_key: str | None = None) -> Column:
+    """Deterministic row id (sha-256 of the row's key) instead of a random uuid.
+
+    ``source_key`` (path or position of the file) keeps the ids of sources that share a title apart."""
+    keys = (context_id, *([source_key] if source_key else []), title, chapter, page, chunk)
+    cols = [F.col(c) if isinstance(c, str) else c for c in keys]
     return F.sha2(F.concat_ws(C.ID_SEPARATOR, *[c.cast("string") for c in cols]), 256)
 
 
@@ -41,13 +43,15 @@ def flatten_sources(pages: DataFrame, size: int = C.CHUNK_SIZE, with_vectors: bo
 
     ``pages``: ``context_id, title, author, chapter, chapter_title, page_number, subject, text``.
     Titles are stripped here (after the registry keyed them unstripped). ``extra`` columns pass through.
+    A ``source_key`` column, where there is one, is part of the ids.
     """
     extra = list(extra or [])
-    base = pages.select(*extra, "context_id", strip_all(F.col("title")).alias("title"), "author",
+    key = "source_key" if "source_key" in pages.columns else None
+    base = pages.select(*extra, *([key] if key else []), "context_id", strip_all(F.col("title")).alias("title"), "author",
                         F.col("chapter").cast("int").alias("chapter"), "chapter_title",
                         F.col("page_number").cast("int").alias("page_number"), "subject", "text")
     ch = explode_chunks(base, "text", size)
-    out = ch.select(*extra, "context_id", chunk_id().alias("chunk_id"), "title", "author", "chapter", "chapter_title",
+    out = ch.select(*extra, "context_id", chunk_id(source_key=key).alias("chunk_id"), "title", "author", "chapter", "chapter_title",
                     "page_number", F.col("chunk_number").cast("int").alias("chunk_number"), "chunk_text", "subject")
     if with_vectors:
         out = with_chunk_vectors(out)
@@ -75,8 +79,7 @@ def documents_as_pages(documents: DataFrame) -> DataFrame:
 
 
 def document_chunks(documents: DataFrame, with_vectors: bool = False, keep_doc_id: bool = False) -> DataFrame:
-    # chunk rows are at most CHUNK_SIZE characters, so spreading them (not whole documents) is even
-    out = spread_small(flatten_sources(documents_as_pages(documents), extra=["doc_id"]))
+    out = flatten_sources(documents_as_pages(documents), extra=["doc_id"])
     if with_vectors:
         out = with_chunk_vectors(out)
     return out if keep_doc_id else out.drop("doc_id")

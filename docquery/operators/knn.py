@@ -13,6 +13,7 @@ from docquery import config as C
 from docquery.functions.text import unwrap_dollars
 from docquery.functions.vectors import dense_cosine, dense_norm2, with_embedding, with_sparse_cosine
 
+SALTS = 32  # parts of a chat in the nearest-prompt search
 REPEAT_LEAD = "This question was answered earlier in this chat; the earlier answer follows:"  # our wording
 
 
@@ -23,11 +24,14 @@ def semantic_repeat(questions: DataFrame, messages: DataFrame, threshold: float
     q = with_embedding(questions.select("chat_id", F.col("id").alias("question_id"), "message"),
                        "message", "qv", "qn")
     m = with_embedding(messages.select("chat_id", "id", "prompt"), "prompt", "mv", "mn")
-    j = with_sparse_cosine(q.join(m, "chat_id"), "qv", "mv", "qn", "mn", "cosine")
-    # best per question as a partial aggregate (map-side combine): a chat holding a third of all
-    # messages still sends one row per map task to the shuffle
-    best = (j.groupBy("chat_id", "question_id")
-             .agg(F.min_by(F.struct("id", "cosine"), F.struct((-F.col("cosine")).alias("nc"), "id")).alias("b")))
+    # the messages of a chat are dealt over a fixed number of salts, with its one question at each, so a
+    # chat holding a third of all messages is many tasks; the best of each salt, then the best of those
+    m = m.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    j = with_sparse_cosine(q.join(m, ["chat_id", "_salt"]), "qv", "mv", "qn", "mn", "cosine")
+    nearest = F.struct((-F.col("cosine")).alias("nc"), "id")
+    some = j.groupBy("chat_id", "question_id", "_salt").agg(F.min_by(F.struct("id", "cosine"), nearest).alias("b"))
+    best = some.groupBy("chat_id", "question_id").agg(F.min_by("b", F.struct((-F.col("b.cosine")).alias("nc"), F.col("b.id").alias("id"))).alias("b"))
     return best.select("chat_id", "question_id", F.col("b.id").alias("nearest_id"),
                        F.round("b.cosine", 6).alias("cosine"), (F.col("b.cosine") > F.lit(threshold)).alias("repeated"))
 
@@ -49,11 +53,11 @@ def label_centroids(vectors: DataFrame, key: str = "label", vec: str = "embeddin
 
 
 def vector_cosine(vectors: DataFrame, key: str = "label", vec: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """Cosine of every vector with the centroid of its own key (rounded to 6 places)."""
+    """Cosine of every vector with the centroid of its own key."""
     c = label_centroids(vectors, key, vec).withColumn("cn", dense_norm2("centroid"))
     v = vectors.select(id_col, key, vec).withColumn("vn", dense_norm2(vec))
     return (v.join(c, key)
-             .select(id_col, key, F.round(dense_cosine(vec, "centroid", "vn", "cn"), 6).alias("cosine")))
+             .select(id_col, key, dense_cosine(vec, "centroid", "vn", "cn").alias("cosine")))
 
 
 def knn_exact(vectors: DataFrame, k: int = 4, key: str = "label", vec: str = "embedding",
@@ -66,4 +70,4 @@ def knn_exact(vectors: DataFrame, k: int = 4, key: str = "label", vec: str = "em
     cs = vector_cosine(vectors, key, vec, id_col)
     w = Window.partitionBy(key).orderBy(F.desc("cosine"), F.asc(id_col))
     return (cs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-              .select(key, "rank", id_col, "cosine"))
+              .select(key, "rank", id_col, F.round("cosine", 6).alias("cosine")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.config import RetrievalConfig
-from docquery.functions.text import citation, flatten_newlines, verdict_flag
+from docquery.functions.text import citation, flatten_newlines, split_response, verdict_flag
 from docquery.functions.vectors import with_embedding, with_sparse_cosine
 from docquery.session import cut_lineage
 
@@ -63,11 +63,11 @@ def rerank(scored: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
 
 
 def answer_context(answers: DataFrame) -> DataFrame:
-    """A4: per query, the answer texts joined as ``'\\n' + text + '\\n'`` in answer order, and sources."""
+    """A4: per query, the answer texts (N5 split) joined as ``'\\n' + text + '\\n'`` in answer order, and sources."""
     agg = answers.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("answer_no", "text", "source"))).alias("a"))
     return agg.select("query_id",
-                      F.array_join(F.transform("a", lambda e: F.concat(F.lit("\n"), e["text"], F.lit("\n"))), "")
+                      F.array_join(F.transform("a", lambda e: F.concat(F.lit("\n"), split_response(e["text"]), F.lit("\n"))), "")
                       .alias("context_text"),
                       F.transform("a", lambda e: e["source"]).alias("sources"),
                       F.size("a").alias("n_answers"))

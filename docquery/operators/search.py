@@ -187,10 +187,11 @@ def keyword_flags(kw: DataFrame, chunks: DataFrame, post: DataFrame | None = Non
                             F.concat(F.lit("%"), like_body(F.col("term")), F.lit("%")).alias("pat")))
     wild_i = _verify_like(wild_cand, chunks, "pat").select("query_id", "kw_no", "role", "chunk_id",
                                                            F.lit(True).alias("i"))
-    # ... as an equi-join on the chunk length (chunk texts hold at most CHUNK_SIZE characters)
+    # ... as an equi-join on the chunk length, up to the longest chunk there is
+    longest = chunks.agg(F.max(F.char_length("chunk_text"))).first()[0] or 0
     k = F.char_length("term")
     lens = only_wild.select("query_id", F.col("context_id").alias("q_ctx"), "kw_no", "role",
-                            F.explode(F.sequence(k, F.greatest(F.lit(C.CHUNK_SIZE), k))).alias("clen"))
+                            F.explode(F.sequence(k, F.greatest(F.lit(longest), k))).alias("clen"))
     clen = chunks.select("context_id", "chunk_id", F.char_length("chunk_text").alias("clen"))
     wild_i = wild_i.unionByName(lens.join(clen, "clen").where(scope)
                                     .select("query_id", "kw_no", "role", "chunk_id", F.lit(True).alias("i")))

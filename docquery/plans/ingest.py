@@ -26,11 +26,10 @@ def registered_books(files: DataFrame) -> DataFrame:
     ``files``: ``file_pos, path, context, content`` (``content`` = the file's text; for paged kinds the
     pages separated by ``page_sep``).
     """
-    ta = FL.title_author(files)
-    win = ta.groupBy("title").agg(F.max("file_pos").alias("file_pos"))
-    return (ta.join(win, ["title", "file_pos"])
-              .join(files.select("file_pos", "context", "content"), "file_pos")
-              .select("file_pos", "kind", "title", "author", F.col("context").alias("subject"),
+    ta = FL.title_author(files, ["context", "content"])
+    win = ta.groupBy("title").agg(F.max("file_pos").alias("file_pos")).select("file_pos")
+    return (ta.join(win, "file_pos")
+              .select("file_pos", F.col("path").alias("source_key"), "kind", "title", "author", F.col("context").alias("subject"),
                       F.col("context").alias("context_id"), "content"))
 
 
@@ -41,7 +40,7 @@ def book_pages(books: DataFrame, kinds: list[str] = ALL_KINDS, page_sep: str = "
     ``epub_items``: ``file_pos, item_no, item_name, html`` – the items of chaptered (.epub) books; the
     container itself is not decoded here.
     """
-    src = books.select("file_pos", "kind", "context_id", "title", "author", "subject",
+    src = books.select("file_pos", "source_key", "kind", "context_id", "title", "author", "subject",
                        F.col("content").alias("text"))
     parts = []
 
@@ -60,7 +59,7 @@ def book_pages(books: DataFrame, kinds: list[str] = ALL_KINDS, page_sep: str = "
         parts.append(TX.text_pages(with_html_text(h, "html", "text")))
     if ".epub" in kinds and epub_items is not None:
         from docquery.sources.html import with_html_paragraphs
-        b = src.where(F.col("kind") == ".epub").select("file_pos", "context_id", "title", "author", "subject")
+        b = src.where(F.col("kind") == ".epub").select("file_pos", "source_key", "context_id", "title", "author", "subject")
         items = b.join(epub_items.select("file_pos", "item_no", "item_name", "html"), "file_pos").drop("file_pos")
         parts.append(TX.chaptered_pages(with_html_paragraphs(items, "html", "paragraphs")))
     out = parts[0]

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from docquery import config as C
 from docquery.config import RetrievalConfig
 from docquery.operators.rerank import answer_context, rerank, score_hits
-from docquery.plans.retrieval import benchmark_queries, corpus_chunks, label_verdicts, load, retrieve, stored_chunks
+from docquery.plans.retrieval import (benchmark_queries, corpus_chunks, label_verdicts, load, rank_keywords, retrieve,
+                                      single_keyword_queries, stored_chunks)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -25,12 +26,13 @@ def register(name: str):
 @register("search_cascade")
 def q_search_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """R3 flagship: every benchmark question through the four-tier cascade over all document chunks."""
-    return retrieve(benchmark_queries(load(spark, sf, "benchmark")), stored_chunks(spark, sf))
+    ch = stored_chunks(spark, sf)
+    return retrieve(benchmark_queries(load(spark, sf, "benchmark"), ch), ch)
 
 
 def _scored(spark: SparkSession, sf: str):
-    q = benchmark_queries(load(spark, sf, "benchmark"))
     ch = stored_chunks(spark, sf, keep_doc_id=True)
+    q = benchmark_queries(load(spark, sf, "benchmark"), ch)
     hits = retrieve(q, ch.drop("doc_id"))
     return q, ch, hits, score_hits(hits, q, ch.drop("doc_id"))
 
@@ -64,7 +66,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from docquery.functions.keywords import capitalize, sanitize_keywords  # noqa: E402
 from docquery.functions.text import (citation, context_slug, final_answer, source_kind, split_response,  # noqa: E402
-                                     summary_text, verdict_flag)
+                                     summary_text, unwrap_dollars, verdict_flag)
 from docquery.operators import chats as CH  # noqa: E402
 from docquery.operators import contexts as CX  # noqa: E402
 from docquery.operators import knn as KN  # noqa: E402
@@ -80,15 +82,18 @@ from docquery.sources import text as TX  # noqa: E402
 from docquery.sources.html import with_html_paragraphs, with_html_text  # noqa: E402
 
 
-def _bq(spark, sf):
-    return benchmark_queries(load(spark, sf, "benchmark"))
+def _bq(spark, sf, chunks=None):
+    return benchmark_queries(load(spark, sf, "benchmark"), stored_chunks(spark, sf) if chunks is None else chunks)
 
 
 def _tier(t: int):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        ph = pattern_hits(_bq(spark, sf), stored_chunks(spark, sf))
+        ch = stored_chunks(spark, sf)
+        q = _bq(spark, sf, ch)
+        ph = pattern_hits(single_keyword_queries(q) if t == 4 else q, ch)
         return ph.where(F.col("tier") == t).select("query_id", "tier", "pattern_no", "rank", "score", "chunk_id")
-    run.__doc__ = f"T1: per-pattern top N of tier {t} for every benchmark query."
+    run.__doc__ = (f"T1: per-pattern top N of tier {t} for every benchmark query"
+                   + (", one query per keyword." if t == 4 else "."))
     return run
 
 
@@ -99,8 +104,9 @@ for _t in (1, 2, 3, 4):
 @register("keyword_token_matches")
 def q_keyword_token_matches(spark, sf):
     """Every search term of the benchmark queries × matching vocabulary tokens (contains / edit distance)."""
-    terms = term_requests(keyword_table(_bq(spark, sf))).select("term", "d")
-    vocab = vocabulary(postings(corpus_chunks(spark, sf)))
+    ch = stored_chunks(spark, sf)
+    terms = term_requests(keyword_table(_bq(spark, sf, ch))).select("term", "d")
+    vocab = vocabulary(postings(ch))
     return match_terms(terms, vocab)
 
 
@@ -131,20 +137,21 @@ def q_sanitize_keywords(spark, sf):
     """P13/F7 (N7): every benchmark text as a raw keyword answer, omit list ['The', 'and'], limit 6."""
     b = load(spark, sf, "benchmark")
     omit = F.array(F.lit("The"), F.lit("and"))
-    return b.select("item_id", sanitize_keywords(F.col("text"), omit, 6).alias("keywords"))
+    return b.select("item_id", sanitize_keywords(F.col("text"), omit, RetrievalConfig().keywords_limit).alias("keywords"))
 
 
 @register("query_keywords")
 def q_query_keywords(spark, sf):
-    """R2 (fixture): the keyword list of every benchmark query (words ≥ 6 chars, N7, limit 1 + id % 6)."""
-    return _bq(spark, sf).select("query_id", "keywords", F.size("keywords").alias("n_keywords"))
+    """R2: context and keywords of every benchmark text (all its words ranked by tf·idf, N7)."""
+    return _bq(spark, sf).select("query_id", "context_id", "keywords", F.size("keywords").alias("n_keywords"))
 
 
 @register("hit_counts")
 def q_hit_counts(spark, sf):
     """A1: number of hits per benchmark query (0 when nothing is found)."""
-    q = _bq(spark, sf)
-    h = retrieve(q, stored_chunks(spark, sf)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    ch = stored_chunks(spark, sf)
+    q = _bq(spark, sf, ch)
+    h = retrieve(q, ch).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     return (q.select("query_id").join(h, "query_id", "left")
              .select("query_id", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits")))
 
@@ -152,9 +159,9 @@ def q_hit_counts(spark, sf):
 @register("attach_vectors")
 def q_attach_vectors(spark, sf):
     """Hits joined to their chunk vectors (norm, bucket count and bucket checksum)."""
-    ch = with_chunk_vectors(corpus_chunks(spark, sf))
-    h = retrieve(_bq(spark, sf), ch.drop("chunk_vector", "vector_norm2"))
-    j = h.join(ch.select("chunk_id", "chunk_vector", "vector_norm2"), "chunk_id")
+    ch = stored_chunks(spark, sf)
+    h = retrieve(_bq(spark, sf, ch), ch)
+    j = with_chunk_vectors(h.join(ch.select("chunk_id", "chunk_text"), "chunk_id"))
     return j.select("query_id", "pos", "chunk_id", "vector_norm2", F.size("chunk_vector").alias("n_buckets"),
                     F.aggregate("chunk_vector", F.lit(0).cast("bigint"),
                                 lambda a, e: a + e["b"].cast("bigint") * e["c"]).alias("checksum"))
@@ -182,7 +189,7 @@ def q_embed_documents(spark, sf):
 @register("vector_cosine")
 def q_vector_cosine(spark, sf):
     """Cosine of every embedding with its label centroid."""
-    return KN.vector_cosine(load(spark, sf, "embeddings"))
+    return KN.vector_cosine(load(spark, sf, "embeddings")).withColumn("cosine", F.round("cosine", 6))
 
 
 @register("knn_exact")
@@ -222,13 +229,13 @@ def q_verdict_flag(spark, sf):
 def q_chat_summary_text(spark, sf):
     """Summary text of every user turn from a fixture paraphrase answer."""
     c = load(spark, sf, "conversations").where(F.col("role") == "user")
-    raw = F.concat(F.lit('Sure! Here is the paraphrased message: "'), F.col("text"), F.lit('"'))
+    raw = F.concat(F.lit('Short form of the message: "'), F.col("text"), F.lit('"'))
     return c.select("conv_id", "turn", summary_text(raw).alias("summary"))
 
 
 def _names(spark, sf):
     d = load(spark, sf, "documents")
-    w1 = F.coalesce(F.try_element_at(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}'-]+"), 0), F.lit(1)), F.lit(""))
+    w1 = F.regexp_extract("text", r"[\p{L}\p{N}'-]+", 0)
     name = F.when(F.pmod("doc_id", F.lit(4)) == 0, F.concat(F.col("doc_id").cast("string"), F.lit("-"), w1)) \
             .otherwise(F.concat(w1, F.lit(" "), F.col("source")))
     return d.select("doc_id", name.alias("display_name"))
@@ -251,18 +258,19 @@ def q_citations(spark, sf):
 # sources
 # ---------------------------------------------------------------------------------------------
 def _files(spark, sf):
-    return FL.document_files(load(spark, sf, "documents"))
+    """Every document under every extension."""
+    return FL.document_files(load(spark, sf, "documents"), ext=FL.FIXTURE_EXTENSIONS)
 
 
-def _sources_of_kind(spark, sf, kinds):
-    ta = FL.title_author(_files(spark, sf)).where(F.col("kind").isin(*kinds))
-    d = load(spark, sf, "documents").select(F.col("doc_id").alias("file_pos"), "text", "lang")
-    return ta.join(d, "file_pos").select(F.col("lang").alias("context_id"), "title", "author",
-                                         F.col("lang").alias("subject"), "text")
+def _sources_of_kind(spark, sf, kind):
+    """Every document as a file of one kind."""
+    files = FL.document_files(load(spark, sf, "documents"), extra=["text", "lang"], ext=kind)
+    return FL.title_author(files, ["text", "lang"]).select(F.col("path").alias("source_key"), F.col("lang").alias("context_id"), "title",
+                                                           "author", F.col("lang").alias("subject"), "text")
 
 
 def _paged(spark, sf):
-    return TX.paged_pages(_sources_of_kind(spark, sf, [".pdf"]))
+    return TX.paged_pages(_sources_of_kind(spark, sf, ".pdf"))
 
 
 @register("source_dispatch")
@@ -280,32 +288,32 @@ def q_source_title_author(spark, sf):
 @register("source_registry")
 def q_source_registry(spark, sf):
     """S3: registry keyed by unstripped title; later file wins, first position kept."""
-    return FL.source_registry(_files(spark, sf))
+    return FL.source_registry(FL.document_files(load(spark, sf, "documents")))
 
 
 @register("source_page_counts")
 def q_source_page_counts(spark, sf):
-    """Pages per paged source."""
+    """Pages of every document as a paged source."""
     return FL.source_page_counts(_paged(spark, sf))
 
 
 @register("ingest_text")
 def q_ingest_text(spark, sf):
-    """Plain-text files (.txt/.docx/.doc text) → chunks."""
-    ch = flatten_sources(TX.text_pages(_sources_of_kind(spark, sf, [".txt", ".docx", ".doc"])))
+    """Every document as a plain-text file → chunks."""
+    ch = flatten_sources(TX.text_pages(_sources_of_kind(spark, sf, ".txt")))
     return ch.select("context_id", "chunk_id", "title", "author", "chunk_number", "chunk_text")
 
 
 @register("ingest_markdown")
 def q_ingest_markdown(spark, sf):
-    """Markdown files → text (native regex chain) → chunks."""
-    ch = flatten_sources(TX.markdown_pages(_sources_of_kind(spark, sf, [".md"])))
+    """Every document as a Markdown file → text (native regex chain) → chunks."""
+    ch = flatten_sources(TX.markdown_pages(_sources_of_kind(spark, sf, ".md")))
     return ch.select("context_id", "chunk_id", "title", "author", "chunk_number", "chunk_text")
 
 
 @register("ingest_paged")
 def q_ingest_paged(spark, sf):
-    """Paged files → one page per line (0-based) → per-page chunks."""
+    """Every document as a paged file → one page per line (0-based) → per-page chunks."""
     ch = flatten_sources(_paged(spark, sf))
     return ch.select("context_id", "chunk_id", "title", "author", "page_number", "chunk_number", "chunk_text")
 
@@ -439,6 +447,19 @@ def _msgs(spark, sf):
     return CH.messages_from_conversations(load(spark, sf, "conversations"))
 
 
+def _questions(spark, sf):
+    """Current questions and stored messages.  Chats with ``conv_id % 7 = 1`` that have a stored message
+    ask their first prompt again, so that repeated questions occur."""
+    c = load(spark, sf, "conversations")
+    pairs = CH.pair_turns(c)   # ordered once, shared by the questions and the stored messages
+    m = CH.messages_from_conversations(c, pairs)
+    first = m.groupBy("chat_id").agg(F.min_by("prompt", F.struct("datetime", "id")).alias("first"))
+    again = F.col("first").isNotNull() & (F.pmod(F.split_part("id", F.lit(":"), F.lit(1)).cast("bigint"), F.lit(7)) == 1)
+    cq = CH.current_questions(c, pairs)
+    cq = cq.join(first, "chat_id", "left").withColumn("message", F.when(again, unwrap_dollars(F.col("first"))).otherwise(F.col("message")))
+    return cq.drop("first"), m
+
+
 def _fmt(df):
     return df.withColumn("datetime", F.date_format("datetime", CH.TS_FORMAT))
 
@@ -464,10 +485,8 @@ def q_chat_history(spark, sf):
 @register("rolling_context")
 def q_rolling_context(spark, sf):
     """Last five pairs before every message and every current question, tail-trimmed."""
-    c = load(spark, sf, "conversations")
-    pairs = CH.pair_turns(c)
-    return CH.rolling_context(CH.messages_from_conversations(c, pairs), CH.current_questions(c, pairs),
-                              RetrievalConfig().max_prompt_length)
+    cq, m = _questions(spark, sf)
+    return CH.rolling_context(m, cq, RetrievalConfig().max_prompt_length)
 
 
 @register("chat_list")
@@ -513,25 +532,24 @@ def q_next_chat_after_delete(spark, sf):
 
 @register("delete_all_chats")
 def q_delete_all_chats(spark, sf):
-    """U4: the emptied messages table."""
-    return _fmt(CH.delete_all_chats(_msgs(spark, sf)))
+    """U4: messages of every chat before and after deleting all chats."""
+    m = _msgs(spark, sf)
+    left = CH.delete_all_chats(m).groupBy("chat_id").agg(F.count(F.lit(1)).alias("remaining"))
+    return _sizes(m).join(left, "chat_id", "left").select("chat_id", F.col("n").alias("deleted"),
+                                                          F.coalesce("remaining", F.lit(0)).cast("bigint").alias("remaining"))
 
 
 @register("semantic_repeat")
 def q_semantic_repeat(spark, sf):
     """Nearest stored prompt of every chat's current question, and whether cosine > 0.9."""
-    c = load(spark, sf, "conversations")
-    pairs = CH.pair_turns(c)
-    return KN.semantic_repeat(CH.current_questions(c, pairs), CH.messages_from_conversations(c, pairs))
+    return KN.semantic_repeat(*_questions(spark, sf))
 
 
 @register("repeat_answers")
 def q_repeat_answers(spark, sf):
     """Repeated questions answered from the stored response."""
-    c = load(spark, sf, "conversations")
-    pairs = CH.pair_turns(c)
-    m = CH.messages_from_conversations(c, pairs)
-    return KN.repeat_answers(KN.semantic_repeat(CH.current_questions(c, pairs), m), m)
+    cq, m = _questions(spark, sf)
+    return KN.repeat_answers(KN.semantic_repeat(cq, m), m)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -543,21 +561,15 @@ from docquery.plans.prompts import assemble_prompts, finalise  # noqa: E402
 def _chat_questions(spark, sf):
     """Fixture settings per chat (data-driven rules): search on unless ``conv_id % 3 = 0``, safe mode
     when even, context ``en`` unless ``conv_id % 5 = 0``; the scope verdict is yes for messages under
-    80 characters; keywords as for the benchmark (words ≥ 6 chars, N7, limit ``1 + conv_id % 6``)."""
-    c = load(spark, sf, "conversations")
-    pairs = CH.pair_turns(c)   # ordered once, shared by the questions and the stored messages
-    cq = CH.current_questions(c, pairs)
+    80 characters.  Keywords are ranked as for the benchmark."""
+    cq, m = _questions(spark, sf)
     conv = F.split_part(F.col("id"), F.lit(":"), F.lit(1)).cast("bigint")
-    m = CH.messages_from_conversations(c, pairs)
     rc = CH.rolling_context(m, cq, RetrievalConfig().max_prompt_length).where("is_question")
-    words = F.filter(F.regexp_extract_all("message", F.lit(r"[\p{L}\p{N}'-]+"), 0), lambda w: F.char_length(w) >= 6)
     q = cq.select(conv.alias("query_id"), "chat_id", F.col("id").alias("question_id"), "message",
                   (F.pmod(conv, F.lit(3)) != 0).alias("search_on"), (F.pmod(conv, F.lit(2)) == 0).alias("safe_mode"),
                   F.when(F.pmod(conv, F.lit(5)) != 0, F.lit("en")).otherwise(F.lit("< None >")).alias("context"),
                   F.when(F.char_length("message") < 80, F.lit("Assistant: Yes")).otherwise(F.lit("Assistant: No"))
-                  .alias("unsafe_text"),
-                  sanitize_keywords(F.array_join(words, ", "), None, (F.lit(1) + F.pmod(conv, F.lit(6))).cast("int"))
-                  .alias("keywords"))
+                  .alias("unsafe_text"))
     q = q.join(rc.select("chat_id", F.col("ref").alias("question_id"), "history"), ["chat_id", "question_id"])
     # one row per chat, read by the search, the re-rank and the prompt join: materialise once
     return cut_lineage(q), cq, m
@@ -565,9 +577,10 @@ def _chat_questions(spark, sf):
 
 def _prompt_inputs(spark, sf):
     q, cq, m = _chat_questions(spark, sf)
-    queries = q.select("query_id", F.lit(None).cast("string").alias("context_id"),
-                       F.col("message").alias("query_text"), "keywords")
     ch = stored_chunks(spark, sf)
+    asked = q.where(F.col("search_on") & (F.col("context") != C.NO_CONTEXT))  # only these are searched, in their context
+    queries = cut_lineage(rank_keywords(asked.select("query_id", F.col("message").alias("query_text")), ch).drop("context_id")
+                          .join(asked.select("query_id", F.col("context").alias("context_id")), "query_id"))
     ans = answer_context(rerank(score_hits(retrieve(queries, ch), queries, ch), RetrievalConfig()))
     reps = (KN.repeat_answers(KN.semantic_repeat(cq, m), m)
               .join(q.select("chat_id", "query_id"), "chat_id").select("query_id", "text"))
@@ -595,7 +608,7 @@ def q_final_answers(spark, sf):
     cl = CH.chat_list(m)
     chats = (q.select("query_id", "chat_id", "message").join(cl, "chat_id", "left")
               .select("query_id", "message", F.coalesce("summary", F.lit(C.NEW_CHAT)).alias("summary"),
-                      F.concat(F.lit("Here is the paraphrased message: "), F.col("message")).alias("paraphrase")))
+                      F.concat(F.lit("Short form of the message: "), F.col("message")).alias("paraphrase")))
     return finalise(p, resp, chats)
 
 

@@ -5,30 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery import config as C
 from docquery.config import RetrievalConfig
 from docquery.functions.keywords import sanitize_keywords
 from docquery.functions.vectors import tokens
 from docquery.operators.chunk import document_chunks
+from docquery.operators.match import postings
 from docquery.operators.search import search_cascade
-
-FIXTURE_MIN_WORD = 6
-
+from docquery.session import cut_lineage
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def benchmark_queries(benchmark: DataFrame) -> DataFrame:
-    """Fixture stand-in for the model's keyword answer (R2): the words of at least six characters of
-    the query text, in order, comma-separated, then N7 with limit ``1 + item_id % 6`` so that every
-    tier is exercised.  Queries search every context (``context_id`` null)."""
-    words = F.filter(tokens(F.col("text")), lambda w: F.char_length(w) >= FIXTURE_MIN_WORD)
-    raw = F.array_join(words, ", ")
-    limit = (F.lit(1) + F.pmod(F.col("item_id"), F.lit(6))).cast("int")
-    return benchmark.select(F.col("item_id").alias("query_id"), F.lit(None).cast("string").alias("context_id"),
-                            F.col("text").alias("query_text"),
-                            sanitize_keywords(raw, None, limit).alias("keywords"))
+def rank_keywords(texts: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """R2: ``query_id, context_id, query_text, keywords`` from ``texts`` (``query_id, query_text``).
+
+    All words of the text are ranked by tf·idf over the chunks (ties: first place in the text) and go
+    through N7, which keeps ``keywords_limit`` of them.  The context is the one whose chunks hold most of
+    the text's words (ties: smallest id; null, meaning every context, if none holds any).
+    """
+    words = texts.select("query_id", F.posexplode(tokens(F.col("query_text"))).alias("pos", "token"))
+    tf = cut_lineage(words.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos")))
+    found = cut_lineage(postings(chunks).join(tf.select("token").distinct(), "token")
+                        .groupBy("token", "context_id").agg(F.count(F.lit(1)).alias("df")))
+    n = chunks.count()
+    df = found.groupBy("token").agg(F.sum("df").alias("df"))
+    weight = F.round(F.col("tf") * F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + F.lit(1.0))), 9)
+    ranked = (tf.join(df, "token", "left").groupBy("query_id")
+              .agg(F.array_sort(F.collect_list(F.struct((-weight).alias("w"), "pos", "token"))).alias("ws"))
+              .select("query_id", F.array_join(F.transform("ws", lambda x: x["token"]), ", ").alias("raw")))
+    held = tf.join(found, "token").groupBy("query_id", "context_id").agg(F.count(F.lit(1)).alias("held"))
+    context = held.groupBy("query_id").agg(F.min_by("context_id", F.struct((-F.col("held")).alias("h"), "context_id")).alias("context_id"))
+    out = texts.select("query_id", "query_text").join(ranked, "query_id", "left").join(context, "query_id", "left")
+    return out.select("query_id", "context_id", "query_text",
+                      sanitize_keywords(F.coalesce("raw", F.lit("")), None, F.lit(cfg.keywords_limit)).alias("keywords"))
+
+
+def benchmark_queries(benchmark: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """Every benchmark text as a query with its context and keywords (:func:`rank_keywords`)."""
+    texts = benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return cut_lineage(rank_keywords(texts, chunks, cfg))
+
+
+def single_keyword_queries(queries: DataFrame) -> DataFrame:
+    """One query per keyword (``query_id * 100 + keyword number``): tier 4 serves queries of one keyword."""
+    one = queries.select("query_id", "context_id", "query_text", F.posexplode("keywords").alias("no", "kw"))
+    return one.select((F.col("query_id") * 100 + F.col("no")).alias("query_id"), "context_id", "query_text", F.array("kw").alias("keywords"))
 
 
 def corpus_chunks(spark: SparkSession, sf_dir: str, with_vectors: bool = False,
@@ -39,7 +61,6 @@ def corpus_chunks(spark: SparkSession, sf_dir: str, with_vectors: bool = False,
 def stored_chunks(spark: SparkSession, sf_dir: str, keep_doc_id: bool = False) -> DataFrame:
     """The chunk table as a search reads it: written once (as ingest stores it) and read back, so the
     several text reads of a search batch do not re-chunk the documents."""
-    from docquery.session import cut_lineage
     return cut_lineage(corpus_chunks(spark, sf_dir, keep_doc_id=keep_doc_id))
 
 

@@ -42,29 +42,24 @@ def get_session(master: str | None = None, app: str = "docquery",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """The shared checkpoint folder: the one the caller set, else the one ``spark.checkpoint.dir`` names.
 
-    Only when the session names none (local tests) do we set a scratch folder of our own.
+    Only a local session that names none gets a scratch folder of its own; elsewhere that is an error,
+    because a machine-local folder is not shared by the executors.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.sparkContext.getCheckpointDir()
+    if d:
+        return d
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="docquery-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a small input at least the cluster's default parallelism in partitions.
-
-    A table stored as one parquet row group is read by one task, and every narrow step after it
-    (chunking, tokenising, hashing) would stay on that task.  Inputs that already have enough
-    partitions – every large input – are returned untouched, so no shuffle is added at scale.
-    """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss; never ``localCheckpoint``).
 

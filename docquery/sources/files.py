@@ -6,28 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquery.functions.text import source_kind, split_author
-from docquery.functions.vectors import tokens
 
-# Fixture rule for a file list derived from ``documents`` (the test tables hold no file names):
-# extension by ``doc_id % 10`` over this list, name from the first words and the source.
+# Fixture rule for a file list derived from ``documents`` (the test tables hold no file names): one folder
+# per document, named by its first word, a digest of its text and its source, so files share a title only
+# where their texts are equal.
 FIXTURE_EXTENSIONS = [".html", ".pdf", ".epub", ".txt", ".docx", ".doc", ".md", ".xyz", ".PDF", ".Txt"]
+FIXTURE_KINDS = [".html", ".pdf", ".epub", ".txt", ".docx", ".doc", ".md"]
 
 
-def document_files(documents: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """``file_pos, path, context, n_lines`` (+ ``extra`` columns) – one file per document, in ``doc_id`` order."""
-    w = tokens(F.col("text"))
-    w1 = F.coalesce(F.try_element_at(w, F.lit(1)), F.lit("untitled"))
-    w2 = F.coalesce(F.try_element_at(w, F.lit(2)), F.lit(""))
+def document_files(documents: DataFrame, extra: list[str] | None = None, ext: str | list[str] | None = None) -> DataFrame:
+    """``file_pos, path, context, n_lines`` (+ ``extra`` columns).
+
+    ``ext``: one extension for every document, or a list of which each document gets every one; by
+    default the kinds take turns over the documents (a mixed corpus).
+    """
+    first = F.regexp_extract("text", r"[\p{L}\p{N}'-]+", 0)
+    stem = F.concat(F.when(first == "", F.lit("untitled")).otherwise(first), F.lit(" "), F.substring(F.md5("text"), 1, 12))
     m = F.pmod(F.col("doc_id"), F.lit(3))
-    name = (F.when(m == 0, F.concat(w1, F.lit(" Author "), F.col("source")))
-             .when(m == 1, F.concat(w1, F.lit(" "), w2))
-             .otherwise(F.concat(w1, F.lit(" author "), F.col("source"))))
-    ext = F.element_at(F.array(*[F.lit(e) for e in FIXTURE_EXTENSIONS]),
-                       (F.pmod(F.col("doc_id"), F.lit(len(FIXTURE_EXTENSIONS))) + 1).cast("int"))
-    return documents.select(F.col("doc_id").alias("file_pos"),
-                            F.concat(F.lit("/corpus/"), F.col("lang"), F.lit("/"), name, ext).alias("path"),
-                            F.col("lang").alias("context"),
-                            F.size(F.split(F.col("text"), "\n")).alias("n_lines"), *(extra or []))
+    name = (F.when(m == 0, F.concat(stem, F.lit(" Author "), F.col("source")))
+             .when(m == 1, stem).otherwise(F.concat(stem, F.lit(" author "), F.col("source"))))
+    if isinstance(ext, str):
+        suffix = F.lit(ext)
+    elif ext:
+        suffix = F.explode(F.array(*[F.lit(e) for e in ext]))
+    else:
+        suffix = F.element_at(F.array(*[F.lit(e) for e in FIXTURE_KINDS]), (F.pmod(F.col("doc_id"), F.lit(len(FIXTURE_KINDS))) + 1).cast("int"))
+    return (documents.withColumn("_name", name).withColumn("_ext", suffix)
+            .select(F.col("doc_id").alias("file_pos"),
+                    F.concat(F.lit("/corpus/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("_name"),
+                             F.col("_ext")).alias("path"),
+                    F.col("lang").alias("context"), F.size(F.split(F.col("text"), "\n")).alias("n_lines"), *(extra or [])))
 
 
 def source_dispatch(files: DataFrame) -> DataFrame:
@@ -35,18 +43,18 @@ def source_dispatch(files: DataFrame) -> DataFrame:
     return files.withColumn("kind", source_kind(F.col("path"))).where("kind IS NOT NULL")
 
 
-def title_author(files: DataFrame) -> DataFrame:
-    """S2 (N1): title and author from the path and the dispatched suffix. Titles stay unstripped."""
+def title_author(files: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """S2 (N1): title and author from the path and the dispatched suffix (+ ``extra`` columns). Titles stay unstripped."""
     d = source_dispatch(files)
     ta = split_author(F.col("path"), F.col("kind"))
-    return d.select("file_pos", "path", "kind", ta["title"].alias("title"), ta["author"].alias("author"))
+    return d.select("file_pos", "path", "kind", ta["title"].alias("title"), ta["author"].alias("author"), *(extra or []))
 
 
 def source_registry(files: DataFrame) -> DataFrame:
     """S3: one entry per (unstripped) title; the later file's values win, the first position is kept.
 
     ``pages``: page/item count for paged kinds (the file's line count in the fixture), else 1."""
-    ta = title_author(files).join(files.select("file_pos", "context", "n_lines"), "file_pos")
+    ta = title_author(files, ["context", "n_lines"])
     ta = ta.withColumn("pages", F.when(F.col("kind").isin(".pdf", ".epub"), F.col("n_lines")).otherwise(F.lit(1)))
     v = F.struct("author", "pages", F.col("context").alias("subject"), F.col("path").alias("file"))
     return (ta.groupBy("title")
@@ -56,5 +64,5 @@ def source_registry(files: DataFrame) -> DataFrame:
 
 
 def source_page_counts(pages: DataFrame) -> DataFrame:
-    """Pages per source title (distinct page numbers)."""
-    return pages.groupBy("title").agg(F.countDistinct("page_number").cast("int").alias("pages"))
+    """Pages per source (distinct page numbers); sources that share a title stay apart."""
+    return pages.groupBy("source_key", "title").agg(F.countDistinct("page_number").cast("int").alias("pages"))

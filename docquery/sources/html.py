@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 _WS = " \n\t\x0c\r"
 _PRESERVE = {"pre", "textarea"}
 _RAW = {"script", "style"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta", "param", "source",
+         "track", "wbr"}
 
 
 class _Text(HTMLParser):
@@ -27,7 +29,7 @@ class _Text(HTMLParser):
         self.buf: list[str] = []
         self.stack: list[str] = []
         self.paras: list[list[str]] = []
-        self.p_depth = 0
+        self.open_paras: list[int] = []  # indexes of the paragraphs that are open, outermost first
 
     def _flush(self):
         if not self.buf:
@@ -39,16 +41,17 @@ class _Text(HTMLParser):
         if (not self.include_scripts) and (_RAW & set(self.stack)):
             return
         self.parts.append(s)
-        if self.p_depth and self.paras:
-            self.paras[-1].append(s)
+        for k in self.open_paras:  # an unclosed paragraph also holds the text of those within it
+            self.paras[k].append(s)
 
     def handle_starttag(self, tag, attrs):
         self._flush()
+        if tag in _VOID:
+            return
         self.stack.append(tag)
         if tag == "p" and self.want_paragraphs:
-            if self.p_depth == 0:
-                self.paras.append([])
-            self.p_depth += 1
+            self.open_paras.append(len(self.paras))
+            self.paras.append([])
 
     def handle_startendtag(self, tag, attrs):
         self._flush()
@@ -58,8 +61,8 @@ class _Text(HTMLParser):
         if tag in self.stack:
             while self.stack:
                 t = self.stack.pop()
-                if t == "p" and self.p_depth:
-                    self.p_depth -= 1
+                if t == "p" and self.open_paras:
+                    self.open_paras.pop()
                 if t == tag:
                     break
 

@@ -10,9 +10,14 @@ from docquery import config as C
 from docquery.operators.sequence import group_position, ordered_index
 
 
+def _key(df: DataFrame) -> list[str]:
+    """The column that tells sources with one title apart, where there is one."""
+    return [c for c in ("source_key",) if c in df.columns]
+
+
 def text_pages(sources: DataFrame) -> DataFrame:
     """A whole text is one page 0 of chapter 0 (``sources``: context_id, title, author, subject, text)."""
-    return sources.select("context_id", "title", "author", F.lit(0).alias("chapter"),
+    return sources.select(*_key(sources), "context_id", "title", "author", F.lit(0).alias("chapter"),
                           F.lit(C.NO_CHAPTER_TITLE).alias("chapter_title"), F.lit(0).alias("page_number"),
                           "subject", "text")
 
@@ -47,9 +52,9 @@ def markdown_pages(sources: DataFrame) -> DataFrame:
 
 def paged_pages(sources: DataFrame, page_sep: str = "\n") -> DataFrame:
     """One page per physical page, numbered from 0 (fixture: pages are the text's lines)."""
-    e = sources.select("context_id", "title", "author", "subject",
+    e = sources.select(*_key(sources), "context_id", "title", "author", "subject",
                        F.posexplode(F.split(F.col("text"), page_sep)).alias("page_number", "text"))
-    return e.select("context_id", "title", "author", F.lit(0).alias("chapter"),
+    return e.select(*_key(sources), "context_id", "title", "author", F.lit(0).alias("chapter"),
                     F.lit(C.NO_CHAPTER_TITLE).alias("chapter_title"), F.col("page_number").cast("int"),
                     "subject", "text")
 
@@ -59,7 +64,8 @@ def chaptered_pages(items: DataFrame) -> DataFrame:
     item order, titled by the item name; the text is the item's paragraphs joined by ``\\n`` (D1),
     all on page 0.  ``items``: context_id, title, author, subject, item_no, item_name, paragraphs."""
     ch = items.where(F.lower(F.col("item_name")).contains("chapter"))
-    pos = group_position(ordered_index(ch, ["context_id", "title"], ["item_no"]), ["context_id", "title"])
-    return pos.select("context_id", "title", "author", (F.col("_pos") + 1).cast("int").alias("chapter"),
+    book = _key(items) or ["context_id", "title"]
+    pos = group_position(ordered_index(ch, book, ["item_no"]), book)
+    return pos.select(*_key(items), "context_id", "title", "author", (F.col("_pos") + 1).cast("int").alias("chapter"),
                      F.col("item_name").alias("chapter_title"), F.lit(0).alias("page_number"), "subject",
                      F.array_join("paragraphs", "\n").alias("text"))
