@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,27 +64,38 @@ def drop_context(chunks: DataFrame, context_ids: DataFrame) -> DataFrame:
     return chunks.join(context_ids.select("context_id"), "context_id", "left_anti")
 
 
-def _drop_partitions(spark: SparkSession, path: str, context_ids: list[str]) -> None:
+def _partition(spark: SparkSession, path: str, context_id: str):
+    """Hadoop path of a context's partition folder (the value escaped as Spark's writer does)."""
     jvm = spark.sparkContext._jvm
+    value = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(context_id)
+    return jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/context_id={value}")
+
+
+def _drop_partitions(spark: SparkSession, path: str, context_ids: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for cid in context_ids:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/context_id={cid}")
-        fs = p.getFileSystem(conf)
-        if fs.exists(p):
-            fs.delete(p, True)
+        p = _partition(spark, path, cid)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def load_context(spark: SparkSession, chunks: DataFrame, path: str, context_ids: list[str]) -> DataFrame:
     """Replace the named contexts in the chunk store at ``path`` (a shared folder, e.g. under
     ``spark.checkpoint.dir``), leaving every other context untouched.
 
-    The reference drops a context before loading it, so a load with no rows empties the context; hence
-    the named partitions are dropped first and the new rows appended (never overwrite the path that is
-    being read).  ``context_ids`` is the short list of contexts being (re)loaded, a parameter.
+    The new rows are first written beside the store; only when that write is complete are the old
+    partitions deleted and the new ones moved in, so a failed write loses nothing.  A load with no rows
+    empties the context.  ``context_ids`` is the short list of contexts being (re)loaded, a parameter.
     """
-    _drop_partitions(spark, path, context_ids)
+    stage = f"{path.rstrip('/')}-load-{uuid.uuid4().hex}"
     (chunks.where(F.col("context_id").isin(*context_ids))
-           .write.mode("append").partitionBy("context_id").parquet(path))
+           .write.partitionBy("context_id").parquet(stage))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    _drop_partitions(spark, path, context_ids)
+    for cid in context_ids:
+        new = _partition(spark, stage, cid)
+        fs = new.getFileSystem(conf)
+        if fs.exists(new) and not fs.rename(new, _partition(spark, path, cid)):
+            raise OSError(f"could not move the new partition of {cid} from {stage}")
     return spark.read.parquet(path)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docquery.functions.text import source_kind, split_author
 from docquery.operators.chunk import flatten_sources
+from docquery.sources.text import markdown_text
 
 
 def text_file_stream(spark: SparkSession, folder: str, context_id: str) -> DataFrame:
@@ -24,7 +25,8 @@ def text_file_stream(spark: SparkSession, folder: str, context_id: str) -> DataF
     return (raw.where(kind.isin(".txt", ".md"))
                .select(F.lit(context_id).alias("context_id"), ta["title"].alias("title"),
                        ta["author"].alias("author"), F.lit(0).alias("chapter"), F.lit("None").alias("chapter_title"),
-                       F.lit(0).alias("page_number"), F.lit(context_id).alias("subject"), F.col("value").alias("text")))
+                       F.lit(0).alias("page_number"), F.lit(context_id).alias("subject"),
+                       F.when(kind == ".md", markdown_text(F.col("value"))).otherwise(F.col("value")).alias("text"), F.col("path").alias("source_key")))
 
 
 def start_ingest(spark: SparkSession, folder: str, context_id: str, store: str, checkpoint: str,

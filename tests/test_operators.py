@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from docquery.config import RetrievalConfig
@@ -262,16 +264,74 @@ def test_prebuilt_index_gives_same_hits(spark):
     assert a == b and len(a) > 0
 
 
-def test_parallelism_guards(spark):
-    """Small single-partition inputs are spread; the vocabulary keeps a fixed partition count."""
+def test_vocabulary_keeps_its_partitions(spark):
     from docquery.operators.match import postings, vocabulary
-    from docquery.session import spread_small
-    n = spark.sparkContext.defaultParallelism
-    one = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "k int, v string").coalesce(1)
-    assert spread_small(one).rdd.getNumPartitions() == n
-    many = one.repartition(n + 3)
-    assert spread_small(many).rdd.getNumPartitions() == n + 3
     ch = spark.createDataFrame([("c", "x1", "foo bar baz foo")], "context_id string, chunk_id string, chunk_text string")
     v = vocabulary(postings(ch))
     assert v.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(r.token for r in v.collect()) == ["bar", "baz", "foo"]
+
+
+def test_wildcard_terms_on_chunks_of_any_length(spark):
+    chunks = [("c1", "a" * 1999 + "'"), ("c2", "b" * 1800), ("c3", ""), ("c4", "'")]
+    cdf = spark.createDataFrame(chunks, "chunk_id string, chunk_text string").withColumn("context_id", F.lit("c"))
+    qdf = spark.createDataFrame([(1, None, ["'"])], "query_id int, context_id string, keywords array<string>")
+    got = [r.chunk_id for r in search_cascade(qdf, cdf).orderBy("pos").collect()]
+    assert got == _ref_search(["'"], chunks) and "c2" in got
+
+
+def test_search_keeps_to_its_context(spark):
+    rnd = random.Random(21)
+    chunks = [(f"c{i:03d}", " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 8))), "ab"[i % 2]) for i in range(80)]
+    cdf = spark.createDataFrame(chunks, "chunk_id string, chunk_text string, context_id string")
+    queries = [(q, [None, "a", "b", "none"][q % 4], [rnd.choice(["foo", "bar", "o'neil", "baz", "'"]) for _ in range(rnd.randint(1, 4))]) for q in range(24)]
+    got = {}
+    for r in search_cascade(spark.createDataFrame(queries, "query_id int, context_id string, keywords array<string>"), cdf).orderBy("query_id", "pos").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    for q, ctx, ks in queries:
+        assert got.get(q, []) == _ref_search(ks, [(i, t) for i, t, c in chunks if ctx in (None, c)]), (q, ctx, ks)
+
+
+def test_chunk_ids_are_unique_for_every_reader(spark):
+    from docquery.plans.registry import REGISTRY
+    for name in ("ingest_text", "ingest_markdown", "ingest_paged", "ingest_html", "ingest_chaptered", "ingest_corpus", "load_context", "chunk_documents"):
+        ids = REGISTRY[name](spark, "/root/testdata/sf0.001").select("chunk_id")
+        assert ids.count() == ids.distinct().count(), name
+
+
+def test_nearest_prompt_of_a_hot_chat(spark):
+    from docquery.operators import knn as KN
+    rnd = random.Random(2)
+    m = [("hot", f"m{i:04d}", "$$" + " ".join(rnd.choice(WORDS) for _ in range(5)) + "$$") for i in range(400)] + [("cold", "x", "$$foo bar$$")]
+    q = [("hot", "q1", m[37][2].strip("$")), ("cold", "q2", "bar foo"), ("none", "q3", "foo")]
+    mdf = spark.createDataFrame(m, "chat_id string, id string, prompt string")
+    got = {r.chat_id: (r.nearest_id, r.cosine, r.repeated) for r in KN.semantic_repeat(spark.createDataFrame(q, "chat_id string, id string, message string"), mdf).collect()}
+    same = sorted(m[37][2].strip("$").lower().split())
+    first = min(i for c, i, p in m if c == "hot" and sorted(p.strip("$").lower().split()) == same)
+    assert got == {"hot": (first, 1.0, True), "cold": ("x", 1.0, True)}
+
+
+def test_nested_paragraphs():
+    from docquery.sources.html import html_paragraphs
+    assert html_paragraphs("<p>a<p>b") == ["ab", "b"]
+    assert html_paragraphs("<p>a<br>b</p>c<p>d</p>") == ["ab", "d"]
+
+
+def test_checkpoint_folder_of_the_caller_is_kept(spark):
+    from docquery.session import checkpoint_dir
+    assert checkpoint_dir(spark) == checkpoint_dir(spark)
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
