@@ -99,6 +99,15 @@ def load_context(spark: SparkSession, chunks: DataFrame, path: str, context_ids:
     return spark.read.parquet(path)
 
 
+def unload_contexts(spark: SparkSession, registry: DataFrame, names: DataFrame, path: str) -> DataFrame:
+    """S13 delete with its effect on the store: the named contexts lose their chunks, then their entries.
+
+    The names being deleted are a parameter of the call (a short list), so their ids come to the driver."""
+    gone = registry.join(names.select(F.col("name").alias("display_name")).distinct(), "display_name", "left_semi").select("context_id")
+    _drop_partitions(spark, path, [r["context_id"] for r in gone.collect()])
+    return delete_contexts(registry, names)
+
+
 def drop_context_store(spark: SparkSession, path: str, context_ids: list[str]) -> None:
     """S10 on the store: remove the named contexts' partitions."""
     _drop_partitions(spark, path, context_ids)

@@ -109,16 +109,20 @@ def match_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
                                .otherwise(F.concat(F.char_length(run).cast("string"), F.lit(":"), run))
                        .alias("key")))
     o = F.col("_o")
-    tkeys = (v.select("token", "tlen", F.explode(F.sequence(F.lit(1), F.col("tlen"))).alias("_o"))
-              .select("token", F.explode(F.array(
-                  F.concat(F.lit("1:"), F.substring("token", o, 1)),
-                  F.when(o < F.col("tlen"), F.concat(F.lit("2:"), F.substring("token", o, 2))),
-                  F.concat(F.lit("L:"), o.cast("string")))).alias("key"))
-              .where("key IS NOT NULL"))
-    c2 = (tkeys.join(short, "key")
-               .where(F.expr("token LIKE concat('%', replace(term, '?', '_'), '%')"))
-               .select("term", "token"))
-    contains = c1.unionByName(c2).select("term", "token", F.lit(True).alias("tok_contains"),
+    # tokens carry only the kinds of keys that the terms ask for (at most three kinds)
+    carried = {"1": F.concat(F.lit("1:"), F.substring("token", o, 1)),
+               "2": F.when(o < F.col("tlen"), F.concat(F.lit("2:"), F.substring("token", o, 2))),
+               "L": F.concat(F.lit("L:"), o.cast("string"))}
+    kinds = sorted(r["kind"] for r in short.select(F.substring("key", 1, 1).alias("kind")).distinct().collect())
+    contains = c1
+    if kinds:
+        tkeys = (v.select("token", "tlen", F.explode(F.sequence(F.lit(1), F.col("tlen"))).alias("_o"))
+                  .select("token", F.explode(F.array(*[carried[k] for k in kinds])).alias("key"))
+                  .where("key IS NOT NULL"))
+        contains = c1.unionByName(tkeys.join(short, "key")
+                                  .where(F.expr("token LIKE concat('%', replace(term, '?', '_'), '%')"))
+                                  .select("term", "token"))
+    contains = contains.select("term", "token", F.lit(True).alias("tok_contains"),
                                          F.lit(None).cast("int").alias("lev"))
 
     # -- fuzzy: symmetric deletion neighbourhoods, equi-join, verify ------------------------------

@@ -40,11 +40,12 @@ def score_hits(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFr
 
 
 def rerank(scored: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
-           verdicts: DataFrame | None = None) -> DataFrame:
+           verdicts: DataFrame | None = None, responses: DataFrame | None = None) -> DataFrame:
     """``query_id, answer_no, pos, chunk_id, relevance, source, text`` – answers per query.
 
     ``scored``: hits with ``pos, relevance`` and chunk columns.  ``verdicts``: optional
-    ``(query_id, chunk_id, text)`` model verdicts; without it every survivor is kept.
+    ``(query_id, chunk_id, text)`` model verdicts; without it every survivor is kept.  ``responses``: optional
+    ``(query_id, chunk_id, text)`` model answers (J8); a hit with one shows it instead of its page text.
     """
     kept = scored.where(F.col("relevance") > F.lit(cfg.score_threshold))
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"))
@@ -56,6 +57,10 @@ def rerank(scored: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
     if verdicts is not None:
         yes = verdicts.where(verdict_flag(F.col("text"))).select("query_id", "chunk_id").distinct()
         coll = coll.join(yes, ["query_id", "chunk_id"], "left_semi")
+    if responses is not None:
+        said = responses.groupBy("query_id", "chunk_id").agg(F.min("text").alias("said"))
+        coll = (coll.join(said, ["query_id", "chunk_id"], "left")
+                    .withColumn("page_text", F.coalesce("said", "page_text")).drop("said"))
     wn = Window.partitionBy("query_id").orderBy("out_pos")
     return (coll.withColumn("answer_no", F.row_number().over(wn))
                 .select("query_id", "answer_no", F.col("out_pos").alias("pos"), "chunk_id", "relevance",

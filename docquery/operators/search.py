@@ -248,6 +248,12 @@ def search_cascade(queries: DataFrame, chunks: DataFrame, cfg: RetrievalConfig =
                  .select("query_id", "pos", "f.tier", "f.pattern_no", "f.rank", "f.score", "chunk_id"))
 
 
+def missing_vectors(hits: DataFrame, vectors: DataFrame) -> DataFrame:
+    """J4 report: hits whose chunk has no stored vector (``query_id, pos, chunk_id``)."""
+    have = vectors.where("chunk_vector IS NOT NULL").select("chunk_id")
+    return hits.join(have, "chunk_id", "left_anti").select("query_id", "pos", "chunk_id")
+
+
 def attach_chunks(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hit rows + chunk columns + ``page_text`` (newline-flattened). Inner equi-join on chunk_id."""
     from docquery.functions.text import flatten_newlines

@@ -44,10 +44,19 @@ def source_dispatch(files: DataFrame) -> DataFrame:
 
 
 def title_author(files: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """S2 (N1): title and author from the path and the dispatched suffix (+ ``extra`` columns). Titles stay unstripped."""
+    """S2 (N1): title and author from the path and the dispatched suffix (+ ``extra`` columns). Titles stay unstripped.
+
+    Where ``files`` has ``meta_title`` / ``meta_author`` (container metadata), ``.epub`` files take those."""
     d = source_dispatch(files)
     ta = split_author(F.col("path"), F.col("kind"))
-    return d.select("file_pos", "path", "kind", ta["title"].alias("title"), ta["author"].alias("author"), *(extra or []))
+
+    def of(column: str, from_name):  # chaptered books carry title and creator in their container
+        if column not in files.columns:
+            return from_name
+        return F.when((F.col("kind") == ".epub") & (F.col(column) != ""), F.col(column)).otherwise(from_name)
+
+    return d.select("file_pos", "path", "kind", of("meta_title", ta["title"]).alias("title"), of("meta_author", ta["author"]).alias("author"),
+                    *(extra or []))
 
 
 def source_registry(files: DataFrame) -> DataFrame:

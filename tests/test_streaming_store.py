@@ -35,3 +35,37 @@ def test_load_context_replaces_only_named(spark):
     empty = new.where(F.lit(False))
     got = CX.load_context(spark, empty, path, ["a"]).collect()
     assert [(r.context_id, r.chunk_id) for r in got] == [("b", "2")]
+
+
+def test_unload_contexts(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="dq-store-"), "store")
+    spark.createDataFrame([("a/b c", "1"), ("b", "2")], "context_id string, chunk_id string").write.partitionBy("context_id").parquet(path)
+    reg = spark.createDataFrame([("a/b c", "A", None), ("b", "B", None)], "context_id string, display_name string, omit_keywords array<string>")
+    left = CX.unload_contexts(spark, reg, spark.createDataFrame([("A",)], "name string"), path)
+    assert [r.context_id for r in left.collect()] == ["b"]
+    assert [r.chunk_id for r in spark.read.parquet(path).collect()] == ["2"]
+
+
+def test_message_store(spark):
+    from docquery.operators.chats import store_messages
+    path = os.path.join(tempfile.mkdtemp(prefix="dq-chat-"), "store")
+    m = spark.sql("SELECT 'c1' AS chat_id, '1' AS id, TIMESTAMP_NTZ'2024-01-01 00:00:00.123456' AS datetime, 's' AS summary, '$$foo bar$$' AS prompt, '$$x$$' AS response")
+    store_messages(m, path)
+    store_messages(m.selectExpr("'c2' AS chat_id", "id", "datetime", "summary", "prompt", "response"), path)
+    rows = spark.read.parquet(path).orderBy("chat_id").collect()
+    assert [(r.chat_id, r.datetime.microsecond, len(r.prompt_vector), r.prompt_norm2) for r in rows] == [("c1", 123000, 2, 2), ("c2", 123000, 2, 2)]
+
+
+def test_answers_and_container_metadata(spark):
+    from docquery.operators.rerank import rerank
+    from docquery.operators.search import missing_vectors
+    from docquery.sources.files import title_author
+    hit = "query_id int, pos int, chunk_id string, relevance double, title string, author string, chapter int, page_number int, page_text string"
+    scored = spark.createDataFrame([(1, 1, "a", .9, "T", "Unknown", 0, 0, "page a"), (1, 2, "b", .8, "T", "Unknown", 0, 0, "page b")], hit)
+    said = spark.createDataFrame([(1, "b", "answer b")], "query_id int, chunk_id string, text string")
+    assert [r.text for r in rerank(scored, responses=said).orderBy("answer_no").collect()] == ["page a", "answer b"]
+    vec = spark.createDataFrame([("a", [1])], "chunk_id string, chunk_vector array<int>")
+    assert [r.chunk_id for r in missing_vectors(scored, vec).collect()] == ["b"]
+    files = spark.createDataFrame([(1, "/c/x.epub", "Book", "Ann"), (2, "/c/y.txt", "no", "no"), (3, "/c/z.epub", "", None)],
+                                  "file_pos int, path string, meta_title string, meta_author string")
+    assert [(r.title, r.author) for r in title_author(files).orderBy("file_pos").collect()] == [("Book", "Ann"), ("y", "Unknown"), ("z", "Unknown")]
