@@ -41,7 +41,7 @@ from . import common
 
 WORDS, PERCENT = 4, 85
 QUARTER = 62          # shingles whose hash is below 2**62 (as unsigned 64 bits) form the prefix in hash order
-OPEN_PER_ROW = 4      # open pairs per list row from which all of them are compared at once
+OPEN_PER_ROW = 1      # open pairs per row of all lists from which on all of them are compared at once
 MEMO_WORDS = 300_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -180,47 +180,46 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
-def links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(edges that connect every component, labels of connected nodes) of the reduced sets."""
-    spark = sets.sparkSession
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after joining the components that the new edges connect; only labels take part in the search."""
+    by = {s: labels.select(F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab"}
+    between = (edges.join(by["a"], "a", "left").join(by["b"], "b", "left")
+               .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b").distinct())
+    new = components(between).withColumnsRenamed({"node": "was", "label": "now"})
+    kept = labels.join(new, labels["label"] == new["was"], "left").select("node", F.coalesce("now", "label").alias("label"))
+    added = new.join(labels, new["was"] == labels["node"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+    return common.staged(kept.unionByName(added), "jaccard-labels")
+
+
+def links(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, label) of the nodes that have links; the label is the least node of the component."""
     lists = common.staged(sets.select(F.explode("rare").alias("h"), "node"), "jaccard-lists")
-    edges = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
-    turn = 0
+    rows = lists.count()
+    labels = sets.select("node", F.col("node").alias("label")).limit(0)
+    stuck, turn = False, 0
     while True:
         turn += 1
         now = lists.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
-        held = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
-        groups = held.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"),
-                                       F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p")).filter("parts > 1")
+        parts = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+        groups = parts.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"),
+                                        F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p")).filter("parts > 1")
         groups = common.staged(groups, "jaccard-groups")
-        size = groups.agg(F.sum("c").alias("rows"), F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("open")).first()
-        if not size["rows"]:
-            break
-        last = size["open"] <= OPEN_PER_ROW * size["rows"]
-        if last:
-            open_lists = now.join(groups.select("h"), "h")
-            left, right = (open_lists.select("h", F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
+        still = groups.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("open")).first()["open"]
+        if not still:
+            return labels
+        last = stuck or still <= OPEN_PER_ROW * rows
+        if last:  # every pair of a list that lies in two components
+            left, right = (now.join(groups.select("h"), "h").select("h", F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
             pairs = left.join(right, "h").filter("la != lb and a < b").select("a", "b")
-        else:
+        else:  # every node of a list with the list's pivot
             pairs = now.join(groups.select("h", "p"), "h").filter("label != p.label").select(
                 F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
         found = common.staged(verified(pairs.distinct(), sets, percent), "jaccard-links")
-        connected = not found.isEmpty()
-        if connected:
-            edges = edges.unionByName(found)
-            labels = components(edges)
+        stuck = found.isEmpty()
+        if not stuck:
+            labels = merged(labels, found)
         if last:
-            break
-        if not connected:  # pivots find nothing more: compare all that is open
-            open_lists = now.join(groups.select("h"), "h")
-            left, right = (open_lists.select("h", F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
-            found = common.staged(verified(left.join(right, "h").filter("la != lb and a < b").select("a", "b").distinct(), sets, percent), "jaccard-links")
-            if not found.isEmpty():
-                edges = edges.unionByName(found)
-                labels = components(edges)
-            break
-    return edges, labels
+            return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -230,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(ident.cast("long").alias("doc_id"), th, tl, common.text_or_empty(text_col).alias("_t"))
     rows = members(texts, n)
     sets = reduced_sets(texts, open_nodes(texts, rows, n, percent), n, percent)
-    _, labels = links(sets, percent)
+    labels = links(sets, percent)
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = rows.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "label", "left").select(
