@@ -41,7 +41,7 @@ from . import common
 
 WORDS, PERCENT = 4, 85
 QUARTER = 62          # shingles whose hash is below 2**62 (as unsigned 64 bits) form the prefix in hash order
-OPEN_PER_ROW = 1      # open pairs per row of all lists from which on all of them are compared at once
+OPEN_PER_ROW = 4      # open pairs per row of all lists from which on all of them are compared at once
 MEMO_WORDS = 300_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
