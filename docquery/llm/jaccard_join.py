@@ -11,9 +11,9 @@ o = ceil(t*n) of its n shingles in the other set.  That gives filters under any
    shingles and any linked pair shares one of the first m - o + 1 under *every* order: rarest first
    (frequency order), and two orders of permuted hashes.  Candidates come from the first; they must also
    share prefix shingles under the other two, and fit in size, before the sets are compared exactly.
-3. Candidates are drawn in rounds.  In a round every shingle's list names one pivot, and only nodes not yet
-   connected with it are compared with it: linear in the lists, and large groups of near copies connect in
-   a few rounds.  When few open pairs are left, or a round connects nothing, all pairs of a list that are still in
+3. Candidates are drawn in rounds.  In a round every shingle's list names a few pivots, and only nodes not yet
+   connected with them are compared with them: linear in the lists, and large groups of near copies connect
+   in a few rounds.  When few open pairs are left, or a round connects nothing, all pairs of a list that are still in
    different components are compared.  No pair is left out, none within a component is spent.
 
 Components by iterated least labels with pointer jumping; every round's tables are written to the shared
@@ -42,6 +42,7 @@ from . import common
 WORDS, PERCENT = 4, 85
 QUARTER = 62          # shingles whose hash is below 2**62 (as unsigned 64 bits) form the prefix in hash order
 OPEN_PER_ROW = 4      # open pairs per row of all lists from which on all of them are compared at once
+PIVOTS = 8            # pivots of a list in a round
 MEMO_WORDS = 300_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -201,8 +202,12 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         turn += 1
         now = lists.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
         parts = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
-        groups = parts.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"),
-                                        F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p")).filter("parts > 1")
+        # up to PIVOTS pivots a list, from as many shares of its components
+        shares = parts.groupBy("h", F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(PIVOTS)).alias("share")).agg(
+            F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"),
+            F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p"))
+        groups = shares.groupBy("h").agg(F.sum("parts").alias("parts"), F.sum("c").alias("c"), F.sum("cc").alias("cc"),
+                                         F.collect_list("p").alias("p")).filter("parts > 1")
         groups = common.staged(groups, "jaccard-groups")
         still = groups.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("open")).first()["open"]
         if not still:
@@ -211,8 +216,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         if last:  # every pair of a list that lies in two components
             left, right = (now.join(groups.select("h"), "h").select("h", F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
             pairs = left.join(right, "h").filter("la != lb and a < b").select("a", "b")
-        else:  # every node of a list with the list's pivot
-            pairs = now.join(groups.select("h", "p"), "h").filter("label != p.label").select(
+        else:  # every node of a list with the list's pivots
+            pairs = now.join(groups.select("h", F.explode("p").alias("p")), "h").filter("label != p.label").select(
                 F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
         found = common.staged(verified(pairs.distinct(), sets, percent), "jaccard-links")
         stuck = found.isEmpty()
