@@ -138,7 +138,8 @@ def reduced_sets(texts: DataFrame, left: DataFrame, n: int, percent: int) -> Dat
 
     ``tokens`` are sorted by hash; the prefixes are the first m - o + 1 under the three orders.
     """
-    kept = texts.join(left.select(*[F.col(c).alias("r" + c) for c in ("doc_id", "_th", "_tl")]),
+    # the list grows with the corpus, so it is never broadcast, whatever its size here
+    kept = texts.join(left.select(*[F.col(c).alias("r" + c) for c in ("doc_id", "_th", "_tl")]).hint("merge"),
                       F.col("doc_id").eqNullSafe(F.col("rdoc_id")) & (F.col("_th") == F.col("r_th")) & (F.col("_tl") == F.col("r_tl")))
     kept = kept.dropDuplicates(["doc_id", "_th", "_tl"])  # rows repeated as a whole
     rows = emitted(kept, n, None).select("h", "node", "n")  # made twice from one shuffle of the texts
@@ -200,7 +201,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     stuck, turn = False, 0
     while True:
         turn += 1
-        now = lists.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
+        now = lists.select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
         parts = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
         # up to PIVOTS pivots a list, from as many shares of its components
         shares = parts.groupBy("h", F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(PIVOTS)).alias("share")).agg(
@@ -213,11 +214,13 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         if not still:
             return labels
         last = stuck or still <= OPEN_PER_ROW * rows
+        # only lists with nodes of several components stay
+        lists = common.staged(now.join(groups.select("h"), "h"), "jaccard-lists")
         if last:  # every pair of a list that lies in two components
-            left, right = (now.join(groups.select("h"), "h").select("h", F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
+            left, right = (lists.select("h", F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
             pairs = left.join(right, "h").filter("la != lb and a < b").select("a", "b")
         else:  # every node of a list with the list's pivots
-            pairs = now.join(groups.select("h", F.explode("p").alias("p")), "h").filter("label != p.label").select(
+            pairs = lists.join(groups.select("h", F.explode("p").alias("p")), "h").filter("label != p.label").select(
                 F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
         found = common.staged(verified(pairs.distinct(), sets, percent), "jaccard-links")
         stuck = found.isEmpty()
