@@ -4,8 +4,9 @@ Each stage works on all rows that the stage before it kept, and its result is wr
 shared folder and read again.  The first four return the columns of ``documents``:
 
 1. ``quality_classifier`` drops documents with a score below 0.5,
-2. ``jaccard_join`` keeps the document with the smallest id of each group of near duplicates (word 4-grams,
-   similarity 0.85 or more; rows without words are no group and stay),
+2. ``jaccard_join`` keeps the document with the smallest id of each group of near duplicates (word 5-grams,
+   similarity 0.8 or more, where the registered op6 query has its own 4 and 0.85; rows without words are no
+   group and stay),
 3. ``decontamination`` drops documents that hold a window of a benchmark item,
 4. ``secret_scan`` replaces every found secret by a mark and sets ``n_chars`` to the new length,
 5. ``bpe_codec`` encodes the texts: one row per document with its ids, their number and digest, the digest
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 
 from docquery.llm import bpe, common, decontaminate, jaccard_join, quality, secrets
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # the near-duplicate stage
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
