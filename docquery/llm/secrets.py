@@ -7,14 +7,19 @@ cheapest way to guess it costs at least ``min_cost`` (log10 of guesses).  That c
 segmentations into known words, dates, repeats, keyboard walks and brute-force characters, found by dynamic
 programming over positions in time linear in the value for bounded word and unit lengths.
 
-Offsets count code points, ends are exclusive.  Null is the empty text.  Unquoted values without a digit
-are prose and not scored.  A value of any length is scored whole.  Repeated rows give repeated results;
-extra columns are ignored; an empty table gives none.
+Unquoted values without a digit may be prose, so they are scored with the words of two public vocabularies
+added to the known ones; they need the same ``min_cost``.  Prose of several joined words can reach it.
+
+Offsets count code points, ends are exclusive.  Null is the empty text.  A value of any length is scored
+whole.  Repeated rows give repeated results; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import base64
+import functools
 import hashlib
+import json
 import math
 import re
 
@@ -29,7 +34,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|auth)[_-]?key|authorization|bearer)"""
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret(?:[_-]?key)?|token|credentials?|(?:api|access|private|auth)[_-]?key|authorization|bearer)"""
     r"""["']?\s*(?:=>|[:=])\s*(?:(?:bearer|basic)\s+)?(?:"([^"\r\n]{6,})"|'([^'\r\n]{6,})'|([^\s"'<>]{6,}))""", re.I | re.A)
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 MIN_COST = 10.0  # log10 of guesses from which a value is taken for a secret
@@ -47,6 +52,8 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[1
                   r"|(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:19|20)\d\d")
 NEXT_KEY = {a + b for w in WALKS for s in (w, w[::-1]) for a, b in zip(s, s[1:])}
 MIN_WALK, MAX_UNIT = 3, 8
+VOCABULARIES = ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken")
+MIN_PROSE = 4  # letters of a vocabulary's word; shorter ones are pieces as often as words
 
 
 def char_cost(c: str) -> float:
@@ -110,6 +117,30 @@ class GuessCost:
         return best[n], segments[::-1]
 
 
+def prose_words() -> list[str]:
+    """The fixed words, then those that begin a word in the public vocabularies, most common first."""
+    import public_tokenizers
+
+    rank: dict[str, int] = {}
+    for name in VOCABULARIES:
+        with open(public_tokenizers.path(name), "rb") as f:
+            if name.endswith(".json"):
+                tokens = [(t.replace("\u0120", " ").encode("utf-8"), k) for t, k in json.load(f)["model"]["vocab"].items()]
+            else:
+                tokens = [(base64.b64decode(t), int(k)) for t, k in map(bytes.split, f)]
+        for token, k in tokens:
+            word = token.decode("utf-8", "replace").lower()
+            if len(word) > MIN_PROSE and word[0] == " " and word[1:].isalpha():
+                rank[word[1:]] = min(k, rank.get(word[1:], k))
+    return WORDS + sorted(rank, key=lambda w: (rank[w], w))
+
+
+@functools.cache
+def prose_model() -> GuessCost:
+    """One model per worker process for values that may be prose."""
+    return GuessCost(prose_words())
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of the fixed patterns as (start, rank of the kind, end)."""
     found = []
@@ -128,12 +159,13 @@ def value_spans(text: str, model: GuessCost, min_cost: float) -> list[tuple[int,
     for m in CONTEXT.finditer(text):
         k = m.lastindex
         start, end = m.span(k)
+        judge = model
         if k == 3:
             while end > start and text[end - 1] in ".,;:!?)]}":
                 end -= 1
             if not any(c.isdigit() for c in text[start:end]):
-                continue
-        if end - start >= MIN_ASSIGN and model.cost(text[start:end])[0] >= min_cost:
+                judge = prose_model()
+        if end - start >= MIN_ASSIGN and judge.cost(text[start:end])[0] >= min_cost:
             out.append((start, 3, end))
     return out
 
