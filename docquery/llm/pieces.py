@@ -11,21 +11,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 MEMO_PARTS = 800_000  # entries kept per worker (about 200 MB); the memo is emptied when full
-TAIL = "\x00.,;:!?&%$#*|"  # marks that may follow a word; the first one only marks keys of the memo
+TAIL = ".,;:!?&%$#*|"  # marks that may follow a word
 
 
 class Pieces:
     """Memo of ``encode(part) -> value`` with ``values(text)`` giving the values of a text in order."""
 
     def __init__(self, encode: Callable[[str], object], limit: int = MEMO_PARTS):
-        self.encode, self.limit, self.memo = encode, limit, {}
+        self.encode, self.limit = encode, limit
+        self.memo, self.tails = {}, {}  # values of parts after a space or with their newline, and of marks after a word
 
     def values(self, text: str) -> list:
         if not text:
             return []
         # every newline starts a part of its own; any other part but the first follows one space
         parts = text.replace("\n", " \n").split(" ")
-        get, memo, out = self.memo.get, self.memo, []
+        get, memo, tails, out = self.memo.get, self.memo, self.tails, []
         held = parts[0]  # text that ends in white space and waits for what follows
         if held and not held[-1].isspace():
             out.append(self.encode(held))
@@ -45,18 +46,18 @@ class Pieces:
             else:
                 head = p.rstrip(TAIL)
                 if len(head) < len(p) and head.isalpha():  # letters, then marks: a pre-token ends between
-                    out.append(get(head) or self._learn(head, " " + head))
+                    out.append(get(head) or self._learn(memo, head, " " + head))
                     tail = p[len(head):]
-                    key = TAIL[0] + tail  # ends in a mark, so no part of letters has this key
-                    out.append(get(key) or self._learn(key, tail))
+                    out.append(tails.get(tail) or self._learn(tails, tail, tail))
                 else:
-                    out.append(self._learn(p, s))
+                    out.append(self._learn(memo, p, s))
         if held:
             out.append(self.encode(held))
         return out
 
-    def _learn(self, key: str, text: str) -> object:
-        if len(self.memo) >= self.limit:
+    def _learn(self, memo: dict, key: str, text: str) -> object:
+        if len(self.memo) + len(self.tails) >= self.limit:
             self.memo.clear()
-        v = self.memo[key] = self.encode(text)
+            self.tails.clear()
+        v = memo[key] = self.encode(text)
         return v

@@ -3,8 +3,11 @@
 import random
 import string
 
+import pytest
+
 import corpus_pipeline
 from docquery.llm import jaccard_join, secrets
+from docquery.llm.pieces import Pieces
 from tests.llm.test_operators import near_copies, plain_components
 
 
@@ -39,3 +42,10 @@ def test_plain_words_are_not_values():
     model = secrets.GuessCost()
     for word in ["forgotten", "required.", "Instructions", "administrator", "umbrella", "management,", "unfortunately", "Department"]:
         assert secrets.value_spans(f"Password: {word}", model, secrets.MIN_COST) == []
+
+
+@pytest.mark.parametrize("texts", [["a \x00, b", "a word, c"], ["a word, c", "a \x00, b"], ["a \x00.\x00 \x00word\x00, \x00", "word. word\x00, word.\x00"]])
+def test_memo_keeps_nul_and_marks_apart(texts):
+    parts = Pieces(lambda s: s)
+    for t in texts * 2:
+        assert "".join(parts.values(t)) == t
