@@ -230,28 +230,40 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (and the row's _th, _tl)."""
+def labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, _th, _tl, node, and the label of its component."""
     common.small_batches(docs.sparkSession)
     ident, th, tl = common.row_key(id_col, text_col)
     texts = docs.select(ident.cast("long").alias("doc_id"), th, tl, common.text_or_empty(text_col).alias("_t"))
     rows = members(texts, n)
     sets = reduced_sets(texts, open_nodes(texts, rows, n, percent), n, percent)
     labels = links(sets, percent)
-    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (and the row's _th, _tl)."""
+    rows = labelled(docs, id_col, text_col, n, percent)
     least = rows.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "_th", "_tl")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without those that have a smaller id in their component, all columns unchanged."""
-    gone = common.staged(near_duplicates(docs, id_col, text_col, n, percent).filter("doc_id != component_id")
-                         .select(F.col("doc_id").alias("r_id"), F.col("_th").alias("r_th"), F.col("_tl").alias("r_tl")).distinct(), "jaccard-gone")
+    """One row of each component, all columns unchanged: that of the least id (a null one last), then of the
+    least text hash; of rows equal in id and text one stays.  Rows without words are no component and stay."""
+    rows = common.staged(labelled(docs, id_col, text_col, n, percent).filter("n_shingles > 0").groupBy("label", "doc_id", "_th", "_tl")
+                         .agg(F.count(F.lit(1)).alias("times")), "jaccard-rows")
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_th"), F.col("_tl"))
+    kept = rows.groupBy("label").agg(F.min(place).alias("kept"))
+    marked = rows.join(kept, "label").withColumn("stays", place.eqNullSafe(F.col("kept"))).filter("not stays or times > 1")
+    marked = common.staged(marked.select(F.col("doc_id").alias("r_id"), F.col("_th").alias("r_th"), F.col("_tl").alias("r_tl"), "stays"), "jaccard-gone")
     ident, th, tl = common.row_key(id_col, text_col)
     keyed = docs.select(F.struct("*").alias("_row"), ident, th, tl)
     same = F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_th") == F.col("r_th")) & (F.col("_tl") == F.col("r_tl"))
-    return keyed.join(gone, same, "left_anti").select("_row.*")
+    repeated = keyed.join(marked.filter("stays"), same, "left_semi").groupBy("_id", "_th", "_tl").agg(
+        F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+    return keyed.join(marked, same, "left_anti").select("_row.*").unionByName(repeated.select("_row.*"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

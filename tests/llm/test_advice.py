@@ -49,3 +49,14 @@ def test_memo_keeps_nul_and_marks_apart(texts):
     parts = Pieces(lambda s: s)
     for t in texts * 2:
         assert "".join(parts.values(t)) == t
+
+
+def test_one_row_of_each_component_stays(spark):
+    text, other, third = ("alpha beta gamma delta epsilon " * 3, "one two three four five six seven", "some other words that stand alone here")
+    rows = [(1, text, "a"), (1, text, "a"), (2, other, "a"), (2, other, "a"), (2, other.upper(), "a"), (None, text, "a"),
+            (None, third, "a"), (None, third, "a"), (4, "", "a"), (4, "", "a"), (1, third, "a"), (2, "nothing like the rest of these rows", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in got.collect())
+    assert got == sorted([(1, text), (2, other), (1, third), (4, ""), (4, ""), (2, "nothing like the rest of these rows")])
