@@ -53,15 +53,13 @@ def default_tokenizer() -> str:
 
 
 def load_tokenizer(path: str):
-    """The tokenizer with special strings read as ordinary text and a memo of its own kept small."""
+    """The tokenizer with the library's own settings: added tokens (``<|endoftext|>``) in a text give their ids."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 @functools.cache

@@ -3,10 +3,11 @@
 import random
 import string
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from docquery.llm import jaccard_join, secrets
+from docquery.llm import jaccard_join, secrets, token_binary, token_counts
 from docquery.llm.pieces import Pieces
 from tests.llm.test_operators import near_copies, plain_components
 
@@ -60,3 +61,19 @@ def test_one_row_of_each_component_stays(spark):
     assert got.columns == docs.columns
     got = sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in got.collect())
     assert got == sorted([(1, text), (2, other), (1, third), (4, ""), (4, ""), (2, "nothing like the rest of these rows")])
+
+
+def test_added_tokens_in_a_text_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = token_binary.default_tokenizer()
+    library = Tokenizer.from_file(path)
+    ids, spans = token_binary.worker_pieces(path), token_counts.worker_spans(path)
+    rnd = random.Random(3)
+    pool = ["<|endoftext|>", " ", "  ", "\n", "word", "word,", "<|", "|>", ".", "é"]
+    texts = ["a <|endoftext|> b", "end.<|endoftext|>\nnext"] + ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    for t in texts:
+        want = library.encode(t, add_special_tokens=False)
+        assert np.frombuffer(b"".join(ids.values(t)), "<u4").tolist() == want.ids
+        assert list(zip(*(x.tolist() for x in token_counts.token_spans(spans, t)))) == want.offsets
+    assert 50256 in library.encode(texts[0], add_special_tokens=False).ids
