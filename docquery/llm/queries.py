@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, line_dedup, rules, warc
+from . import decontaminate, jaccard_join, line_dedup, merkle, rules, warc
 from .bpe import op7_bpe_codec
 from .quality import op1_quality_classifier
 from .secrets import op4_secret_scan
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_token_binary": op9_token_binary,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op6_ngram_jaccard_join": jaccard_join.SQL,
     "op8_warc": warc.SQL,
     "op10_decontamination": decontaminate.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
