@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import decontaminate, jaccard_join, line_dedup, merkle, rules, warc
 from .bpe import op7_bpe_codec
+from .cross_tokens import op13_cross_tokenizer_alignment
 from .quality import op1_quality_classifier
 from .secrets import op4_secret_scan
 from .token_binary import op9_token_binary
@@ -21,6 +22,7 @@ QUERIES = {
     "op9_token_binary": op9_token_binary,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 SQL: dict[str, str] = {
