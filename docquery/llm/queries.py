@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, line_dedup, merkle, rules, warc
+from . import decontaminate, jaccard_join, line_dedup, merkle, minhash, rules, warc
 from .bpe import op7_bpe_codec
 from .cross_tokens import op13_cross_tokenizer_alignment
 from .quality import op1_quality_classifier
@@ -22,6 +22,7 @@ QUERIES = {
     "op9_token_binary": op9_token_binary,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_minhash_dedup": minhash.op12_minhash_dedup,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
@@ -32,4 +33,5 @@ SQL: dict[str, str] = {
     "op8_warc": warc.SQL,
     "op10_decontamination": decontaminate.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_minhash_dedup": minhash.SQL,
 }
