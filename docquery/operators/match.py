@@ -7,10 +7,11 @@ evaluated as vocabulary × terms: both are turned into equi-joins that Spark can
 * fuzzy: symmetric deletion neighbourhoods (every string reachable by deleting up to ``d``
   characters) of term and token share a member whenever the edit distance is ≤ d; the join on that
   member gives a small candidate set which ``levenshtein(t, x, d)`` then verifies exactly;
-* contains: a token containing ``x`` contains every 3-gram of ``x``'s literal runs, so an equi-join on
-  one such 3-gram gives the candidates, verified by ``LIKE``.  Terms without a 3-character literal run
-  join on a 1- or 2-gram of their longest run, or – all wildcards – on a length key; there is no
-  nested loop and no cross join anywhere.
+* contains: a token containing ``x`` contains every 3-gram of ``x``'s literal runs.  A term joins on the one
+  that the fewest tokens hold (their numbers are stored with the vocabulary), with filters on the length of
+  the token and the place of the gram in it; the place also says where ``x`` would start, and only there it is verified.  Terms without a
+  3-character literal run join on a 1- or 2-gram of their longest run, or – all wildcards – on a length
+  key; there is no nested loop and no cross join anywhere.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquery.functions.vectors import tokens
+from docquery.session import broadcast_if_small, cut_lineage
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -28,12 +30,11 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def build_search_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings and vocabulary of a chunk table, each materialised once in the checkpoint folder.
+    """Postings and vocabulary of a chunk table for one session, each materialised once in the checkpoint folder.
 
-    Build it once per corpus (at ingest) and pass both to every query batch
+    :mod:`docquery.operators.store` keeps them by context, over sessions; pass either to every query batch
     (``search_cascade(..., post=, vocab=)``) instead of re-tokenising the chunks per batch.
     """
-    from docquery.session import cut_lineage
     post = cut_lineage(postings(chunks))
     return post, cut_lineage(vocabulary(post))
 
@@ -77,33 +78,49 @@ def _longest_run(term: Column) -> Column:
                        .otherwise(acc))
 
 
-def _anchor_gram(term: Column) -> Column:
-    """First 3 characters of the longest literal (``?``-free) run of the term; null when shorter."""
-    longest = _longest_run(term)
-    return F.when(F.char_length(longest) >= 3, F.substring(longest, 1, 3))
+def token_grams(vocab: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``gram, place, token, tlen`` (and ``keys``) – every 3-gram of every token with its 1-based place."""
+    keys = keys or []
+    v = vocab.select(*keys, "token", F.char_length("token").alias("tlen")).where("tlen >= 3")
+    return (v.select(*keys, "token", "tlen", F.explode(F.sequence(F.lit(1), F.col("tlen") - 2)).alias("place"))
+             .select(*keys, F.substring("token", F.col("place"), 3).alias("gram"), "place", "token", "tlen"))
 
 
-def match_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Theta join of ``terms(term, d)`` with ``vocab(token)``.
+def gram_counts(vocab: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``gram, n`` (by ``keys``) – how often a 3-gram occurs in the vocabulary (stored beside it by the index)."""
+    return token_grams(vocab, keys).groupBy(*(keys or []), "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rarest_grams(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """``term, gram, place, xlen`` – of each term the literal 3-gram that occurs least (ties: the first); terms without one are left out."""
+    x = terms.select("term", F.char_length("term").alias("xlen")).where("xlen >= 3")
+    own = (x.select("term", "xlen", F.explode(F.sequence(F.lit(1), F.col("xlen") - 2)).alias("place"))
+            .select("term", "xlen", "place", F.substring("term", F.col("place"), 3).alias("gram")).where(~F.col("gram").contains("?")))
+    return (own.join(counts, "gram", "left").groupBy("term", "xlen")
+               .agg(F.min_by(F.struct("gram", "place"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place")).alias("g"))
+               .select("term", "xlen", "g.gram", "g.place"))
+
+
+def match_terms(terms: DataFrame, vocab: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    """Theta join of ``terms(term, d)`` with ``vocab(token)``; ``grams`` = stored :func:`gram_counts` of the vocabulary.
 
     Returns ``term, token, tok_contains boolean, lev int`` (``lev`` null when only contained).
     """
-    t = terms.groupBy("term").agg(F.max("d").alias("d"))
+    t = cut_lineage(terms.groupBy("term").agg(F.max("d").alias("d")))
     v = vocab.select("token", F.char_length("token").alias("tlen"))
 
-    # -- contains, anchored terms: equi-join on a 3-gram ------------------------------------------
-    anchored = t.select("term", _anchor_gram(F.col("term")).alias("gram")).where("gram IS NOT NULL")
-    # every 3-gram start of the token (duplicates are harmless: matches are grouped below)
-    vgrams = (v.where("tlen >= 3").select("token", F.explode(F.sequence(F.lit(1), F.col("tlen") - 2)).alias("_o"))
-               .select("token", F.substring("token", F.col("_o"), 3).alias("gram")))
-    c1 = (vgrams.join(anchored, "gram")
-                .where(F.expr("token LIKE concat('%', replace(term, '?', '_'), '%')"))
-                .select("term", "token"))
+    # -- contains, terms with a literal 3-gram: equi-join on the rarest ------------------------------
+    anchored = broadcast_if_small(cut_lineage(rarest_grams(t, gram_counts(vocab) if grams is None else grams)))
+    start = F.col("place") - F.col("at") + 1
+    c1 = (token_grams(vocab).join(anchored.withColumnRenamed("place", "at"), "gram")
+          .where((F.col("tlen") >= F.col("xlen")) & (start >= 1) & (F.col("tlen") - start + 1 >= F.col("xlen")))
+          .where(F.like(F.substring("token", start, F.col("xlen")), F.replace("term", F.lit("?"), F.lit("_"))))
+          .select("term", "token"))
     # -- contains, other terms: equi-join on a short key -----------------------------------------
     # longest literal run of 1 or 2 characters → that run as a 1-/2-gram key; only wildcards → a
     # length key (a token of length n carries L:1 .. L:n).  Candidates are verified by LIKE.
     run = _longest_run(F.col("term"))
-    short = (t.where(_anchor_gram(F.col("term")).isNull())
+    short = cut_lineage(t.join(anchored.select("term"), "term", "left_anti")
               .select("term", F.when(F.char_length(run) == 0,
                                      F.concat(F.lit("L:"), F.char_length("term").cast("string")))
                                .otherwise(F.concat(F.char_length(run).cast("string"), F.lit(":"), run))
@@ -119,7 +136,7 @@ def match_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
         tkeys = (v.select("token", "tlen", F.explode(F.sequence(F.lit(1), F.col("tlen"))).alias("_o"))
                   .select("token", F.explode(F.array(*[carried[k] for k in kinds])).alias("key"))
                   .where("key IS NOT NULL"))
-        contains = c1.unionByName(tkeys.join(short, "key")
+        contains = c1.unionByName(tkeys.join(broadcast_if_small(short), "key")
                                   .where(F.expr("token LIKE concat('%', replace(term, '?', '_'), '%')"))
                                   .select("term", "token"))
     contains = contains.select("term", "token", F.lit(True).alias("tok_contains"),
@@ -130,7 +147,7 @@ def match_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     need = (ft.select(F.explode(F.sequence(F.greatest(F.col("xlen") - F.col("d"), F.lit(1)),
                                            F.col("xlen") + F.col("d"))).alias("tlen"), "d")
               .groupBy("tlen").agg(F.max("d").alias("vd")))
-    tv = _deletion_rows(ft.select("term", "d"), "term", "d")
+    tv = broadcast_if_small(cut_lineage(_deletion_rows(ft.select("term", "d"), "term", "d").distinct()))
     # ``need`` holds one row per token length a term can reach (at most the longest term + 2 rows),
     # so it is broadcast: a shuffle join on the ~30 distinct lengths would pack the vocabulary into a
     # few tasks right before its largest explode
@@ -144,14 +161,3 @@ def match_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return (contains.unionByName(fuzzy)
                     .groupBy("term", "token")
                     .agg(F.max("tok_contains").alias("tok_contains"), F.min("lev").alias("lev")))
-
-
-def term_chunks(matches: DataFrame, post: DataFrame) -> DataFrame:
-    """Matched tokens → chunks. ``term, context_id, chunk_id, tok_contains, lev`` (best per chunk).
-
-    ``matches`` is small next to ``post``; AQE turns this join into a broadcast when its measured
-    size allows, otherwise it stays a shuffle join with skew splitting.
-    """
-    return (post.join(matches, "token")
-                .groupBy("term", "context_id", "chunk_id")
-                .agg(F.max("tok_contains").alias("tok_contains"), F.min("lev").alias("lev")))

@@ -20,28 +20,32 @@ Every pattern keeps its top ``N`` chunks with score ≥ 1 (score desc, ``chunk_i
 appearance is its smallest ``(tier, pattern_no, rank)``; the first ``M`` by first appearance are the hits.
 (The other four tier-2 permutations are rotations of these two and never add a hit.)
 
-Plan shape: keyword requests are exploded per query (narrow), terms are matched against the
-vocabulary by equi-joins (see :mod:`docquery.operators.match`), matched tokens are joined to postings,
-pattern scores are summed with one shuffle on ``(query, pattern, chunk)``, and the per-pattern top N uses
-``row_number() <= N`` which Spark plans as a partial window-group-limit before its shuffle.  Only the
-``O``/wildcard checks read chunk text, and only for chunks where both keywords already occur.
+Plan shape.  Search terms are matched against the vocabulary by equi-joins (see :mod:`docquery.operators.match`) and become
+bit masks per (token, query): bit ``kw_no`` of ``fm`` for ``F``, of ``im`` for ``I``.  Postings are joined on the token and grouped once,
+by (query, chunk), with ``bit_or``.  Everything after that works on classes of chunks with equal masks:
+
+* every pattern is an expression over the masks, so its score is the same for all chunks of a class;
+* ``O`` needs the text.  Per pattern, the N-th largest score without ``O`` is a floor, and only chunks of classes whose
+  largest possible score reaches a floor have their text read, once for all keywords: ``O(x, y)`` holds if the first ``x``
+  ends before the last ``y`` begins;
+* of chunks with equal masks and equal ``O`` only the N smallest ids can enter any top N, so the rest leaves before
+  patterns are expanded.
+
+Terms of wildcards only hold for a chunk by its lengths alone: the N smallest chunks per outcome stand for all others, so they
+never make a row for every query and chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.config import RetrievalConfig
 from docquery.functions.keywords import capitalize, like_body, py_title, wildcard_form
-from docquery import config as C
-from docquery.operators.match import _longest_run, match_terms, postings, term_chunks, vocabulary
-from docquery.session import cut_lineage
-
-# (role, d for the fuzzy flag) of every search term kind
-_ROLES_MULTI = [("K", 1)]
-_ROLES_SINGLE = [("raw", 2), ("up", 0), ("low", 0), ("cap", 0)]
+from docquery.operators.match import _longest_run, match_terms, postings, vocabulary
+from docquery.session import broadcast_if_small, cut_lineage
 
+ALL_TIERS = (1, 2, 3, 4)
 
 def keyword_table(queries: DataFrame) -> DataFrame:
     """``query_id, context_id, nk, kw_no, kw, kwp, kt`` (nk = keyword count, kt = title form) – one row per keyword position (narrow)."""
@@ -52,57 +56,15 @@ def keyword_table(queries: DataFrame) -> DataFrame:
 
 
 def term_requests(kw: DataFrame) -> DataFrame:
-    """``query_id, context_id, kw_no, role, term, d`` – every (query, keyword, role) search term."""
-    multi = kw.where("nk >= 2").select("query_id", "context_id", "kw_no", F.lit("K").alias("role"),
-                                      F.col("kt").alias("term"), F.lit(1).alias("d"))
-    single = kw.where("nk = 1").select(
-        "query_id", "context_id", "kw_no",
-        F.explode(F.array(
-            F.struct(F.lit("raw").alias("role"), F.col("kwp").alias("term"), F.lit(2).alias("d")),
-            F.struct(F.lit("up").alias("role"), F.upper("kwp").alias("term"), F.lit(0).alias("d")),
-            F.struct(F.lit("low").alias("role"), F.lower("kwp").alias("term"), F.lit(0).alias("d")),
-            F.struct(F.lit("cap").alias("role"), capitalize(F.col("kwp")).alias("term"), F.lit(0).alias("d")),
-        )).alias("r")).select("query_id", "context_id", "kw_no", "r.role", "r.term", "r.d")
+    """``query_id, context_id, bit, term, d`` – the search terms of a query; bit = keyword number, or for the one keyword of a
+    query its forms as written, upper, lower and capitalised."""
+    multi = kw.where("nk >= 2").select("query_id", "context_id", F.col("kw_no").alias("bit"), F.col("kt").alias("term"), F.lit(1).alias("d"))
+    forms = [(F.col("kwp"), 2), (F.upper("kwp"), 0), (F.lower("kwp"), 0), (capitalize(F.col("kwp")), 0)]
+    single = kw.where("nk = 1").select("query_id", "context_id", F.posexplode(F.array(*[
+        F.struct(term.alias("term"), F.lit(d).alias("d")) for term, d in forms])).alias("bit", "r")).select("query_id", "context_id", "bit", "r.term", "r.d")
     return multi.unionByName(single)
 
 
-def slot_table(kw: DataFrame) -> DataFrame:
-    """``query_id, tier, pattern_no, role, kw_no, wf, wi`` – weight of each flag in each pattern."""
-    per_q = kw.groupBy("query_id", "nk").agg(
-        F.sort_array(F.collect_list(F.struct("kw_no", "kt"))).alias("ks"))
-    Ks = F.transform("ks", lambda e: e["kt"])
-    # tier 1: all keywords, F1 weight 1
-    t1 = (per_q.where("nk > 3")
-               .select("query_id", F.lit(1).alias("tier"), F.lit(1).alias("pattern_no"),
-                       F.explode(F.sequence(F.lit(0), F.col("nk") - 1)).alias("kw_no"))
-               .select("query_id", "tier", "pattern_no", F.lit("K").alias("role"), "kw_no",
-                       F.lit(1).alias("wf"), F.lit(0).alias("wi")))
-    # tier 2: first three keywords, pairwise different, two orientations; F1 weight 2 each
-    distinct3 = ((F.element_at(Ks, 1) != F.element_at(Ks, 2)) & (F.element_at(Ks, 1) != F.element_at(Ks, 3))
-                 & (F.element_at(Ks, 2) != F.element_at(Ks, 3)))
-    t2 = (per_q.where(F.col("nk") > 2).where(distinct3)
-               .select("query_id", F.lit(2).alias("tier"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pattern_no"))
-               .select("query_id", "tier", "pattern_no", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("kw_no"))
-               .select("query_id", "tier", "pattern_no", F.lit("K").alias("role"), "kw_no",
-                       F.lit(2).alias("wf"), F.lit(0).alias("wi")))
-    # tier 3: ordered pairs
-    pairs = tier3_pairs(kw)
-    t3 = (pairs.select("query_id", F.lit(3).alias("tier"), "pattern_no",
-                       F.explode(F.array("a_no", "b_no")).alias("kw_no"))
-               .select("query_id", "tier", "pattern_no", F.lit("K").alias("role"), "kw_no",
-                       F.lit(2).alias("wf"), F.lit(1).alias("wi")))
-    # tier 4: single keyword
-    t4 = (kw.where("nk = 1")
-            .select("query_id", F.lit(4).alias("tier"), F.lit(1).alias("pattern_no"), "kw_no",
-                    F.explode(F.array(
-                        F.struct(F.lit("raw").alias("role"), F.lit(1).alias("wf"), F.lit(3).alias("wi")),
-                        F.struct(F.lit("up").alias("role"), F.lit(0).alias("wf"), F.lit(1).alias("wi")),
-                        F.struct(F.lit("low").alias("role"), F.lit(0).alias("wf"), F.lit(1).alias("wi")),
-                        F.struct(F.lit("cap").alias("role"), F.lit(0).alias("wf"), F.lit(1).alias("wi")))).alias("s"))
-            .select("query_id", "tier", "pattern_no", "s.role", "kw_no", "s.wf", "s.wi"))
-    return t1.unionByName(t2).unionByName(t3).unionByName(t4)
-
-
 def tier3_pairs(kw: DataFrame) -> DataFrame:
     """U5 (pairs): ``query_id, pattern_no, a_no, b_no`` for i ≠ j and Kᵢ ≠ Kⱼ, numbered in loop order."""
     a = kw.where("nk > 1").select("query_id", F.col("kw_no").alias("a_no"), F.col("kt").alias("a"))
@@ -126,120 +88,212 @@ def tier2_triples(kw: DataFrame) -> DataFrame:
              .select("query_id", "pattern_no", "a", "b", "c"))
 
 
-def order_pairs(kw: DataFrame) -> DataFrame:
-    """``query_id, tier, pattern_no, x_no, y_no`` – every ``O(x, y)`` clause with weight 1."""
-    k3 = (kw.where("nk > 2").groupBy("query_id")
-            .agg(F.sort_array(F.collect_list(F.struct("kw_no", "kt"))).alias("ks")))
-    Ks = F.transform("ks", lambda e: e["kt"])
-    distinct3 = ((F.element_at(Ks, 1) != F.element_at(Ks, 2)) & (F.element_at(Ks, 1) != F.element_at(Ks, 3))
-                 & (F.element_at(Ks, 2) != F.element_at(Ks, 3)))
-    # pattern 1 = (K0,K1,K2): O(1,2), O(0,1), O(2,0); pattern 2 = (K0,K2,K1): O(2,1), O(0,2), O(1,0)
-    clauses = F.array(*[F.struct(F.lit(p).alias("pattern_no"), F.lit(x).alias("x_no"), F.lit(y).alias("y_no"))
-                        for p, x, y in [(1, 1, 2), (1, 0, 1), (1, 2, 0), (2, 2, 1), (2, 0, 2), (2, 1, 0)]])
-    t2 = (k3.where(distinct3).select("query_id", F.explode(clauses).alias("c"))
-            .select("query_id", F.lit(2).alias("tier"), "c.pattern_no", "c.x_no", "c.y_no"))
-    t3 = tier3_pairs(kw).select("query_id", F.lit(3).alias("tier"), "pattern_no",
-                                F.col("a_no").alias("x_no"), F.col("b_no").alias("y_no"))
-    return t2.unionByName(t3)
-
-
-def _verify_like(cands: DataFrame, chunks: DataFrame, pattern_col: str) -> DataFrame:
-    """Keep candidate rows whose chunk text matches their own LIKE pattern (reads text only for them)."""
+def search_patterns(kw: DataFrame, tiers: tuple[int, ...] = ALL_TIERS) -> DataFrame:
+    """``query_id, tier, pattern_no, a, b, c`` – the patterns of every query; a, b, c are keyword numbers (tiers 2 and 3)."""
+    one = kw.where("kw_no = 0").select("query_id", "nk")
+    none = F.lit(None).cast("int")
+    parts = []
+    if 1 in tiers:
+        parts.append(one.where("nk > 3").select("query_id", F.lit(1).alias("tier"), F.lit(1).alias("pattern_no"),
+                                                none.alias("a"), none.alias("b"), none.alias("c")))
+    if 2 in tiers:
+        three = kw.where("nk > 2 AND kw_no < 3").groupBy("query_id").agg(F.countDistinct("kt").alias("n")).where("n = 3")
+        turns = F.array(*[F.struct(F.lit(p).alias("pattern_no"), F.lit(0).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
+                          for p, b, c in [(1, 1, 2), (2, 2, 1)]])
+        parts.append(three.select("query_id", F.lit(2).alias("tier"), F.explode(turns).alias("t")).select("query_id", "tier", "t.*"))
+    if 3 in tiers:
+        parts.append(tier3_pairs(kw).select("query_id", F.lit(3).alias("tier"), "pattern_no", F.col("a_no").alias("a"),
+                                            F.col("b_no").alias("b"), none.alias("c")))
+    if 4 in tiers:
+        parts.append(one.where("nk = 1").select("query_id", F.lit(4).alias("tier"), F.lit(1).alias("pattern_no"),
+                                                none.alias("a"), none.alias("b"), none.alias("c")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _at(i) -> Column:
+    """The mask with bit ``i`` alone."""
+    return F.call_function("shiftleft", F.lit(1), i)
+
+
+def _bit(mask: Column, i) -> Column:
+    return F.call_function("shiftright", mask, i if isinstance(i, Column) else F.lit(i)).bitwiseAND(F.lit(1))
+
+
+def pattern_score(fm: Column, im: Column, order) -> Column:
+    """Score of the row's pattern (``tier, a, b, c``) from the masks; ``order(x, y)`` gives ``O(x, y)`` as 0 or 1."""
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    f = lambda k: _bit(fm, k)
+    i = lambda k: _bit(im, k)
+    return (F.when(F.col("tier") == 1, F.bit_count(fm))
+             .when(F.col("tier") == 2, 2 * (f(a) + f(b) + f(c)) + order(b, c) + order(a, b) + order(c, a))
+             .when(F.col("tier") == 3, order(a, b) + 2 * f(a) + 2 * f(b) + i(a) + i(b))
+             .otherwise(3 * i(0) + f(0) + i(1) + i(2) + i(3))).cast("int")
+
+
+def token_masks(req: DataFrame, matches: DataFrame) -> DataFrame:
+    """``token, query_id, q_ctx, fm, im, cm`` – what a token means for a query.
+
+    ``cm`` marks terms with a wildcard whose longest literal run the token holds: their chunk-level ``LIKE`` is
+    still to be checked on the text.
+    """
+    bit = _at(F.col("bit"))
+    r = req.withColumnRenamed("context_id", "q_ctx")
+    zero = F.lit(0)
+    wild = F.col("term").contains("?")
+    near = F.col("tok_contains") | (F.coalesce("lev", F.lit(99)) <= F.col("d"))
+    own = r.join(matches, "term").select("token", "query_id", "q_ctx", F.when(near, bit).otherwise(zero).alias("fm"),
+                                         F.when(F.col("tok_contains") & ~wild, bit).otherwise(zero).alias("im"), zero.alias("cm"))
+    held = (r.where(wild).withColumn("term", _longest_run(F.col("term"))).where("term != ''")
+             .join(matches.where("tok_contains"), "term")
+             .select("token", "query_id", "q_ctx", zero.alias("fm"), zero.alias("im"), bit.alias("cm")))
+    return (own.unionByName(held).groupBy("token", "query_id", "q_ctx")
+               .agg(*[F.bit_or(m).alias(m) for m in ("fm", "im", "cm")]).where("(fm | im | cm) != 0"))
+
+
+def _lengths_flags(n: Column, d: Column) -> tuple[Column, Column]:
+    """(F, I) of a term of ``n`` wildcards for a chunk with ``clen, longest, shortest`` (characters, token lengths)."""
+    f = (F.col("longest") >= n) | ((n <= d) & (F.col("shortest") <= d))
+    return F.coalesce(f, F.lit(False)), F.col("clen") >= n
+
+
+def wildcard_rows(wild: DataFrame, chunks: DataFrame, post: DataFrame, reach: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """Terms of up to ``reach`` wildcards only (``query_id, context_id, bit, term, d``): (mask rows of the chunks that stand for all,
+    lengths of every chunk).
+
+    What such terms give a chunk, alone or in order, follows from its length, its longest and its shortest token, as far
+    as those matter.  A chunk that other terms hit too never scores less, so of a context's chunks equal in these
+    lengths the ``n`` smallest ids bring up everything that can enter a top ``n``.
+    """
+    lengths = (chunks.select("context_id", "chunk_id", F.char_length("chunk_text").alias("clen"))
+               .join(post.groupBy("chunk_id").agg(F.max(F.char_length("token")).alias("longest"), F.min(F.char_length("token")).alias("shortest")),
+                     "chunk_id", "left"))
+    alike = ["context_id", F.least("clen", F.lit(2 * reach)), F.least("longest", F.lit(reach)), F.least("shortest", F.lit(3))]
+    least = lengths.withColumn("r", F.row_number().over(Window.partitionBy(*alike).orderBy("chunk_id"))).where(F.col("r") <= n).drop("r")
+    asked = wild.withColumnRenamed("context_id", "q_ctx")
+    scoped = asked.where("q_ctx IS NOT NULL").join(least, F.col("q_ctx") == F.col("context_id"))
+    everywhere = asked.where("q_ctx IS NULL").withColumn("one", F.lit(1)).join(least.withColumn("one", F.lit(1)), "one").drop("one")
+    f, i = _lengths_flags(F.char_length("term"), F.col("d"))
+    bit = _at(F.col("bit"))
+    rows = scoped.unionByName(everywhere).select("query_id", "chunk_id", F.when(f, bit).otherwise(0).alias("fm"),
+                                                 F.when(i, bit).otherwise(0).alias("im"), F.lit(0).alias("cm")).where("(fm | im) != 0")
+    return rows, lengths
+
+
+def chunk_masks(kw: DataFrame, chunks: DataFrame, post: DataFrame, vocab: DataFrame, grams: DataFrame | None = None,
+                n: int = RetrievalConfig().max_results_per_search) -> DataFrame:
+    """``query_id, chunk_id, fm, im, cm`` of every chunk with a flag: one shuffle, on (query, chunk)."""
+    req = term_requests(kw)
+    wild = req.where(_longest_run(F.col("term")) == "")
+    reach = wild.agg(F.max(F.char_length("term"))).first()[0]  # null: no such term (one number comes to the driver)
+    req = req.where(_longest_run(F.col("term")) != "")
+    runs = req.where(F.col("term").contains("?")).select(_longest_run(F.col("term")).alias("term"), F.lit(0).alias("d"))
+    masks = broadcast_if_small(cut_lineage(token_masks(req, match_terms(req.select("term", "d").unionByName(runs), vocab, grams))))
+    rows = (post.join(masks, "token").where("q_ctx IS NULL OR q_ctx = context_id")
+                .select("query_id", "chunk_id", "fm", "im", "cm"))
+    if reach:
+        least, lengths = wildcard_rows(wild, chunks, post, reach, n)
+        rows = rows.unionByName(least)
+    out = rows.groupBy("query_id", "chunk_id").agg(*[F.bit_or(m).alias(m) for m in ("fm", "im", "cm")])
+    if reach:  # the chunks that other terms brought up
+        f, i = _lengths_flags(F.char_length("term"), F.col("d"))
+        bit = _at(F.col("bit"))
+        add = (out.select("query_id", "chunk_id").join(wild.select("query_id", "bit", "term", "d"), "query_id").join(lengths, "chunk_id")
+               .groupBy("query_id", "chunk_id").agg(F.bit_or(F.when(f, bit).otherwise(0)).alias("wf"), F.bit_or(F.when(i, bit).otherwise(0)).alias("wi")))
+        zero = F.lit(0)
+        out = out.join(add, ["query_id", "chunk_id"], "left").select(
+            "query_id", "chunk_id", F.col("fm").bitwiseOR(F.coalesce("wf", zero)).alias("fm"), F.col("im").bitwiseOR(F.coalesce("wi", zero)).alias("im"), "cm")
+    return out
+
+
+MASKS = ["query_id", "fm", "im", "cm"]
+
+
+def classes_to_read(masks: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
+    """The classes (``query_id, fm, im, cm``) whose chunks need their text: some pattern's score is open and can reach the
+    floor, the n-th largest score that is certain."""
+    sizes = masks.groupBy(*MASKS).agg(F.count(F.lit(1)).alias("chunks"))
+    most = F.col("im").bitwiseOR(F.col("cm"))
+    scored = sizes.join(patterns, "query_id").select(
+        *MASKS, "chunks", "tier", "pattern_no", pattern_score(F.col("fm"), F.col("im"), lambda x, y: F.lit(0)).alias("low"),
+        pattern_score(F.col("fm"), most, lambda x, y: _bit(most, x) * _bit(most, y)).alias("high")).where("high >= 1")
+    down = Window.partitionBy("query_id", "tier", "pattern_no").orderBy(F.desc("low"))
+    counted = scored.withColumn("upto", F.sum("chunks").over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    every = Window.partitionBy("query_id", "tier", "pattern_no")
+    floor = F.coalesce(F.max(F.when(F.col("upto") >= n, F.col("low"))).over(every), F.lit(1))
+    return counted.withColumn("floor", floor).where("high > low AND high >= floor").select(*MASKS).distinct()
+
+
+def read_orders(rows: DataFrame, terms: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, fm, im, o`` from the texts: open wildcard terms decided, and ``o[x]`` has bit ``y`` where ``O(x, y)``."""
     text = chunks.select("chunk_id", "chunk_text")
-    return (cands.join(text, "chunk_id")
-                 .where(F.expr(f"chunk_text LIKE {pattern_col}"))
-                 .drop("chunk_text"))
+    t, x = F.col("chunk_text"), F.col("x")
+    # the first and the last place of every keyword (1-based, 0 if absent)
+    rows = rows.join(terms, "query_id").join(text, "chunk_id")
+    rows = rows.withColumn("back", F.reverse("chunk_text"))
+    first = lambda k: F.position(k, t)
+    last = lambda k: F.char_length(t) - F.position(F.reverse(k), F.col("back")) - F.char_length(k) + 2
+    rows = rows.withColumn("p", F.transform("terms", lambda k: F.struct(
+        k.alias("k"), first(k).alias("first"), F.when(first(k) > 0, last(k)).otherwise(0).alias("last"))))
+    rows = rows.withColumn("im", F.aggregate(
+        F.sequence(F.lit(0), F.size("terms") - 1), F.col("im").cast("int"),
+        lambda acc, i: F.when((_bit(F.col("cm"), i) == 1) & F.like(t, F.concat(F.lit("%"), like_body(F.get("terms", i)), F.lit("%"))),
+                              acc.bitwiseOR(_at(i))).otherwise(acc)))
+    im = F.col("im")
+
+    def ordered(a, b):
+        wild = a["k"].contains("?") | b["k"].contains("?")
+        pattern = F.concat(F.lit("%"), like_body(a["k"]), F.lit("%"), like_body(b["k"]), F.lit("%"))
+        plain = (a["first"] > 0) & (b["last"] > 0) & (a["first"] + F.char_length(a["k"]) <= b["last"])
+        return F.when(wild, F.like(t, pattern)).otherwise(plain)
+
+    o = F.transform("p", lambda a, i: F.aggregate(
+        F.transform("p", lambda b, j: F.when((i != j) & (_bit(im, i) == 1) & (_bit(im, j) == 1) & ordered(a, b), _at(j)).otherwise(0)),
+        F.lit(0), lambda acc, v: acc.bitwiseOR(v)))
+    return rows.select("query_id", "chunk_id", "fm", "im", o.alias("o"))
 
 
-def keyword_flags(kw: DataFrame, chunks: DataFrame, post: DataFrame | None = None,
-                  vocab: DataFrame | None = None) -> DataFrame:
-    """Per (query, keyword, role, chunk): ``f`` (F_d) and ``i`` (I) flags; only chunks with a flag."""
-    req = term_requests(kw)
-    # wildcard terms need their chunk-level LIKE checked against text; their candidates are the chunks
-    # holding a token that contains the longest literal run of the term
-    seg_all = (req.where(F.col("term").contains("?"))
-                  .select("query_id", "context_id", "kw_no", "role", "term", _longest_run(F.col("term")).alias("seg")))
-    seg = seg_all.where("seg != ''")
-    # a term of wildcards only matches a chunk exactly when the chunk has at least that many characters
-    only_wild = seg_all.where("seg = ''")
-    terms = (req.select("term", "d")
-                .unionByName(seg.select(F.col("seg").alias("term"), F.lit(0).alias("d"))))
-    # the postings feed both the vocabulary and the postings join: tokenise once (at ingest, pass a
-    # persisted index instead); term → chunk matches are read three times below
+def pattern_hits(queries: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
+                 post: DataFrame | None = None, vocab: DataFrame | None = None, grams: DataFrame | None = None,
+                 tiers: tuple[int, ...] = ALL_TIERS) -> DataFrame:
+    """``query_id, tier, pattern_no, rank, score, chunk_id`` – top N of every search pattern of the given tiers.
+
+    ``post, vocab, grams``: a stored index of ``chunks`` (:mod:`docquery.operators.store`); without it the chunks are tokenised here.
+    """
+    n = cfg.max_results_per_search
+    served = [{1: "nk > 3", 2: "nk > 2", 3: "nk > 1", 4: "nk = 1"}[t] for t in tiers]
+    # keyword rows and masks are read several times below: materialise them once in the shared checkpoint
+    # folder (also bounds recomputation after an executor loss and keeps plans small)
+    kw = cut_lineage(keyword_table(queries).where(" OR ".join(served)))
+    patterns = cut_lineage(search_patterns(kw, tiers))
     post = cut_lineage(postings(chunks)) if post is None else post
-    # the vocabulary feeds three candidate joins (3-grams, short terms, deletion variants): once only
     vocab = cut_lineage(vocabulary(post)) if vocab is None else vocab
-    tc = cut_lineage(term_chunks(match_terms(terms, vocab), post))
-
-    scope = "(q_ctx IS NULL OR q_ctx = context_id)"
-    r = req.withColumnRenamed("context_id", "q_ctx")
-    plain = (r.where(~F.col("term").contains("?")).join(tc, "term").where(scope)
-              .select("query_id", "kw_no", "role", "chunk_id",
-                      (F.col("tok_contains") | (F.coalesce("lev", F.lit(99)) <= F.col("d"))).alias("f"),
-                      F.col("tok_contains").alias("i")))
-    wild = r.where(F.col("term").contains("?"))
-    wild_f = (wild.join(tc, "term").where(scope)
-                  .select("query_id", "kw_no", "role", "chunk_id",
-                          (F.col("tok_contains") | (F.coalesce("lev", F.lit(99)) <= F.col("d"))).alias("f")))
-    wild_cand = (seg.withColumnRenamed("context_id", "q_ctx")
-                    .join(tc.where("tok_contains").withColumnRenamed("term", "seg"), "seg").where(scope)
-                    .select("query_id", "kw_no", "role", "chunk_id",
-                            F.concat(F.lit("%"), like_body(F.col("term")), F.lit("%")).alias("pat")))
-    wild_i = _verify_like(wild_cand, chunks, "pat").select("query_id", "kw_no", "role", "chunk_id",
-                                                           F.lit(True).alias("i"))
-    # ... as an equi-join on the chunk length, up to the longest chunk there is
-    longest = chunks.agg(F.max(F.char_length("chunk_text"))).first()[0] or 0
-    k = F.char_length("term")
-    lens = only_wild.select("query_id", F.col("context_id").alias("q_ctx"), "kw_no", "role",
-                            F.explode(F.sequence(k, F.greatest(F.lit(longest), k))).alias("clen"))
-    clen = chunks.select("context_id", "chunk_id", F.char_length("chunk_text").alias("clen"))
-    wild_i = wild_i.unionByName(lens.join(clen, "clen").where(scope)
-                                    .select("query_id", "kw_no", "role", "chunk_id", F.lit(True).alias("i")))
-    wild_all = (wild_f.join(wild_i, ["query_id", "kw_no", "role", "chunk_id"], "full_outer")
-                      .select("query_id", "kw_no", "role", "chunk_id",
-                              F.coalesce("f", F.lit(False)).alias("f"), F.coalesce("i", F.lit(False)).alias("i")))
-    return plain.unionByName(wild_all)
-
-
-def pattern_hits(queries: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
-                 post: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
-    """``query_id, tier, pattern_no, rank, score, chunk_id`` – top N of every search pattern."""
-    # keyword rows and flags are read several times below: materialise them once in the shared
-    # checkpoint folder (also bounds recomputation after an executor loss and keeps plans small)
-    kw = cut_lineage(keyword_table(queries))
-    flags = cut_lineage(keyword_flags(kw, chunks, post, vocab))
-    slots = slot_table(kw)
-    base = (slots.join(flags, ["query_id", "role", "kw_no"])
-                 .select("query_id", "tier", "pattern_no", "chunk_id",
-                         (F.col("wf") * F.col("f").cast("int") + F.col("wi") * F.col("i").cast("int")).alias("s")))
-    # O(x, y) needs I(x) and I(y): candidates are chunks where both hold; the text check decides
-    ix = flags.where("role = 'K' AND i").select("query_id", "kw_no", "chunk_id")
-    kterm = kw.select("query_id", "kw_no", "kt")
-    op = order_pairs(kw)
-    ocand = (op.join(ix.withColumnRenamed("kw_no", "x_no"), ["query_id", "x_no"])
-               .join(ix.withColumnRenamed("kw_no", "y_no"), ["query_id", "y_no", "chunk_id"])
-               .join(kterm.withColumnRenamed("kw_no", "x_no").withColumnRenamed("kt", "x"), ["query_id", "x_no"])
-               .join(kterm.withColumnRenamed("kw_no", "y_no").withColumnRenamed("kt", "y"), ["query_id", "y_no"])
-               .select("query_id", "tier", "pattern_no", "chunk_id",
-                       F.concat(F.lit("%"), like_body(F.col("x")), F.lit("%"), like_body(F.col("y")),
-                                F.lit("%")).alias("pat")))
-    obonus = _verify_like(ocand, chunks, "pat").select("query_id", "tier", "pattern_no", "chunk_id",
-                                                       F.lit(1).alias("s"))
-    scored = (base.unionByName(obonus)
-                  .groupBy("query_id", "tier", "pattern_no", "chunk_id").agg(F.sum("s").cast("int").alias("score"))
-                  .where("score >= 1"))
+    masks = cut_lineage(chunk_masks(kw, chunks, post, vocab, grams, n))
+    terms = (term_requests(kw).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("bit", "term"))).alias("t"))
+             .select("query_id", F.transform("t", lambda e: e["term"]).alias("terms")))
+    read = broadcast_if_small(cut_lineage(classes_to_read(masks, patterns, n)))
+    known = masks.join(read, MASKS, "left_anti").select("query_id", "chunk_id", "fm", "im", F.array().cast("array<int>").alias("o"))
+    rows = known.unionByName(read_orders(masks.join(read, MASKS, "left_semi"), terms, chunks))
+    alike = Window.partitionBy("query_id", "fm", "im", "o").orderBy("chunk_id")
+    rows = rows.withColumn("r", F.row_number().over(alike)).where(F.col("r") <= n).drop("r")
+    order = lambda x, y: F.coalesce(_bit(F.get("o", x), y), F.lit(0))
+    scored = (rows.join(patterns, "query_id").withColumn("score", pattern_score(F.col("fm"), F.col("im"), order)).where("score >= 1")
+              .select("query_id", "tier", "pattern_no", "chunk_id", "score"))
     w = Window.partitionBy("query_id", "tier", "pattern_no").orderBy(F.desc("score"), F.asc("chunk_id"))
     return (scored.withColumn("rank", F.row_number().over(w))
-                  .where(F.col("rank") <= cfg.max_results_per_search))
+                  .where(F.col("rank") <= n)
+                  .select("query_id", "tier", "pattern_no", "rank", "score", "chunk_id"))
 
 
 def search_cascade(queries: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
-                   post: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
+                   post: DataFrame | None = None, vocab: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
     """``query_id, pos, tier, pattern_no, rank, score, chunk_id`` – first M hits per query.
 
     ``queries``: ``query_id, context_id (null = every context), keywords array<string>``.
     """
-    ph = cut_lineage(pattern_hits(queries, chunks, cfg, post, vocab))
+    ph = cut_lineage(pattern_hits(queries, chunks, cfg, post, vocab, grams))
     first = (ph.groupBy("query_id", "chunk_id")
                .agg(F.min(F.struct("tier", "pattern_no", "rank", "score")).alias("f")))
     w = Window.partitionBy("query_id").orderBy("f.tier", "f.pattern_no", "f.rank")

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from docquery import config as C
 from docquery.config import RetrievalConfig
 from docquery.operators.rerank import answer_context, rerank, score_hits
-from docquery.plans.retrieval import (benchmark_queries, corpus_chunks, label_verdicts, load, rank_keywords, retrieve,
-                                      single_keyword_queries, stored_chunks)
+from docquery.plans.retrieval import (benchmark_queries, corpus_chunks, indexed, label_verdicts, load, rank_keywords, retrieve,
+                                      search_hits, single_keyword_queries)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -26,14 +26,15 @@ def register(name: str):
 @register("search_cascade")
 def q_search_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """R3 flagship: every benchmark question through the four-tier cascade over all document chunks."""
-    ch = stored_chunks(spark, sf)
-    return retrieve(benchmark_queries(load(spark, sf, "benchmark"), ch), ch)
+    st = indexed(spark, sf)
+    return retrieve(benchmark_queries(load(spark, sf, "benchmark"), st), st)
 
 
 def _scored(spark: SparkSession, sf: str):
-    ch = stored_chunks(spark, sf, keep_doc_id=True)
-    q = benchmark_queries(load(spark, sf, "benchmark"), ch)
-    hits = retrieve(q, ch.drop("doc_id"))
+    st = indexed(spark, sf, keep_doc_id=True)
+    q = benchmark_queries(load(spark, sf, "benchmark"), st)
+    hits = retrieve(q, st)
+    ch = st.table("chunks", st.asked(q))
     return q, ch, hits, score_hits(hits, q, ch.drop("doc_id"))
 
 
@@ -71,10 +72,9 @@ from docquery.operators import chats as CH  # noqa: E402
 from docquery.operators import contexts as CX  # noqa: E402
 from docquery.operators import knn as KN  # noqa: E402
 from docquery.operators.chunk import flatten_sources, with_chunk_vectors  # noqa: E402
-from docquery.operators.match import match_terms, postings, vocabulary  # noqa: E402
+from docquery.operators.match import match_terms  # noqa: E402
 from docquery.operators.sequence import ordered_index, previous_row  # noqa: E402
-from docquery.operators.search import (keyword_table, pattern_hits, term_requests,  # noqa: E402
-                                       tier2_triples, tier3_pairs)
+from docquery.operators.search import keyword_table, term_requests, tier2_triples, tier3_pairs  # noqa: E402
 from docquery.plans import ingest as IG  # noqa: E402
 from docquery.session import cut_lineage  # noqa: E402
 from docquery.sources import files as FL  # noqa: E402
@@ -82,16 +82,15 @@ from docquery.sources import text as TX  # noqa: E402
 from docquery.sources.html import with_html_paragraphs, with_html_text  # noqa: E402
 
 
-def _bq(spark, sf, chunks=None):
-    return benchmark_queries(load(spark, sf, "benchmark"), stored_chunks(spark, sf) if chunks is None else chunks)
+def _bq(spark, sf, store=None):
+    return benchmark_queries(load(spark, sf, "benchmark"), indexed(spark, sf) if store is None else store)
 
 
 def _tier(t: int):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        ch = stored_chunks(spark, sf)
-        q = _bq(spark, sf, ch)
-        ph = pattern_hits(single_keyword_queries(q) if t == 4 else q, ch)
-        return ph.where(F.col("tier") == t).select("query_id", "tier", "pattern_no", "rank", "score", "chunk_id")
+        st = indexed(spark, sf)
+        q = _bq(spark, sf, st)
+        return search_hits(single_keyword_queries(q) if t == 4 else q, st, tiers=(t,))
     run.__doc__ = (f"T1: per-pattern top N of tier {t} for every benchmark query"
                    + (", one query per keyword." if t == 4 else "."))
     return run
@@ -104,10 +103,9 @@ for _t in (1, 2, 3, 4):
 @register("keyword_token_matches")
 def q_keyword_token_matches(spark, sf):
     """Every search term of the benchmark queries × matching vocabulary tokens (contains / edit distance)."""
-    ch = stored_chunks(spark, sf)
-    terms = term_requests(keyword_table(_bq(spark, sf, ch))).select("term", "d")
-    vocab = vocabulary(postings(ch))
-    return match_terms(terms, vocab)
+    st = indexed(spark, sf)
+    terms = term_requests(keyword_table(_bq(spark, sf, st))).select("term", "d")
+    return match_terms(terms, st.vocabulary(), st.gram_counts())
 
 
 @register("keyword_patterns")
@@ -149,9 +147,9 @@ def q_query_keywords(spark, sf):
 @register("hit_counts")
 def q_hit_counts(spark, sf):
     """A1: number of hits per benchmark query (0 when nothing is found)."""
-    ch = stored_chunks(spark, sf)
-    q = _bq(spark, sf, ch)
-    h = retrieve(q, ch).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    st = indexed(spark, sf)
+    q = _bq(spark, sf, st)
+    h = retrieve(q, st).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     return (q.select("query_id").join(h, "query_id", "left")
              .select("query_id", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits")))
 
@@ -159,9 +157,9 @@ def q_hit_counts(spark, sf):
 @register("attach_vectors")
 def q_attach_vectors(spark, sf):
     """Hits joined to their chunk vectors (norm, bucket count and bucket checksum)."""
-    ch = stored_chunks(spark, sf)
-    h = retrieve(_bq(spark, sf, ch), ch)
-    j = with_chunk_vectors(h.join(ch.select("chunk_id", "chunk_text"), "chunk_id"))
+    st = indexed(spark, sf)
+    h = retrieve(_bq(spark, sf, st), st)
+    j = with_chunk_vectors(h.join(st.table("chunks").select("chunk_id", "chunk_text"), "chunk_id"))
     return j.select("query_id", "pos", "chunk_id", "vector_norm2", F.size("chunk_vector").alias("n_buckets"),
                     F.aggregate("chunk_vector", F.lit(0).cast("bigint"),
                                 lambda a, e: a + e["b"].cast("bigint") * e["c"]).alias("checksum"))
@@ -577,11 +575,11 @@ def _chat_questions(spark, sf):
 
 def _prompt_inputs(spark, sf):
     q, cq, m = _chat_questions(spark, sf)
-    ch = stored_chunks(spark, sf)
+    st = indexed(spark, sf)
     asked = q.where(F.col("search_on") & (F.col("context") != C.NO_CONTEXT))  # only these are searched, in their context
-    queries = cut_lineage(rank_keywords(asked.select("query_id", F.col("message").alias("query_text")), ch).drop("context_id")
+    queries = cut_lineage(rank_keywords(asked.select("query_id", F.col("message").alias("query_text")), st).drop("context_id")
                           .join(asked.select("query_id", F.col("context").alias("context_id")), "query_id"))
-    ans = answer_context(rerank(score_hits(retrieve(queries, ch), queries, ch), RetrievalConfig()))
+    ans = answer_context(rerank(score_hits(retrieve(queries, st), queries, st.table("chunks", st.asked(queries))), RetrievalConfig()))
     reps = (KN.repeat_answers(KN.semantic_repeat(cq, m), m)
               .join(q.select("chat_id", "query_id"), "chat_id").select("query_id", "text"))
     return q, ans, reps, m
@@ -614,13 +612,9 @@ def q_final_answers(spark, sf):
 
 @register("load_context")
 def q_load_context(spark, sf):
-    """Store every document's chunks by context, then reload context ``fr`` from the French paged
-    files (replace semantics); read the store back."""
-    import uuid
-    from docquery.session import checkpoint_dir
-    path = f"{checkpoint_dir(spark).rstrip('/')}/context-store-{uuid.uuid4().hex}"
-    ch = corpus_chunks(spark, sf)
-    ch.write.mode("overwrite").partitionBy("context_id").parquet(path)
-    paged = flatten_sources(_paged(spark, sf))
-    back = CX.load_context(spark, paged, path, ["fr"])
-    return back.select(F.col("context_id").cast("string").alias("context_id"), "chunk_id", "title", "chunk_number")
+    """Store every document's chunks by context, then reload context ``fr`` from the French paged
+    files (replace semantics, a second committed version); read that version back."""
+    from docquery.operators.store import load_contexts
+    first = indexed(spark, sf)
+    again = load_contexts(spark, flatten_sources(_paged(spark, sf)), first.path, ["fr"])
+    return again.table("chunks").select("context_id", "chunk_id", "title", "chunk_number")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,26 +11,25 @@ from docquery.config import RetrievalConfig
 from docquery.functions.keywords import sanitize_keywords
 from docquery.functions.vectors import tokens
 from docquery.operators.chunk import document_chunks
-from docquery.operators.match import postings
-from docquery.operators.search import search_cascade
-from docquery.session import cut_lineage
+from docquery.operators.search import ALL_TIERS, pattern_hits, search_cascade
+from docquery.operators.store import Store, load_contexts
+from docquery.session import checkpoint_dir, cut_lineage
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def rank_keywords(texts: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def rank_keywords(texts: DataFrame, store: Store, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """R2: ``query_id, context_id, query_text, keywords`` from ``texts`` (``query_id, query_text``).
 
     All words of the text are ranked by tf·idf over the chunks (ties: first place in the text) and go
-    through N7, which keeps ``keywords_limit`` of them.  The context is the one whose chunks hold most of
+    through N7, which keeps ``keywords_limit`` of them.  Word frequencies come from the stored vocabulary.  The context is the one whose chunks hold most of
     the text's words (ties: smallest id; null, meaning every context, if none holds any).
     """
     words = texts.select("query_id", F.posexplode(tokens(F.col("query_text"))).alias("pos", "token"))
     tf = cut_lineage(words.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos")))
-    found = cut_lineage(postings(chunks).join(tf.select("token").distinct(), "token")
-                        .groupBy("token", "context_id").agg(F.count(F.lit(1)).alias("df")))
-    n = chunks.count()
+    found = cut_lineage(store.table("vocabulary").join(tf.select("token").distinct(), "token").select("token", "context_id", "df"))
+    n = store.n_chunks()
     df = found.groupBy("token").agg(F.sum("df").alias("df"))
     weight = F.round(F.col("tf") * F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + F.lit(1.0))), 9)
     ranked = (tf.join(df, "token", "left").groupBy("query_id")
@@ -41,10 +42,10 @@ def rank_keywords(texts: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = Re
                       sanitize_keywords(F.coalesce("raw", F.lit("")), None, F.lit(cfg.keywords_limit)).alias("keywords"))
 
 
-def benchmark_queries(benchmark: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+def benchmark_queries(benchmark: DataFrame, store: Store, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """Every benchmark text as a query with its context and keywords (:func:`rank_keywords`)."""
     texts = benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return cut_lineage(rank_keywords(texts, chunks, cfg))
+    return cut_lineage(rank_keywords(texts, store, cfg))
 
 
 def single_keyword_queries(queries: DataFrame) -> DataFrame:
@@ -58,24 +59,36 @@ def corpus_chunks(spark: SparkSession, sf_dir: str, with_vectors: bool = False,
     return document_chunks(load(spark, sf_dir, "documents"), with_vectors=with_vectors, keep_doc_id=keep_doc_id)
 
 
-def stored_chunks(spark: SparkSession, sf_dir: str, keep_doc_id: bool = False) -> DataFrame:
-    """The chunk table as a search reads it: written once (as ingest stores it) and read back, so the
-    several text reads of a search batch do not re-chunk the documents."""
-    return cut_lineage(corpus_chunks(spark, sf_dir, keep_doc_id=keep_doc_id))
+def indexed(spark: SparkSession, sf_dir: str, keep_doc_id: bool = False) -> Store:
+    """Every document loaded into a new store (S9) in the shared folder: chunks and their index by context."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    return load_contexts(spark, corpus_chunks(spark, sf_dir, keep_doc_id=keep_doc_id), path)
+
+
+def _index_of(queries: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Chunks, postings, vocabulary and gram counts of the contexts that the queries name (F6: only those are read)."""
+    named = store.asked(queries)
+    return store.table("chunks", named), store.postings(named), store.vocabulary(named), store.gram_counts(named)
+
+
+def retrieve(queries: DataFrame, store: Store, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """Hits of every query (``query_id, pos, tier, pattern_no, rank, score, chunk_id``) in one version of the store."""
+    chunks, post, vocab, grams = _index_of(queries, store)
+    return search_cascade(queries, chunks, cfg, post, vocab, grams)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
-             post: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
-    """Hits of every query (``query_id, pos, tier, pattern_no, rank, score, chunk_id``)."""
-    return search_cascade(queries, chunks, cfg, post, vocab)
+def search_hits(queries: DataFrame, store: Store, cfg: RetrievalConfig = RetrievalConfig(), tiers: tuple[int, ...] = ALL_TIERS) -> DataFrame:
+    """Top N of every pattern of the given tiers."""
+    chunks, post, vocab, grams = _index_of(queries, store)
+    return pattern_hits(queries, chunks, cfg, post, vocab, grams, tiers)
 
 
-def retrieve_and_rerank(queries: DataFrame, chunks: DataFrame, cfg: RetrievalConfig = RetrievalConfig(),
+def retrieve_and_rerank(queries: DataFrame, store: Store, cfg: RetrievalConfig = RetrievalConfig(),
                         verdicts: DataFrame | None = None) -> DataFrame:
     """R3 + R4: hits, cosine scores, threshold/top-k/collisions, verdicts, citations."""
     from docquery.operators.rerank import rerank, score_hits
-    hits = retrieve(queries, chunks, cfg)
-    return rerank(score_hits(hits, queries, chunks), cfg, verdicts)
+    hits = retrieve(queries, store, cfg)
+    return rerank(score_hits(hits, queries, store.table("chunks", store.asked(queries))), cfg, verdicts)
 
 
 def label_verdicts(labels: DataFrame, hits: DataFrame, chunk_docs: DataFrame) -> DataFrame:

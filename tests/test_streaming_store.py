@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from docquery.operators import contexts as CX
+from docquery.operators import store as ST
 from docquery.streaming.ingest import start_ingest
 
 
@@ -24,26 +24,96 @@ def test_stream_ingest(spark):
         [("Tales", "Ann", 0, 1000), ("Tales", "Ann", 1000, 1000), ("Tales", "Ann", 2000, 500)]
 
 
+def _chunks(spark, *rows):
+    return spark.createDataFrame(list(rows), "context_id string, chunk_id string, chunk_text string")
+
+
+def _path():
+    return os.path.join(tempfile.mkdtemp(prefix="dq-store-"), "store")
+
+
+def _ids(store, *contexts):
+    return sorted((r.context_id, r.chunk_id) for r in store.table("chunks", list(contexts) or None).collect())
+
+
 def test_load_context_replaces_only_named(spark):
-    d = tempfile.mkdtemp(prefix="dq-store-")
-    path = os.path.join(d, "store")
-    base = spark.createDataFrame([("a", "1"), ("b", "2")], "context_id string, chunk_id string")
-    base.write.partitionBy("context_id").parquet(path)
-    new = spark.createDataFrame([("a", "9")], "context_id string, chunk_id string")
-    got = CX.load_context(spark, new, path, ["a"]).orderBy("chunk_id").collect()
-    assert [(r.context_id, r.chunk_id) for r in got] == [("b", "2"), ("a", "9")]
-    empty = new.where(F.lit(False))
-    got = CX.load_context(spark, empty, path, ["a"]).collect()
-    assert [(r.context_id, r.chunk_id) for r in got] == [("b", "2")]
-
-
-def test_unload_contexts(spark):
-    path = os.path.join(tempfile.mkdtemp(prefix="dq-store-"), "store")
-    spark.createDataFrame([("a/b c", "1"), ("b", "2")], "context_id string, chunk_id string").write.partitionBy("context_id").parquet(path)
+    path = _path()
+    first = ST.load_contexts(spark, _chunks(spark, ("a", "1", "x"), ("b", "2", "y"), (None, "0", "no context")), path)
+    new = _chunks(spark, ("a", "9", "z"))
+    second = ST.load_contexts(spark, new, path, ["a"])
+    assert _ids(second) == [("a", "9"), ("b", "2")]
+    assert first.contexts["b"] == second.contexts["b"]  # not written again
+    third = ST.load_contexts(spark, new.where(F.lit(False)), path, ["a"])
+    assert _ids(third) == [("b", "2")] and third.version == 3 and third.table("postings", ["a"]).count() == 0
+    # readers stay with the version they opened
+    assert _ids(first) == [("a", "1"), ("b", "2")] and _ids(ST.open_store(spark, path, 2)) == [("a", "9"), ("b", "2")]
+
+
+def test_index_tables_of_a_load(spark):
+    s = ST.load_contexts(spark, _chunks(spark, ("a", "1", "foo bar foo"), ("a", "2", "foo"), ("b", "3", "barn"), ("c", "4", "!!")), _path())
+    assert sorted(map(tuple, s.postings().select("context_id", "token", "chunk_id").collect())) == [
+        ("a", "bar", "1"), ("a", "foo", "1"), ("a", "foo", "2"), ("b", "barn", "3")]
+    assert sorted(map(tuple, s.table("vocabulary").select("context_id", "token", "df").collect())) == [("a", "bar", 1), ("a", "foo", 2), ("b", "barn", 1)]
+    assert sorted(map(tuple, s.gram_counts().collect())) == [("arn", 1), ("bar", 2), ("foo", 1)]
+    assert s.n_chunks() == 4 and s.n_chunks(["a"]) == 2 and s.contexts["c"]["chunks"] == 1
+
+
+def test_only_asked_contexts_are_read(spark):
+    s = ST.load_contexts(spark, _chunks(spark, ("007", "1", "word"), ("a/b c=1", "2", "words"), ("é", "3", "else")), _path())
+    assert _ids(s, "007") == [("007", "1")] and _ids(s, "a/b c=1", "é") == [("a/b c=1", "2"), ("é", "3")] and _ids(s, "none") == []
+    for name in ST.TABLES:
+        plan = s.table(name, ["007"])._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and "context_id" in plan.split("PartitionFilters: [")[1].split("]")[0], plan
+        assert len(s.table(name, ["007"]).inputFiles()) < len(s.table(name).inputFiles())
+    q = spark.createDataFrame([(1, "007"), (2, "unknown"), (3, "007")], "query_id int, context_id string")
+    assert s.asked(q) == ["007"] and s.asked(q.unionByName(q.withColumn("context_id", F.lit(None).cast("string")))) is None
+
+
+def test_a_load_killed_before_its_commit_changes_nothing(spark, monkeypatch):
+    path = _path()
+    ST.load_contexts(spark, _chunks(spark, ("a", "1", "x")), path)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(ST, "_commit", killed)
+    for call in (lambda: ST.load_contexts(spark, _chunks(spark, ("a", "9", "z")), path, ["a"]), lambda: ST.drop_contexts(spark, path, ["a"])):
+        try:
+            call()
+            raise AssertionError("not reached")
+        except KeyboardInterrupt:
+            pass
+        assert ST.versions(spark, path) == [1] and _ids(ST.open_store(spark, path)) == [("a", "1")]
+    monkeypatch.undo()
+    assert ST.vacuum(spark, path) == 4  # the folders of the killed load
+    assert _ids(ST.open_store(spark, path)) == [("a", "1")]
+
+
+def test_racing_loads_both_count(spark, monkeypatch):
+    path = _path()
+    ST.load_contexts(spark, _chunks(spark, ("a", "1", "x")), path)
+    commit, raced = ST._commit, []
+
+    def other_first(*args):
+        if not raced:
+            raced.append(1)
+            ST.load_contexts(spark, _chunks(spark, ("b", "2", "y")), path, ["b"])
+        return commit(*args)
+
+    monkeypatch.setattr(ST, "_commit", other_first)
+    last = ST.load_contexts(spark, _chunks(spark, ("c", "3", "z")), path, ["c"])
+    assert _ids(last) == [("a", "1"), ("b", "2"), ("c", "3")] and ST.versions(spark, path) == [1, 2, 3]
+
+
+def test_unload_and_vacuum(spark):
+    path = _path()
+    ST.load_contexts(spark, _chunks(spark, ("a/b c", "1", "x"), ("b", "2", "y")), path)
+    ST.load_contexts(spark, _chunks(spark, ("b", "3", "y")), path, ["b"])
     reg = spark.createDataFrame([("a/b c", "A", None), ("b", "B", None)], "context_id string, display_name string, omit_keywords array<string>")
-    left = CX.unload_contexts(spark, reg, spark.createDataFrame([("A",)], "name string"), path)
-    assert [r.context_id for r in left.collect()] == ["b"]
-    assert [r.chunk_id for r in spark.read.parquet(path).collect()] == ["2"]
+    left = ST.unload_contexts(spark, reg, spark.createDataFrame([("A",)], "name string"), path)
+    assert [r.context_id for r in left.collect()] == ["b"] and _ids(ST.open_store(spark, path)) == [("b", "3")]
+    assert ST.vacuum(spark, path, keep=1) == 4 and _ids(ST.open_store(spark, path)) == [("b", "3")]
+    assert ST.open_store(spark, _path()).contexts == {} and ST.drop_contexts(spark, _path(), ["x"]).contexts == {}
 
 
 def test_message_store(spark):
