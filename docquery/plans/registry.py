@@ -319,7 +319,8 @@ def q_ingest_paged(spark, sf):
 def _page_items(spark, sf):
     p = load(spark, sf, "pages")
     book = F.regexp_extract("url", r"/([a-z]{2})/", 1)
-    item = F.concat(F.when(F.col("url").contains("page="), F.lit("Chapter")).otherwise(F.lit("cover")),
+    # some names in other cases: the test for chapters ignores case
+    item = F.concat(F.when(F.col("url").contains("page="), F.lit("Chapter")).otherwise(F.lit("chapter-")),
                     F.col("page_id").cast("string"), F.lit(".xhtml"))
     return p.select(book.alias("context_id"), F.concat(F.lit("site-"), book).alias("title"),
                     F.lit("Unknown").alias("author"), book.alias("subject"), F.col("page_id").alias("item_no"),
@@ -352,21 +353,22 @@ def _escape_html(x):
                      F.lit(">"), F.lit("&gt;"))
 
 
-def _corpus_files(spark, sf):
+def _corpus_files(spark, sf, kinds=None):
     """Fixture corpus: the file list of ``documents`` with each file's content – the document text,
-    wrapped as one escaped ``<p>`` for ``.html`` files.  ``.pdf`` pages are the text's lines."""
-    f = FL.document_files(load(spark, sf, "documents"), extra=["text"])
+    wrapped as one escaped ``<p>`` for ``.html`` files.  ``.pdf`` pages are the text's lines.  Every document is one
+    file; the ``kinds`` (all by default) take turns."""
+    f = FL.document_files(load(spark, sf, "documents"), extra=["text"], turns=kinds)
     html = F.concat(F.lit("<html><body><p>"), _escape_html(F.col("text")), F.lit("</p></body></html>"))
     return f.select("file_pos", "path", "context",
                     F.when(source_kind(F.col("path")) == ".html", html).otherwise(F.col("text")).alias("content"))
 
 
 def _epub_items(files):
-    """Fixture items of ``.epub`` files: one item per line; even lines are ``Chapter<n>.xhtml``, odd
-    lines ``notes<n>.xhtml``; the item's HTML is the escaped line in one ``<p>``."""
+    """Fixture items of ``.epub`` files: one item per line, named ``Chapter<n>.xhtml`` or ``chapter<n>.xhtml`` in turn; the
+    item's HTML is the escaped line in one ``<p>``."""
     e = files.where(source_kind(F.col("path")) == ".epub")
     lines = e.select("file_pos", F.posexplode(F.split(F.col("content"), "\n")).alias("item_no", "line"))
-    name = F.concat(F.when(F.col("item_no") % 2 == 0, F.lit("Chapter")).otherwise(F.lit("notes")),
+    name = F.concat(F.when(F.col("item_no") % 2 == 0, F.lit("Chapter")).otherwise(F.lit("chapter")),
                     F.col("item_no").cast("string"), F.lit(".xhtml"))
     return lines.select("file_pos", "item_no", name.alias("item_name"),
                         F.concat(F.lit("<p>"), _escape_html(F.col("line")), F.lit("</p>")).alias("html"))
@@ -374,9 +376,9 @@ def _epub_items(files):
 
 @register("flatten_books")
 def q_flatten_books(spark, sf):
-    """Registered books (last file per title) read by the native readers – text, Markdown,
-    paged – and flattened chapter → page → chunk."""
-    return IG.ingest_corpus(_corpus_files(spark, sf), IG.NATIVE_KINDS)
+    """Every document as a file of one of the native kinds in turn – text, Markdown, paged; the registered books
+    (last file per title) are read and flattened chapter → page → chunk."""
+    return IG.ingest_corpus(_corpus_files(spark, sf, IG.NATIVE_KINDS), IG.NATIVE_KINDS)
 
 
 @register("ingest_corpus")

@@ -14,12 +14,14 @@ FIXTURE_EXTENSIONS = [".html", ".pdf", ".epub", ".txt", ".docx", ".doc", ".md",
 FIXTURE_KINDS = [".html", ".pdf", ".epub", ".txt", ".docx", ".doc", ".md"]
 
 
-def document_files(documents: DataFrame, extra: list[str] | None = None, ext: str | list[str] | None = None) -> DataFrame:
+def document_files(documents: DataFrame, extra: list[str] | None = None, ext: str | list[str] | None = None,
+                   turns: list[str] | None = None) -> DataFrame:
     """``file_pos, path, context, n_lines`` (+ ``extra`` columns).
 
     ``ext``: one extension for every document, or a list of which each document gets every one; by
-    default the kinds take turns over the documents (a mixed corpus).
+    default the kinds ``turns`` take turns over the documents (a mixed corpus of every document).
     """
+    turns = turns or FIXTURE_KINDS
     first = F.regexp_extract("text", r"[\p{L}\p{N}'-]+", 0)
     stem = F.concat(F.when(first == "", F.lit("untitled")).otherwise(first), F.lit(" "), F.substring(F.md5("text"), 1, 12))
     m = F.pmod(F.col("doc_id"), F.lit(3))
@@ -30,7 +32,7 @@ def document_files(documents: DataFrame, extra: list[str] | None = None, ext: st
     elif ext:
         suffix = F.explode(F.array(*[F.lit(e) for e in ext]))
     else:
-        suffix = F.element_at(F.array(*[F.lit(e) for e in FIXTURE_KINDS]), (F.pmod(F.col("doc_id"), F.lit(len(FIXTURE_KINDS))) + 1).cast("int"))
+        suffix = F.element_at(F.array(*[F.lit(e) for e in turns]), (F.pmod(F.col("doc_id"), F.lit(len(turns))) + 1).cast("int"))
     return (documents.withColumn("_name", name).withColumn("_ext", suffix)
             .select(F.col("doc_id").alias("file_pos"),
                     F.concat(F.lit("/corpus/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), F.col("_name"),
