@@ -228,6 +228,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         fields.append(("ids", pa.list_(pa.int32())))
 
     def run(batches):
+        common.hold("bpe", worker_codec)
         codec = worker_codec(ranks_path, pattern)
         digits = codec.digits.__getitem__
         for b in batches:

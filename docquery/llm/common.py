@@ -94,6 +94,18 @@ def partition_id() -> int:
     return ctx.partitionId() if ctx else 0
 
 
+_held: dict[str, tuple] = {}  # of a worker process: operator -> its caches
+
+
+def hold(owner: str, *caches) -> None:
+    """Say in a task whose caches (functions under ``functools.cache``) the worker process keeps from here on: those of other
+    operators are emptied, so a chain of operators holds the memory of one."""
+    for other in [k for k in _held if k != owner]:
+        for c in _held.pop(other):
+            c.cache_clear()
+    _held[owner] = caches
+
+
 def arrow_rows(batches: Iterator, *columns: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of Python values."""
     for b in batches:

@@ -94,6 +94,7 @@ def members(docs: DataFrame, n: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("_th", pa.int64()), ("_tl", pa.int32()), ("node", pa.int64()), ("n_shingles", pa.int64())])
 
     def run(batches):
+        common.hold("jaccard", word_hashes)
         for b in batches:
             sets = [shingles(t, n) for t in b.column("_t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_th"), b.column("_tl"), pa.array([set_key(s) for s in sets], pa.int64()),
@@ -107,6 +108,7 @@ def emitted(texts: DataFrame, n: int, lowest: int | None) -> DataFrame:
     schema = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
 
     def run(batches):
+        common.hold("jaccard", word_hashes)
         for b in batches:
             hs, nodes, sizes = [], [], []
             for t in b.column("_t").to_pylist():

@@ -191,6 +191,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_co
                         ("base_sha256", pa.string()), ("spans", pa.string()), ("n_value", pa.int64())])
 
     def run(batches):
+        common.hold("secrets", prose_model)
         model = GuessCost()
         for b in batches:
             rows = []
@@ -212,6 +213,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "<SECRET>", mi
     at = docs.columns.index(text_col)
 
     def run(batches):
+        common.hold("secrets", prose_model)
         model = GuessCost()
         for b in batches:
             texts = []

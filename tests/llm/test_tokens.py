@@ -135,3 +135,27 @@ def test_crossing_tokens_are_attributed():
 def test_unknown_rule(odd):
     with pytest.raises(ValueError):
         token_counts.count_tokens(odd, token_binary.default_tokenizer(), "other")
+
+
+def test_worker_keeps_the_caches_of_one_operator():
+    import functools
+
+    from docquery.llm import common
+
+    @functools.cache
+    def a():
+        return object()
+
+    @functools.cache
+    def b():
+        return object()
+
+    first = a()
+    common.hold("a", a)
+    common.hold("a", a)
+    assert a() is first
+    common.hold("b", b)
+    kept = b()
+    assert a.cache_info().currsize == 0 and b() is kept
+    common.hold("none")
+    assert b.cache_info().currsize == 0
