@@ -4,10 +4,10 @@ A and B tokens of a text are intervals of the bytes of space+text.  All interval
 greatest end so far runs along them; where a start reaches it, both tokenizers have ended and a new group begins.
 Within a group every A token is linked with the B tokens that overlap it.
 
-Both tokenizers cut where a blank or a newline follows a character that is no white space (no pre-token of A
-and no piece of B holds such a place), so a text is cut there first.  Parts repeat far more often than
-texts: new parts of a block are encoded by the libraries in one call each and aligned together, and their groups and links
-stay in a bounded memo of the worker.  Parts whose bytes a tokenizer does not give back make their texts token-less.
+Both tokenizers cut where a blank or a newline follows a character that is no white space, and between a letter and
+one of some marks (no pre-token of A and no piece of B holds such a place), so a text is cut there first.  Parts repeat
+far more often than texts: new parts of a block are encoded as few long texts and aligned together, and their groups
+and links stay in a bounded memo of the worker.  Parts whose bytes a tokenizer does not give back make their texts token-less.
 
 How it is spread: a task cuts its rows into blocks of bounded length.  A block gives one row per document (digest of
 its groups, and its distinct links as places in the block's dictionary with their numbers) and one dictionary row (the distinct id
@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK_CHARS = 2_000_000  # a block ends with the document that reaches this length
-MEMO_PARTS = 120_000     # parts in each of the two halves of a worker's memo
+BLOCK_CHARS = 4_000_000  # a block ends with the document that reaches this length
+MEMO_PARTS = 250_000     # parts in each of the two halves of a worker's memo
 MEMO_CHARS = 60          # longer parts are not kept
-CUT = re.compile(r"(?<=\S)(?=[ \n])")
-WORD_MARK = "▁"     # how B writes a blank
+JOINED = 1_000           # parts that are encoded as one text
+# between a letter and a mark (superscripts are no letters here: B has a piece of one and a full stop)
+CUT = re.compile("(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,;:!?&%$#*|])")
+WORD_MARK = "\u2581"     # how B writes a blank
 
 STAGED = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, place binary, times binary, "
           "pairs array<long>, docs array<int>")
@@ -60,12 +62,28 @@ def byte_of_sign() -> dict[str, int]:
     return {**{chr(b): b for b in own}, **{chr(0x100 + k): b for k, b in enumerate(rest)}}
 
 
+def in_merge_order(model: dict) -> bool:
+    """Do ids follow the merges, one merge per token?  Then the lowest id that two neighbours make is the first merge."""
+    vocab = model["vocab"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocab.get("".join(p)) for p in pairs]
+    single = [k for t, k in vocab.items() if len(t) == 1]
+    return None not in made and all(x < y for x, y in zip(made, made[1:])) and len(single) == 256 and max(single) < made[0]
+
+
 @functools.cache
 def tokenizer_a(path: str):
-    """(encode a list of texts to lists of ids, bytes of each id)."""
+    """(encode a text to ids, bytes of each id).
+
+    The library's own encoder keeps offsets of every token; where the ids follow the merges, the ranks of the same file in the
+    rank-based library give the same ids in a fraction of the time.
+    """
+    import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(path)
@@ -73,29 +91,53 @@ def tokenizer_a(path: str):
     signs, table = byte_of_sign(), [b""] * tk.get_vocab_size()
     for token, k in tk.get_vocab().items():
         table[k] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
-    return (lambda texts: [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]), table
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if not in_merge_order(model):
+        return (lambda text: tk.encode(text, add_special_tokens=False).ids), table
+    ranks = {table[k]: k for t, k in model["vocab"].items() if all(c in signs for c in t) and (len(t) == 1 or k < 256 + len(model["merges"]))}
+    return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, table
 
 
 @functools.cache
 def tokenizer_b(path: str):
-    """The same for B, which puts a blank before every text: texts that begin with one lose it first, others lose the token."""
+    """The same for B, which puts a blank before every text: a text that begins with one loses it first, another loses the token."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     table = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace(WORD_MARK, " ").encode()
              for p in (sp.id_to_piece(k) for k in range(sp.get_piece_size()))]
+    blank = sp.piece_to_id(WORD_MARK)
 
-    def encode(texts: list[str]) -> list[list[int]]:
-        ids = sp.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1)
-        # B gives no token for no text, and begins a text that starts with no blank (a newline) with a blank of its own
-        return [own if t[:1] == " " and len(t) > 1 else ([sp.piece_to_id(WORD_MARK)] if t[:1] == " " else own[1:]) for t, own in zip(texts, ids)]
+    def encode(text: str) -> list[int]:
+        if text[:1] != " ":
+            # its own blank joins no newline; a mark could be joined to it, so it stands behind a newline
+            return sp.encode(text)[1:] if text[:1] == "\n" else sp.encode("\n" + text)[2:]
+        return sp.encode(text[1:]) if len(text) > 1 else [blank]
 
     return encode, table
 
 
-def parts_of(text: str) -> list[str]:
-    """Parts of a blank and the text; every one begins with a blank or a newline."""
-    return CUT.split(" " + text)
+def units_of(text: str) -> list[str]:
+    """A blank and the text, cut before every blank or newline that follows a character that is no white space.
+
+    A unit of one blank and no white space at its end is named without the blank, any other by its text.
+    """
+    pieces = text.replace("\n", " \n").split(" ")  # a newline begins a piece and stands for itself, other pieces follow a blank
+    if "" not in pieces and not any(p[-1].isspace() for p in pieces):
+        return pieces
+    out, held = [], ""  # white space waits for what follows
+    for p in pieces:
+        if not p or p[-1].isspace():
+            held += p if p[:1] == "\n" else " " + p
+        else:
+            out.append(held + (p if p[:1] == "\n" else " " + p) if held else p)
+            held = ""
+    return [*out, held] if held else out
+
+
+def text_of(unit: str) -> str:
+    return unit if unit[0] in " \n" else " " + unit
 
 
 # ---------------------------------------------------------------- interval coalescing
@@ -119,68 +161,135 @@ def overlaps(starts_a, ends_a, starts_b, ends_b) -> tuple[np.ndarray, np.ndarray
     return a, np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
 
 
-Part = tuple[int, int, int, str, bytes]  # A tokens, B tokens, groups, groups as text, links as 32-bit numbers
+Part = tuple[int, str, bytes]  # numbers of A tokens, B tokens and groups in one integer, groups as text, links as 32-bit numbers
+SHIFT = 40                       # bits of each of the three numbers
+
+
+def flat_ids(parts: list[str], encode, table: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all parts in order, their number in each part, which parts the tokenizer gives back).
+
+    Parts that begin with a blank and end without are encoded as one text, in which the same cuts hold; others, and
+    texts whose parts do not come back, one by one.
+    """
+    lengths = np.array([len(b) for b in table], np.int64)
+    ids, counts, whole = [], np.zeros(len(parts), np.int64), np.ones(len(parts), bool)
+
+    def alone(k: int) -> None:
+        own = encode(parts[k])
+        ids.append(np.array(own, np.uint32))
+        counts[k], whole[k] = len(own), b"".join([table[i] for i in own]) == parts[k].encode("utf-8", "replace")
+
+    at = 0
+    while at < len(parts):
+        to = at
+        while to < len(parts) and to - at < JOINED and parts[to][0] == " " and not parts[to][-1].isspace():
+            to += 1
+        if to == at:
+            alone(at)
+            at += 1
+            continue
+        own = encode("".join(parts[at:to]))
+        plain = [p.encode("utf-8", "replace") for p in parts[at:to]]
+        own_ids = np.array(own, np.uint32)
+        ends, stops = np.cumsum(lengths[own_ids]), np.cumsum([len(b) for b in plain])
+        last = np.minimum(np.searchsorted(ends, stops), len(ends) - 1)
+        if b"".join([table[i] for i in own]) == b"".join(plain) and (ends[last] == stops).all():
+            ids.append(own_ids)
+            counts[at:to] = np.diff(last, prepend=-1)
+        else:
+            for k in range(at, to):
+                alone(k)
+        at = to
+    return np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts, whole
 
 
 def aligned(parts: list[str], path_a: str, path_b: str) -> list[Part | None]:
     """What the parts hold; None for those that a tokenizer changes."""
-    (encode_a, bytes_a), (encode_b, bytes_b) = tokenizer_a(path_a), tokenizer_b(path_b)
-    ids = [encode_a(parts), encode_b(parts)]
-    plain = [p.encode("utf-8", "replace") for p in parts]
-    whole = [all(b"".join([table[i] for i in own[k]]) == plain[k] for own, table in zip(ids, (bytes_a, bytes_b))) for k in range(len(parts))]
-    keep = [k for k, ok in enumerate(whole) if ok]
+    order = sorted(range(len(parts)), key=lambda k: parts[k][0] != " " or parts[k][-1].isspace())
+    tables = [tokenizer_a(path_a), tokenizer_b(path_b)]
+    sides = [flat_ids([parts[k] for k in order], *t) for t in tables]
+    keep = sides[0][2] & sides[1][2]
     out: list[Part | None] = [None] * len(parts)
-    if not keep:
+    if not keep.any():
         return out
     # the parts one after the other: their ends are common ends of both sides
-    sides = []
-    for own, table in zip(ids, (bytes_a, bytes_b)):
-        flat = [i for k in keep for i in own[k]]
-        ends = np.cumsum([len(table[i]) for i in flat])
-        sides.append((flat, np.concatenate([[0], ends[:-1]]), ends, np.cumsum([0] + [len(own[k]) for k in keep])))
-    (a, start_a, end_a, from_a), (b, start_b, end_b, from_b) = sides
+    (a, start_a, end_a, from_a), (b, start_b, end_b, from_b) = (
+        (own := ids[np.repeat(keep, counts)], np.concatenate([[0], (ends := np.cumsum(np.array([len(x) for x in table], np.int64)[own]))[:-1]]), ends,
+         np.concatenate([[0], np.cumsum(counts[keep])])) for (ids, counts, _), (_, table) in zip(sides, tables))
     group_a, group_b = coalesced(start_a, end_a, start_b, end_b)
     left, right = overlaps(start_a, end_a, start_b, end_b)
-    links = (np.array(a, np.uint32)[left] << np.uint32(16) | np.array(b, np.uint32)[right]).astype("<u4")
+    links = (a[left] << np.uint32(16) | b[right]).astype("<u4")
     number = np.arange(group_a[-1] + 2)
     cut_a, cut_b = np.searchsorted(group_a, number).tolist(), np.searchsorted(group_b, number).tolist()
-    text_a, text_b = [str(i) for i in a], [str(i) for i in b]
-    shown = [",".join(text_a[cut_a[g]:cut_a[g + 1]]) + "|" + ",".join(text_b[cut_b[g]:cut_b[g + 1]]) for g in range(len(number) - 1)]
-    from_group = [*group_a[from_a[:-1]].tolist(), len(shown)]
-    from_link = np.searchsorted(left, from_a).tolist()
-    from_a, from_b, stored = from_a.tolist(), from_b.tolist(), links.tobytes()
-    for n, k in enumerate(keep):
-        out[k] = (from_a[n + 1] - from_a[n], from_b[n + 1] - from_b[n], from_group[n + 1] - from_group[n],
-                  ";".join(shown[from_group[n]:from_group[n + 1]]), stored[4 * from_link[n]:4 * from_link[n + 1]])
+    text_a, text_b = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
+    shown = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+    from_group = np.concatenate([group_a[from_a[:-1]], [len(shown)]])
+    numbers = zip(np.diff(from_a).tolist(), np.diff(from_b).tolist(), np.diff(from_group).tolist())
+    from_link, from_group, stored = (4 * np.searchsorted(left, from_a)).tolist(), from_group.tolist(), links.tobytes()
+    for n, (k, (x, y, z)) in enumerate(zip(np.array(order)[keep].tolist(), numbers)):
+        out[k] = (x | y << SHIFT | z << 2 * SHIFT, ";".join(shown[from_group[n]:from_group[n + 1]]), stored[from_link[n]:from_link[n + 1]])
     return out
 
 
 class Memo:
-    """Parts of a worker in two halves: a part found in the old half moves to the new one, and a full new half becomes the old."""
+    """Values of a worker in two halves: one found in the old half moves to the new one, and a full new half becomes the old."""
 
     def __init__(self, limit: int):
         self.limit, self.new, self.old = limit, {}, {}
 
-    def add(self, part: str, value) -> None:
+    def add(self, key: str, value) -> None:
+        if len(key) > MEMO_CHARS:
+            return
         if len(self.new) >= self.limit:
             self.new, self.old = {}, self.new
-        self.new[part] = value
+        self.new[key] = value
 
-    def known(self, parts: set[str]) -> dict:
-        """The values of those parts that are kept."""
-        found = {}
-        for p in parts:
-            if p in self.new:
-                found[p] = self.new[p]
-            elif p in self.old:
-                found[p] = self.old[p]
-                self.add(p, found[p])
-        return found
+    def known(self, keys: set[str]) -> dict:
+        """The values of those keys that are kept."""
+        new, old = self.new, self.old
+        found = {k: new[k] for k in keys if k in new}
+        again = {k: old[k] for k in keys if k in old and k not in found}
+        for k, v in again.items():
+            self.add(k, v)
+        return {**found, **again}
 
 
 @functools.cache
-def worker_memo(path_a: str, path_b: str) -> Memo:
-    return Memo(MEMO_PARTS)
+def worker_memo(path_a: str, path_b: str) -> tuple[Memo, Memo]:
+    """Of units, and of what follows the first cut of a unit."""
+    return Memo(MEMO_PARTS), Memo(MEMO_PARTS // 4)
+
+
+def joined(values: list[Part | None]) -> Part | None:
+    if None in values:
+        return None
+    numbers, shown, links = zip(*values)
+    return sum(numbers), ";".join(shown), b"".join(links)
+
+
+def unit_values(units: set[str], path_a: str, path_b: str) -> dict[str, Part | None]:
+    """What the units hold: kept values, values put together from kept parts, and newly aligned ones."""
+    heads, tails = worker_memo(path_a, path_b)
+    values = heads.known(units)
+    cut = {u: CUT.split(text_of(u)) for u in units if u not in values}
+    head_of = {u: c[0][1:] if u[0] not in " \n" else c[0] for u, c in cut.items()}
+    wanted_heads, wanted_tails = set(head_of.values()), {t for c in cut.values() for t in c[1:]}
+    head_values = {h: values[h] for h in wanted_heads if h in values}
+    head_values |= heads.known(wanted_heads - head_values.keys())
+    tail_values = tails.known(wanted_tails)
+    new_heads, new_tails = list(wanted_heads - head_values.keys()), list(wanted_tails - tail_values.keys())
+    found = aligned([*map(text_of, new_heads), *new_tails], path_a, path_b) if new_heads or new_tails else []
+    for memo, table, keys, own in ((heads, head_values, new_heads, found[:len(new_heads)]), (tails, tail_values, new_tails, found[len(new_heads):])):
+        table.update(zip(keys, own))
+        for k, v in zip(keys, own):
+            memo.add(k, v)
+    for u, c in cut.items():
+        if len(c) == 1:
+            values[u] = head_values[head_of[u]]
+        else:
+            values[u] = joined([head_values[head_of[u]], *[tail_values[t] for t in c[1:]]])
+            heads.add(u, values[u])
+    return values
 
 
 EMPTY = ((0, 0, 0, 0, ""), np.zeros(0, np.uint32), np.zeros(0, np.int64))
@@ -188,26 +297,18 @@ EMPTY = ((0, 0, 0, 0, ""), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 def measured(texts: list[str], path_a: str, path_b: str) -> list[tuple[tuple, np.ndarray, np.ndarray]]:
     """Of each text: (n_a, n_b, n_groups, n_links, groups_sha256), its distinct links and how often each occurs."""
-    cut = [parts_of(t) if t else [] for t in texts]
-    wanted = set().union(*cut)
-    memo = worker_memo(path_a, path_b)
-    values = memo.known(wanted)
-    new = [p for p in wanted if p not in values]
-    if new:
-        for p, v in zip(new, aligned(new, path_a, path_b)):
-            values[p] = v
-            if len(p) <= MEMO_CHARS:
-                memo.add(p, v)
+    cut = [units_of(t) if t else [] for t in texts]
+    values = unit_values(set().union(*cut), path_a, path_b)
     out = []
-    for parts in cut:
-        held = [values[p] for p in parts]
-        if not held or None in held:
+    for units in cut:
+        whole = joined([values[u] for u in units]) if units else None
+        if whole is None:
             out.append(EMPTY)
             continue
-        n_a, n_b, n_groups, shown, links = zip(*held)
-        links = np.frombuffer(b"".join(links), "<u4")
+        total, shown, links = whole
+        links, mask = np.frombuffer(links, "<u4"), (1 << SHIFT) - 1
         ids, times = np.unique(links, return_counts=True)
-        out.append(((sum(n_a), sum(n_b), sum(n_groups), len(links), hashlib.sha256(";".join(shown).encode()).hexdigest()), ids, times))
+        out.append(((total & mask, total >> SHIFT & mask, total >> 2 * SHIFT, len(links), hashlib.sha256(shown.encode()).hexdigest()), ids, times))
     return out
 
 

@@ -1,7 +1,9 @@
 """Cross-tokenizer alignment against the libraries on whole texts and plain loops."""
 
+import functools
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -15,14 +17,30 @@ def paths():
     return ct.default_paths()
 
 
+@functools.cache
+def libraries(paths):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(paths[0])
+    tk.encode_special_tokens = True
+    return tk, sentencepiece.SentencePieceProcessor(model_file=paths[1])
+
+
+def test_no_piece_spans_a_cut(paths):
+    sp = libraries(paths)[1]
+    for k in range(sp.get_piece_size()):
+        text = sp.id_to_piece(k).replace(ct.WORD_MARK, " ")
+        assert sp.is_byte(k) or not (ct.CUT.search(text) or re.search(r"\S[ \n]", text))
+
+
 def plain_groups(text, paths):
     """Groups and links of one whole text, byte by byte; None if it has no tokens."""
     if not text:
         return None
-    import sentencepiece
-
-    (encode_a, bytes_a), (_, bytes_b) = ct.tokenizer_a(paths[0]), ct.tokenizer_b(paths[1])
-    a, b = encode_a([" " + text])[0], sentencepiece.SentencePieceProcessor(model_file=paths[1]).encode(text)
+    bytes_a, bytes_b = ct.tokenizer_a(paths[0])[1], ct.tokenizer_b(paths[1])[1]
+    tk, sp = libraries(paths)
+    a, b = tk.encode(" " + text, add_special_tokens=False).ids, sp.encode(text)
     want = (" " + text).encode()
     if b"".join(bytes_a[i] for i in a) != want or b"".join(bytes_b[i] for i in b) != want:
         return None
@@ -79,7 +97,7 @@ def test_random_texts_cut_like_whole_ones(spark, paths, monkeypatch):
     monkeypatch.setattr(ct, "BLOCK_CHARS", 300)
     rnd = random.Random(8)
     pool = [" ", "  ", "\n", "\r\n", "\t", " ", "　", "\x1c", "\x85", "\x00", "▁", "<s>", "<0x41>", "</s>", "<unk>", "<|endoftext|>", "don't", "it's", "'ll", "word", "Words",
-            "naïve", "你好", "🙂", "👩‍👩‍👧", "1234", "!!!", "...", "a.b", "{\r", "});", "ſ", "é", "é", "ffi", "don", "'", "-", "_", "=" * 9, "x" * 70]
+            "naïve", "你好", "🙂", "👩‍👩‍👧", "1234", "!!!", "...", "a.b", "{\r", "});", "ſ", "é", "é", "ffi", "don", "end.", "x,y", "a!!b", "²;", "½:", "e\u0301.", "No.5", "$5", "#tag", "a|b", "'", "-", "_", "=" * 9, "x" * 70]
     rows = [(k, "".join(rnd.choice(pool) + rnd.choice(["", " ", ""]) for _ in range(rnd.randint(1, 25)))) for k in range(250)]
     got = same(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), paths)
     assert sum(r[1] > 0 for r in got) > 100 and sum(r[1] == 0 for r in got) > 20
@@ -104,6 +122,14 @@ def test_memo_changes_nothing(paths, monkeypatch):
     ct.worker_memo.cache_clear()
 
 
+def test_units_are_the_text():
+    rnd = random.Random(2)
+    for _ in range(2000):
+        text = "".join(rnd.choice(["a", "b.", " ", " ", "\n", "\t", "\u3000", "\x1c"]) for _ in range(rnd.randint(1, 12)))
+        texts = [ct.text_of(u) for u in ct.units_of(text)]
+        assert "".join(texts) == " " + text and texts == re.split(r"(?<=\S)(?=[ \n])", " " + text)
+
+
 def test_memo_is_bounded():
     memo = ct.Memo(10)
     for k in range(100):
