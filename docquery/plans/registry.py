@@ -196,6 +196,13 @@ def q_knn_exact(spark, sf):
     return KN.knn_exact(load(spark, sf, "embeddings"), 4)
 
 
+@register("knn_cells")
+def q_knn_cells(spark, sf):
+    """J7 for a probe table: the 4 embeddings nearest to every embedding whose id is divisible by 50, found by cells."""
+    e = load(spark, sf, "embeddings")
+    return KN.knn_probes(e, e.where(F.col("vec_id") % 50 == 0), 4)
+
+
 # ---------------------------------------------------------------------------------------------
 # row-wise text functions over the given tables
 # ---------------------------------------------------------------------------------------------

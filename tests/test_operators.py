@@ -335,3 +335,56 @@ def test_checkpoint_folder_of_the_caller_is_kept(spark):
 
     with pytest.raises(ValueError):
         checkpoint_dir(Session())
+
+
+def _knn_rows(rnd, n, d=16, groups=6):
+    centres = [[rnd.gauss(0, 1) for _ in range(d)] for _ in range(groups)]
+    rows = []
+    for k in range(n):
+        c = centres[rnd.randrange(groups) if k % 3 else 0]  # one group holds over a third
+        rows.append((k, [x + rnd.gauss(0, 0.4) for x in c]))
+    return rows
+
+
+def _brute_knn(rows, probes, k):
+    def cos(a, b):
+        na, nb = sum(x * x for x in a), sum(x * x for x in b)
+        return sum(x * y for x, y in zip(a, b)) / (na * nb) ** 0.5 if na * nb > 0 else 0.0
+    return {p: [i for _, i in sorted((-cos(pv, v), i) for i, v in rows if i != p)[:k]] for p, pv in probes}
+
+
+def test_knn_probes_equals_brute_force(spark, monkeypatch):
+    from docquery.operators import knn as KN
+    monkeypatch.setattr(KN, "BLOCK_ROWS", 50)  # hot cells are cut into blocks
+    rnd = random.Random(11)
+    rows = _knn_rows(rnd, 500)
+    rows += [(1000 + k, rows[3][1]) for k in range(120)]                       # equal vectors: ties go to the smaller id
+    rows += [(2000 + k, [0.0] * 16) for k in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    probes = [r for r in rows if r[0] % 50 == 0]
+    got = {}
+    for r in KN.knn_probes(df, df.where("vec_id % 50 = 0"), 4).orderBy("probe_id", "rank").collect():
+        got.setdefault(r.probe_id, []).append(r.vec_id)
+    assert got == _brute_knn(rows, probes, 4)
+
+
+def test_knn_probes_negative_similarities_and_nulls(spark):
+    from docquery.operators.knn import knn_probes
+    rows = [(0, [1.0, 0.0]), (1, [-1.0, 0.1]), (2, None), (3, [-1.0, 0.0]), (4, [0.0, 0.0]), (5, [-0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in knn_probes(df, df.where("vec_id = 0"), 3, first=1).orderBy("rank").collect()]
+    assert got == [2, 4, 5]  # a null vector counts as zero: cosine 0
+    assert knn_probes(df, df.limit(0)).count() == 0 and knn_probes(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_knn_first_cells_recall(spark):
+    """Without the exact round, a few cells already hold most neighbours."""
+    from docquery.operators.knn import knn_probes
+    rnd = random.Random(5)
+    rows = _knn_rows(rnd, 1500, groups=20)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    probes = [r for r in rows if r[0] % 50 == 0]
+    want, hit = _brute_knn(rows, probes, 4), 0
+    for r in knn_probes(df, df.where("vec_id % 50 = 0"), 4, first=8, exact=False).collect():
+        hit += r.vec_id in want[r.probe_id]
+    assert hit >= 0.9 * 4 * len(probes)
