@@ -90,8 +90,8 @@ def rolling_context(messages: DataFrame, questions: DataFrame, max_prompt_length
     """For every message and every current question, the last 5 (prompt, response) pairs before
     it joined by a blank line, keeping the last ``max_prompt_length`` characters.
 
-    The ROWS frame (5 preceding .. 1 preceding) is built by position: every row is sent to the five
-    rows after it, so a chat of any size is spread over many tasks.
+    The ROWS frame (5 preceding .. 1 preceding) is a window over blocks of positions, each with the last five rows
+    of the block before, so a chat of any size is spread over many tasks and its texts are not copied per frame.
     """
     hist = chat_history(messages).select("chat_id", "datetime", F.lit(0).alias("q"), "prompt", "response",
                                          F.col("seq").cast("string").alias("ref"))

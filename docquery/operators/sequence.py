@@ -9,7 +9,8 @@ globally instead:
 2. a per-partition position (``monotonically_increasing_id`` after the sort) plus the row count of all
    earlier partitions gives a dense global position ``_g``.  The count table has one row per
    partition, so broadcasting it is bounded by the partition count;
-3. neighbours inside a group are then equi-joins on ``(keys, _g ± j)`` – unique keys, no skew.
+3. the next or previous row of a group is then an equi-join on ``(keys, _g ± 1)`` – unique keys, no skew – and a frame of
+   several rows a window over blocks of positions with a halo (:func:`preceding_rows`).
 
 The numbered table is checkpointed: the range bounds come from a sample, and the numbering must not
 change if a lost partition is recomputed.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from docquery.session import cut_lineage
 
 G = "_g"
+BLOCK = 4096  # positions of a block in preceding_rows
 
 
 def ordered_index(df: DataFrame, keys: list[str], order: list[Column | str],
@@ -67,15 +69,18 @@ def previous_row(idx: DataFrame, keys: list[str], cols: list[str], prefix: str =
     return shifted_row(idx, keys, cols, -1, prefix)
 
 
-def preceding_rows(idx: DataFrame, keys: list[str], payload: Column, frame: int, out: str) -> DataFrame:
+def preceding_rows(idx: DataFrame, keys: list[str], payload: Column, frame: int, out: str, block: int = BLOCK) -> DataFrame:
     """``collect_list(payload) OVER (… ROWS BETWEEN frame PRECEDING AND 1 PRECEDING)`` per group.
 
-    Every row is sent to the ``frame`` positions after it (``_g + j``), grouped by target (at most
-    ``frame`` rows per group), ordered oldest first, and joined back on ``(keys, _g)``.
+    Positions are cut into blocks, and the last ``frame`` rows of a block are copied into the next one, where they are
+    seen but not kept.  The window then runs over (group, block): rows move once, a hot group is many tasks, and only
+    ``frame`` of ``block`` rows are copied.
     """
-    src = idx.select(*keys, G, payload.alias("_p"), F.explode(F.sequence(F.lit(1), F.lit(frame))).alias("_j"))
-    sent = src.select(*keys, (F.col(G) + F.col("_j")).alias(G), F.struct(F.col(G).alias("o"), "_p").alias("_e"))
-    got = (sent.groupBy(*keys, G).agg(F.sort_array(F.collect_list("_e")).alias("_es"))
-               .select(*keys, G, F.transform("_es", lambda e: e["_p"]).alias(out)))
-    return (idx.join(got, keys + [G], "left")
-               .withColumn(out, F.coalesce(F.col(out), F.array().cast(got.schema[out].dataType))))
+    at, own = F.floor(F.col(G) / block), F.lit(False).alias("halo")
+    here = F.struct(F.floor(F.col(G) / block).alias("block"), own)
+    after = F.struct((at + 1).alias("block"), F.lit(True).alias("halo"))
+    cells = F.when(F.pmod(F.col(G), F.lit(block)) >= block - frame, F.array(here, after)).otherwise(F.array(here))
+    rows = idx.withColumn("_p", payload).withColumn("_cell", F.explode(cells)).withColumns({"_block": F.col("_cell.block"), "_halo": F.col("_cell.halo")})
+    w = Window.partitionBy(*keys, "_block").orderBy(G).rowsBetween(-frame, -1)
+    seen = F.transform(F.collect_list(F.struct("_p")).over(w), lambda e: e["_p"])
+    return rows.withColumn(out, seen).where("NOT _halo").drop("_p", "_cell", "_block", "_halo")

@@ -388,3 +388,17 @@ def test_knn_first_cells_recall(spark):
     for r in knn_probes(df, df.where("vec_id % 50 = 0"), 4, first=8, exact=False).collect():
         hit += r.vec_id in want[r.probe_id]
     assert hit >= 0.9 * 4 * len(probes)
+
+
+def test_preceding_rows_across_blocks(spark):
+    """Frames that reach over block borders and group borders, nulls in the payload, a frame as long as a block."""
+    from docquery.operators.sequence import ordered_index, preceding_rows
+    rnd = random.Random(4)
+    rows = [(g, k, None if rnd.random() < 0.2 else f"{g}-{k}") for g, n in (("hot", 53), ("a", 1), ("b", 6), ("c", 17)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k int, t string").repartition(3)
+    for frame, block in ((5, 8), (3, 3), (5, 1000), (1, 2)):
+        out = preceding_rows(ordered_index(df, ["g"], ["k"], num_partitions=4), ["g"], F.col("t"), frame, "prev", block).collect()
+        assert len(out) == len(rows)
+        by = {(g, k): t for g, k, t in rows}
+        for r in out:
+            assert r.prev == [by[(r.g, j)] for j in range(max(0, r.k - frame), r.k)], (frame, block, r)
