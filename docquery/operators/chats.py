@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from docquery import config as C
 from docquery.functions.text import lstrip_all, summary_text, tail_trim, unwrap_dollars, wrap_dollars
-from docquery.functions.vectors import with_embedding
 from docquery.operators.sequence import group_position, next_row, ordered_index, preceding_rows
 
 EPOCH = "2024-01-01 00:00:00"   # fixture clock: message time = EPOCH + turn minutes
@@ -54,16 +53,6 @@ def messages_from_conversations(conversations: DataFrame, pairs: DataFrame | Non
                      wrap_dollars(lstrip_all(F.col("response"))).alias("response")))
 
 
-def store_messages(messages: DataFrame, path: str) -> None:
-    """S11 sink: append message rows to the store at ``path``, partitioned by chat.
-
-    The timestamp is cut to milliseconds (P19) and the vector of the prompt is stored with the row, so the
-    nearest-prompt search need not embed stored prompts again."""
-    rows = with_embedding(messages.withColumn("datetime", F.date_trunc("MILLISECOND", "datetime").cast("timestamp_ntz")),
-                          "prompt", "prompt_vector", "prompt_norm2")
-    rows.write.mode("append").partitionBy("chat_id").parquet(path)
-
-
 def current_questions(conversations: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """The unanswered last user turn of each chat: ``chat_id, id, datetime, summary, message``."""
     p = _chat_cols(pair_turns(conversations) if pairs is None else pairs)

@@ -63,7 +63,7 @@ def _escaped(spark: SparkSession, value: str) -> str:
     return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = _hadoop_path(spark, path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
@@ -78,7 +78,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
 
 
-def _read_version(spark: SparkSession, path: str, number: int) -> dict:
+def read_version(spark: SparkSession, path: str, number: int) -> dict:
     p = _hadoop_path(spark, f"{path}/versions/{number:012d}.json")
     stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
     try:
@@ -87,7 +87,7 @@ def _read_version(spark: SparkSession, path: str, number: int) -> dict:
         stream.close()
 
 
-def _commit(spark: SparkSession, path: str, number: int, content: dict) -> None:
+def commit(spark: SparkSession, path: str, number: int, content: dict) -> None:
     """Write the version file beside its place, then rename it there; a taken number is a conflict."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -165,7 +165,7 @@ def open_store(spark: SparkSession, path: str, version: int | None = None) -> St
         raise ValueError(f"version {version} is not committed in {path}")
     if not there:
         return Store(spark, path, 0, {}, "chunk_id string")
-    content = _read_version(spark, path, there[-1] if version is None else version)
+    content = read_version(spark, path, there[-1] if version is None else version)
     return Store(spark, path, content["version"], content["contexts"], content["schema"])
 
 
@@ -177,7 +177,7 @@ def _publish(spark: SparkSession, path: str, change: dict, schema: str | None) -
         contexts = {**old.contexts, **change}
         content = {"version": old.version + 1, "schema": schema or old.schema, "contexts": {c: v for c, v in contexts.items() if v}}
         try:
-            _commit(spark, path, old.version + 1, content)
+            commit(spark, path, old.version + 1, content)
             return open_store(spark, path, old.version + 1)
         except CommitConflict:
             continue  # another load took the number: apply the change to what it left
@@ -209,7 +209,7 @@ def load_contexts(spark: SparkSession, chunks: DataFrame, path: str, context_ids
     vocab = spark.read.schema(f"{DERIVED['vocabulary']}, {string}").parquet(folder["vocabulary"])
     gram_counts(vocab, ["context_id"]).select("gram", "n", "context_id").write.partitionBy("context_id").parquet(folder["grams"])
     counts = {r["context_id"]: r["n"] for r in stored.groupBy("context_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per loaded context
-    entry = lambda c: {"load": load, "chunks": counts.get(c, 0), "tables": [t for t in TABLES if _exists(spark, f"{folder[t]}/context_id={_escaped(spark, c)}")]}
+    entry = lambda c: {"load": load, "chunks": counts.get(c, 0), "tables": [t for t in TABLES if exists(spark, f"{folder[t]}/context_id={_escaped(spark, c)}")]}
     return _publish(spark, path, {c: entry(c) for c in (counts if context_ids is None else context_ids)}, _schema_text(chunks))
 
 
@@ -234,7 +234,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> int:
     path = path.rstrip("/")
     there = versions(spark, path)
     kept = there[-keep:] if keep else []
-    used = {v["load"] for n in kept for v in _read_version(spark, path, n)["contexts"].values()}
+    used = {v["load"] for n in kept for v in read_version(spark, path, n)["contexts"].values()}
     conf, removed = spark.sparkContext._jsc.hadoopConfiguration(), 0
     for t in TABLES:
         folder = _hadoop_path(spark, f"{path}/{t}")

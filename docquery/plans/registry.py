@@ -71,6 +71,7 @@ from docquery.functions.text import (citation, context_slug, final_answer, sourc
 from docquery.operators import chats as CH  # noqa: E402
 from docquery.operators import contexts as CX  # noqa: E402
 from docquery.operators import knn as KN  # noqa: E402
+from docquery.operators import message_store as MS  # noqa: E402
 from docquery.operators.chunk import flatten_sources, with_chunk_vectors  # noqa: E402
 from docquery.operators.match import match_terms  # noqa: E402
 from docquery.operators.sequence import ordered_index, previous_row  # noqa: E402
@@ -467,6 +468,18 @@ def _questions(spark, sf):
     return cq.drop("first"), m
 
 
+def _message_path(spark):
+    import uuid
+    from docquery.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/messages-{uuid.uuid4().hex}"
+
+
+def _message_store(spark, sf):
+    """Every message appended to a new store; (path, rows of the stored version)."""
+    path = _message_path(spark)
+    return path, MS.append(spark, _msgs(spark, sf), path, "conversations", 0).rows().drop("prompt_vector", "prompt_norm2")
+
+
 def _fmt(df):
     return df.withColumn("datetime", F.date_format("datetime", CH.TS_FORMAT))
 
@@ -479,8 +492,12 @@ def q_pair_turns(spark, sf):
 
 @register("append_messages")
 def q_append_messages(spark, sf):
-    """Every answered pair as a stored message row ($-sanitised and wrapped)."""
-    return _fmt(_msgs(spark, sf))
+    """Every answered pair as a message row ($-sanitised and wrapped), appended to a store twice as the same
+    batch; the store as it reads then."""
+    m = _msgs(spark, sf)
+    path = _message_path(spark)
+    MS.append(spark, m, path, "conversations", 0)
+    return _fmt(MS.append(spark, m, path, "conversations", 0).rows().drop("prompt_vector", "prompt_norm2"))
 
 
 @register("chat_history")
@@ -515,19 +532,19 @@ def _sizes(m):
 
 @register("rename_chat")
 def q_rename_chat(spark, sf):
-    """Chats with more than two messages move to ``renamed_<id>`` with the summary ``Renamed: <summary>``."""
-    m = _msgs(spark, sf)
+    """Chats with more than two messages move to ``renamed_<id>`` with the summary ``Renamed: <summary>``, in the store."""
+    path, m = _message_store(spark, sf)
     big = _sizes(m).where("n > 2").join(CH.chat_list(m), "chat_id")
     r = big.select("chat_id", F.concat(F.lit("renamed_"), F.col("chat_id")).alias("new_chat_id"),
                    F.concat(F.lit("Renamed: "), F.col("summary")).alias("new_summary"))
-    return _fmt(CH.rename_chat(m, r))
+    return _fmt(MS.rename(spark, path, r).rows().drop("prompt_vector", "prompt_norm2"))
 
 
 @register("delete_chat")
 def q_delete_chat(spark, sf):
-    """Delete the chats with at most two messages."""
-    m = _msgs(spark, sf)
-    return _fmt(CH.delete_chat(m, _sizes(m).where("n <= 2")))
+    """Delete the chats with at most two messages from the store."""
+    path, m = _message_store(spark, sf)
+    return _fmt(MS.delete(spark, path, _sizes(m).where("n <= 2")).rows().drop("prompt_vector", "prompt_norm2"))
 
 
 @register("next_chat_after_delete")
@@ -539,9 +556,9 @@ def q_next_chat_after_delete(spark, sf):
 
 @register("delete_all_chats")
 def q_delete_all_chats(spark, sf):
-    """U4: messages of every chat before and after deleting all chats."""
-    m = _msgs(spark, sf)
-    left = CH.delete_all_chats(m).groupBy("chat_id").agg(F.count(F.lit(1)).alias("remaining"))
+    """U4: messages of every chat before and after deleting all chats of the store."""
+    path, m = _message_store(spark, sf)
+    left = MS.delete_all(spark, path).rows().groupBy("chat_id").agg(F.count(F.lit(1)).alias("remaining"))
     return _sizes(m).join(left, "chat_id", "left").select("chat_id", F.col("n").alias("deleted"),
                                                           F.coalesce("remaining", F.lit(0)).cast("bigint").alias("remaining"))
 

@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from docquery.operators import message_store as MS
 from docquery.operators import store as ST
 from docquery.streaming.ingest import start_ingest
 
@@ -76,7 +77,7 @@ def test_a_load_killed_before_its_commit_changes_nothing(spark, monkeypatch):
     def killed(*_):
         raise KeyboardInterrupt
 
-    monkeypatch.setattr(ST, "_commit", killed)
+    monkeypatch.setattr(ST, "commit", killed)
     for call in (lambda: ST.load_contexts(spark, _chunks(spark, ("a", "9", "z")), path, ["a"]), lambda: ST.drop_contexts(spark, path, ["a"])):
         try:
             call()
@@ -92,7 +93,7 @@ def test_a_load_killed_before_its_commit_changes_nothing(spark, monkeypatch):
 def test_racing_loads_both_count(spark, monkeypatch):
     path = _path()
     ST.load_contexts(spark, _chunks(spark, ("a", "1", "x")), path)
-    commit, raced = ST._commit, []
+    commit, raced = ST.commit, []
 
     def other_first(*args):
         if not raced:
@@ -100,7 +101,7 @@ def test_racing_loads_both_count(spark, monkeypatch):
             ST.load_contexts(spark, _chunks(spark, ("b", "2", "y")), path, ["b"])
         return commit(*args)
 
-    monkeypatch.setattr(ST, "_commit", other_first)
+    monkeypatch.setattr(ST, "commit", other_first)
     last = ST.load_contexts(spark, _chunks(spark, ("c", "3", "z")), path, ["c"])
     assert _ids(last) == [("a", "1"), ("b", "2"), ("c", "3")] and ST.versions(spark, path) == [1, 2, 3]
 
@@ -116,14 +117,87 @@ def test_unload_and_vacuum(spark):
     assert ST.open_store(spark, _path()).contexts == {} and ST.drop_contexts(spark, _path(), ["x"]).contexts == {}
 
 
+def _message(spark, *rows):
+    return spark.createDataFrame(list(rows), "chat_id string, id string, summary string, prompt string, response string").withColumn(
+        "datetime", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00.123456'"))
+
+
+def _held(store):
+    return sorted((r.chat_id, r.id, r.summary, r.prompt) for r in store.rows().collect())
+
+
 def test_message_store(spark):
-    from docquery.operators.chats import store_messages
-    path = os.path.join(tempfile.mkdtemp(prefix="dq-chat-"), "store")
-    m = spark.sql("SELECT 'c1' AS chat_id, '1' AS id, TIMESTAMP_NTZ'2024-01-01 00:00:00.123456' AS datetime, 's' AS summary, '$$foo bar$$' AS prompt, '$$x$$' AS response")
-    store_messages(m, path)
-    store_messages(m.selectExpr("'c2' AS chat_id", "id", "datetime", "summary", "prompt", "response"), path)
-    rows = spark.read.parquet(path).orderBy("chat_id").collect()
-    assert [(r.chat_id, r.datetime.microsecond, len(r.prompt_vector), r.prompt_norm2) for r in rows] == [("c1", 123000, 2, 2), ("c2", 123000, 2, 2)]
+    path = _path()
+    MS.append(spark, _message(spark, ("c1", "1", "s", "$$foo bar$$", "$$x$$")), path, "app", 0)
+    second = MS.append(spark, _message(spark, ("c2", "1", "s", "$$foo$$", "$$x$$"), ("c1", "2", "s", "$$a b c$$", "$$y$$")), path, "app", 1)
+    rows = second.rows().orderBy("chat_id", "id").collect()
+    assert [(r.chat_id, r.id, r.datetime.microsecond, len(r.prompt_vector), r.prompt_norm2) for r in rows] == [
+        ("c1", "1", 123000, 2, 2), ("c1", "2", 123000, 3, 3), ("c2", "1", 123000, 1, 1)]
+    chats = spark.createDataFrame([("c2",), ("none",)], "chat_id string")
+    assert [r.chat_id for r in second.of_chats(chats).collect()] == ["c2"]
+    assert set(second.buckets) == MS._buckets_of(second.rows())
+
+
+def test_a_repeated_append_changes_nothing(spark):
+    path = _path()
+    m = _message(spark, ("c1", "1", "s", "p", "r"))
+    first = MS.append(spark, m, path, "app", 7)
+    assert MS.append(spark, m, path, "app", 7).version == first.version == MS.append(spark, m, path, "app", 3).version
+    other = MS.append(spark, m, path, "import", 0)  # another source has batches of its own
+    assert len(_held(other)) == 2 and len(_held(first)) == 1  # a reader stays with its version
+
+
+def test_rename_and_delete_rewrite_their_buckets(spark):
+    path = _path()
+    base = MS.append(spark, _message(spark, *[(f"c{k}", str(j), f"s{k}", "$$p$$", "r") for k in range(40) for j in range(3)]), path, "app", 0)
+    moves = spark.createDataFrame([("c1", "c1-new", "new"), ("c2", "c3", "joined"), ("absent", "x", "y")], "chat_id string, new_chat_id string, new_summary string")
+    done = MS.rename(spark, path, moves)
+    want = {(("c1-new", "new") if c == "c1" else ("c3", "joined") if c == "c2" else (c, s), i) for c, i, s, _ in _held(base)}
+    assert {((c, s), i) for c, i, s, _ in _held(done)} == want and len(_held(done)) == 120
+    touched = MS._buckets_of(moves) | MS._buckets_of(moves, "new_chat_id")
+    assert all(done.buckets[b] == base.buckets[b] for b in base.buckets if b not in touched)
+    gone = MS.delete(spark, path, spark.createDataFrame([("c3",), ("c4",)], "chat_id string"))
+    assert {c for c, *_ in _held(gone)} == {c for (c, _), _ in want} - {"c3", "c4"}
+    assert MS.delete(spark, path, spark.createDataFrame([("absent-too",)], "chat_id string")).version >= gone.version
+    assert _held(MS.delete_all(spark, path)) == [] and len(_held(base)) == 120
+    assert MS.append(spark, _message(spark, ("c1", "1", "s", "p", "r")), path, "app", 0).buckets == {}
+
+
+def test_a_message_write_killed_before_its_commit_changes_nothing(spark, monkeypatch):
+    path = _path()
+    m = _message(spark, ("c1", "1", "s", "p", "r"))
+    MS.append(spark, m, path, "app", 0)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(ST, "commit", killed)
+    one = spark.createDataFrame([("c1", "c9", "t")], "chat_id string, new_chat_id string, new_summary string")
+    for call in (lambda: MS.append(spark, m, path, "app", 1), lambda: MS.rename(spark, path, one), lambda: MS.delete(spark, path, one)):
+        try:
+            call()
+            raise AssertionError("not reached")
+        except KeyboardInterrupt:
+            pass
+        assert _held(MS.open_messages(spark, path)) == [("c1", "1", "s", "p")]
+    monkeypatch.undo()
+    assert len(_held(MS.append(spark, m, path, "app", 1))) == 2  # the batch was not committed, so it counts now
+
+
+def test_racing_message_writes_both_count(spark, monkeypatch):
+    path = _path()
+    MS.append(spark, _message(spark, ("c1", "1", "s", "p", "r")), path, "app", 0)
+    commit, raced = ST.commit, []
+
+    def other_first(*args):
+        if not raced:
+            raced.append(1)
+            MS.append(spark, _message(spark, ("c1", "2", "s", "p", "r")), path, "app", 1)
+        return commit(*args)
+
+    monkeypatch.setattr(ST, "commit", other_first)
+    one = spark.createDataFrame([("c1", "c9", "t")], "chat_id string, new_chat_id string, new_summary string")
+    assert [r[:2] for r in _held(MS.rename(spark, path, one))] == [("c9", "1"), ("c9", "2")]
 
 
 def test_answers_and_container_metadata(spark):
