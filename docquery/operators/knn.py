@@ -24,10 +24,14 @@ REPEAT_LEAD = "This question was answered earlier in this chat; the earlier answ
 def semantic_repeat(questions: DataFrame, messages: DataFrame, threshold: float = C.REPEAT_COSINE) -> DataFrame:
     """For each chat's current question, the stored prompt with the highest cosine (ties: smallest
     id) and whether it exceeds ``threshold`` (strict).  Vectors are N9; the stored prompt vector is of
-    the ``$$``-wrapped text, which has the same tokens as the plain text."""
+    the ``$$``-wrapped text, which has the same tokens as the plain text.  Where ``messages`` come from the message
+    store, the vector stored with each prompt is used and no stored text is read."""
     q = with_embedding(questions.select("chat_id", F.col("id").alias("question_id"), "message"),
                        "message", "qv", "qn")
-    m = with_embedding(messages.select("chat_id", "id", "prompt"), "prompt", "mv", "mn")
+    if "prompt_vector" in messages.columns:
+        m = messages.select("chat_id", "id", F.col("prompt_vector").alias("mv"), F.col("prompt_norm2").alias("mn"))
+    else:
+        m = with_embedding(messages.select("chat_id", "id", "prompt"), "prompt", "mv", "mn")
     # the messages of a chat are dealt over a fixed number of salts, with its one question at each, so a
     # chat holding a third of all messages is many tasks; the best of each salt, then the best of those
     m = m.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))

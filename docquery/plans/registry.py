@@ -185,6 +185,20 @@ def q_embed_documents(spark, sf):
                                  lambda a, e: a + e["b"].cast("bigint") * e["c"]).alias("checksum"))
 
 
+@register("embed_store")
+def q_embed_store(spark, sf):
+    """Vectors of all chunk texts from a store by digest, loaded twice (the second load embeds nothing)."""
+    import uuid
+    from docquery.operators.vector_store import embed_new
+    from docquery.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    ch = corpus_chunks(spark, sf)
+    embed_new(spark, ch, path)
+    v = embed_new(spark, ch, path).attach(ch)
+    return v.select("chunk_id", F.col("norm2").alias("vector_norm2"), F.size("vector").alias("n_buckets"),
+                    F.aggregate("vector", F.lit(0).cast("bigint"), lambda a, e: a + e["b"].cast("bigint") * e["c"]).alias("checksum"))
+
+
 @register("vector_cosine")
 def q_vector_cosine(spark, sf):
     """Cosine of every embedding with its label centroid."""
@@ -565,8 +579,9 @@ def q_delete_all_chats(spark, sf):
 
 @register("semantic_repeat")
 def q_semantic_repeat(spark, sf):
-    """Nearest stored prompt of every chat's current question, and whether cosine > 0.9."""
-    return KN.semantic_repeat(*_questions(spark, sf))
+    """Nearest stored prompt of every chat's current question, and whether cosine > 0.9; prompts as vectors of the store."""
+    cq, m = _questions(spark, sf)
+    return KN.semantic_repeat(cq, MS.append(spark, m, _message_path(spark), "conversations", 0).rows())
 
 
 @register("repeat_answers")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquery.operators import message_store as MS
 from docquery.operators import store as ST
+from docquery.operators import vector_store as VS
 from docquery.streaming.ingest import start_ingest
 
 
@@ -213,3 +214,44 @@ def test_answers_and_container_metadata(spark):
     files = spark.createDataFrame([(1, "/c/x.epub", "Book", "Ann"), (2, "/c/y.txt", "no", "no"), (3, "/c/z.epub", "", None)],
                                   "file_pos int, path string, meta_title string, meta_author string")
     assert [(r.title, r.author) for r in title_author(files).orderBy("file_pos").collect()] == [("Book", "Ann"), ("y", "Unknown"), ("z", "Unknown")]
+
+
+def test_vectors_are_made_once_per_text(spark):
+    from docquery.functions.vectors import with_embedding
+    path = _path()
+    df = spark.createDataFrame([("1", "foo bar"), ("2", "foo\nbar"), ("3", ""), ("4", None), ("5", "foo bar")], "chunk_id string, chunk_text string")
+    first = VS.embed_new(spark, df, path)
+    assert first.rows().count() == 2 and first.version == 1  # equal texts, also after flattening, are one
+    assert VS.embed_new(spark, df, path).version == 1         # nothing new: nothing embedded, nothing written
+    more = VS.embed_new(spark, df.union(spark.createDataFrame([("6", "new text here")], df.schema)), path)
+    assert more.version == 2 and more.rows().count() == 3
+    got = {r.chunk_id: (r.vector, r.norm2) for r in more.attach(df).collect()}
+    want = {r.chunk_id: (r.v, r.n) for r in with_embedding(df.where("chunk_text IS NOT NULL"), "chunk_text", "v", "n").collect()}
+    assert got.pop("4") == (None, None) and got == want
+
+
+def test_vector_model_slot(spark):
+    path, told = _path(), os.path.join(tempfile.mkdtemp(prefix="dq-model-"), "calls")
+
+    def model(batches):
+        for texts in batches:
+            with open(told, "a") as f:
+                f.write("".join(t + "\n" for t in texts))
+            yield [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.createDataFrame([("1", "abc"), ("2", "de"), ("3", "abc")], "chunk_id string, chunk_text string")
+    VS.embed_new(spark, df, path, model=model, width=2)
+    again = VS.embed_new(spark, df, path, model=model, width=2)
+    assert sorted(open(told).read().split()) == ["abc", "de"]  # the second load embeds nothing
+    assert {r.chunk_id: (list(r.vector), r.norm2) for r in again.attach(df).collect()} == {"1": ([3.0, 1.0], 10.0), "2": ([2.0, 1.0], 5.0), "3": ([3.0, 1.0], 10.0)}
+    for other in (lambda: VS.embed_new(spark, df, path, model=model, width=3), lambda: VS.embed_new(spark, df, path)):
+        try:
+            other()
+            raise AssertionError("not reached")
+        except ValueError:
+            pass
+    try:  # the model gives another width than the load asks for
+        VS.embed_new(spark, df, _path(), model=model, width=3)
+        raise AssertionError("not reached")
+    except Exception as e:
+        assert "3 numbers" in str(e)
