@@ -198,7 +198,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     # one row per file: the running sum over files gives each file its global start
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
-    files = files.repartition(F.col("path"))
+    # as many partitions as files: without a number, adaptive execution puts the few bytes of the manifest into one task
+    files = files.repartition(max(1, manifest.count()), "path")
 
     def read(batches):
         for uri, base in common.arrow_rows(batches, "path", "base"):

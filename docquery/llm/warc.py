@@ -156,7 +156,8 @@ def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
 
 def read_archives(manifest: DataFrame) -> DataFrame:
     """One row per record of the archives, revisits resolved to the id and length of their response."""
-    files = manifest.select("path").repartition(F.col("path"))
+    # as many partitions as files: without a number, adaptive execution puts the few bytes of the manifest into one task
+    files = manifest.select("path").repartition(max(1, manifest.count()), "path")
 
     def read(batches):
         for (uri,) in common.arrow_rows(batches, "path"):

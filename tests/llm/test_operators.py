@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquery.llm import common, decontaminate, jaccard_join, line_dedup, quality, rules, secrets, warc
+from docquery.llm import common, decontaminate, jaccard_join, line_dedup, quality, rules, secrets, token_binary, warc
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -349,3 +349,19 @@ def test_warc_headers():
     data = warc.record_bytes(3, "http://a/b c", b"x", 9, True)
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: revisit") and b"WARC-Refers-To: " + warc.record_id(9, warc.digest_of(b"x")).encode() in data
     assert b"http://a/b%20c" in data and data.endswith(b"\r\n\r\n")
+
+
+def test_files_are_read_back_by_as_many_tasks(spark, monkeypatch):
+    """A number of partitions that adaptive execution does not fold into one."""
+    paths = common.staged(spark.range(40).select(F.concat(F.lit("file:///x/"), F.col("id")).alias("path"), F.col("id").alias("part"),
+                                                 F.col("id").alias("seq"), F.lit(1).alias("n_tokens")), "paths")
+    monkeypatch.setattr(common, "staged", lambda df, name: df)  # plans only: there are no such files
+    for df in (warc.read_archives(paths), token_binary.read_tokens(paths)):
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+        assert ", 40), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_sample_is_scanned_by_many_tasks(spark):
+    docs = spark.range(0, 800, 1, 8).select(F.col("id").alias("doc_id"), F.lit("some words here " * 30).alias("text"))
+    ordered = rules.order_rules(docs, rules.default_rules())
+    assert {r.name for r, _, _ in ordered} == {r.name for r in rules.default_rules()}
