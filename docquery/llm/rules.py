@@ -109,7 +109,9 @@ def order_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text
     """(rule, cost in seconds, share rejected), best rejection per cost first."""
     n = docs.select(id_col).count()
     picked = docs.select(id_col, text_col).sample(fraction=min(1.0, sample_rows / max(n, 1)), seed=SAMPLE_SEED)
-    sample = common.staged(base_counts(picked, id_col, text_col).filter("not base_failed").coalesce(1), "rules-sample")
+    # the scan has all its tasks; only the sample is one file then, so that costs are those of one task
+    sample = common.staged(base_counts(picked, id_col, text_col).filter("not base_failed"), "rules-sample")
+    sample = common.staged(sample.coalesce(1), "rules-sample-file")
 
     def run(rule: Rule | None) -> tuple[float, float]:
         hit = F.coalesce(rule.rejects, F.lit(False)) if rule else F.length("_t") < 0
