@@ -12,7 +12,8 @@ shared folder and read again.  The first four return the columns of ``documents`
 5. ``bpe_codec`` encodes the texts: one row per document with its ids, their number and digest, the digest
    of the decoded bytes, and whether decoding gives the text back.
 
-Null texts pass as empty ones; empty tables give empty results; columns beyond those named are carried along.
+Null texts pass as empty ones; empty tables give empty results.  The first four stages carry further columns along;
+the last returns its own columns only.
 """
 
 from __future__ import annotations
