@@ -255,3 +255,30 @@ def test_vector_model_slot(spark):
         raise AssertionError("not reached")
     except Exception as e:
         assert "3 numbers" in str(e)
+
+
+def test_chunks_of_huge_files_come_from_many_tasks(spark):
+    import random
+
+    from docquery.operators.chunk import explode_chunks
+    from docquery.sources.huge import file_chunks, folder_chunks, read_lines
+    rnd, folder = random.Random(6), tempfile.mkdtemp(prefix="dq-files-")
+    words = ["a", "né", "你好", "🙂", "long" * 30, "", "x\r", "\t", " "]
+    big = "".join(rnd.choice(words) + rnd.choice([" ", "\n", "\n\n"]) for _ in range(9000))
+    files = {"Big Author Ann+Co.txt": big, "open end.txt": big[:5000].rstrip("\n") + "end", "newline.txt": "\n", "empty.txt": "", "one line.md": "y" * 2500,
+             "exact.txt": "z" * 1999 + "\n", "skip.bin": "no"}
+    for name, text in files.items():
+        with open(os.path.join(folder, name), "w", newline="", encoding="utf-8") as f:
+            f.write(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        tasks = read_lines(spark, folder).where("path LIKE '%Big%'").select(F.spark_partition_id().alias("p")).distinct().count()
+        got = sorted((os.path.basename(r.path), r.chunk_number, r.chunk_text) for r in file_chunks(spark, folder).collect())
+        rows = folder_chunks(spark, folder, "books").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = spark.createDataFrame([(k, v) for k, v in files.items() if k != "skip.bin"], "path string, text string")
+    want = sorted((r.path, r.chunk_number, r.chunk_text) for r in explode_chunks(whole).collect())
+    assert tasks > 5 and got == want
+    assert len({r.chunk_id for r in rows}) == len(want) and {(r.title, r.author) for r in rows} >= {("Big", "Ann+Co"), ("one line", "Unknown")}
