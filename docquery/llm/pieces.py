@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MEMO_PARTS = 800_000  # entries kept per worker (about 200 MB); the memo is emptied when full
+MEMO_PARTS = 800_000  # entries kept per worker (about 200 MB), in two halves: a full half becomes the old one
 TAIL = ".,;:!?&%$#*|"  # marks that may follow a word
 
 
@@ -18,8 +18,9 @@ class Pieces:
     """Memo of ``encode(part) -> value`` with ``values(text)`` giving the values of a text in order."""
 
     def __init__(self, encode: Callable[[str], object], limit: int = MEMO_PARTS):
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit = encode, limit // 2
         self.memo, self.tails = {}, {}  # values of parts after a space or with their newline, and of marks after a word
+        self.old: dict = {}             # the parts of the half before: one found there is kept again, not encoded again
 
     def values(self, text: str) -> list:
         if not text:
@@ -56,8 +57,12 @@ class Pieces:
         return out
 
     def _learn(self, memo: dict, key: str, text: str) -> object:
+        v = self.old.get(key) if memo is self.memo else None
+        if v is None:
+            v = self.encode(text)
         if len(self.memo) + len(self.tails) >= self.limit:
+            self.old = dict(self.memo)
             self.memo.clear()
             self.tails.clear()
-        v = memo[key] = self.encode(text)
+        memo[key] = v
         return v

@@ -159,3 +159,17 @@ def test_worker_keeps_the_caches_of_one_operator():
     assert a.cache_info().currsize == 0 and b() is kept
     common.hold("none")
     assert b.cache_info().currsize == 0
+
+
+def test_parts_of_the_half_before_are_not_encoded_again():
+    told = []
+
+    def encode(s):
+        told.append(s)
+        return s
+
+    pieces = Pieces(encode, limit=8)  # halves of four
+    pieces.values("a b c d e")        # the first part of a text is not kept
+    told.clear()
+    assert "".join(pieces.values("x b c d e f")) == "x b c d e f" and told == ["x", " f"]
+    assert len(pieces.memo) <= 4 and len(pieces.old) <= 4
