@@ -11,10 +11,10 @@ from docquery.functions.text import context_slug, omit_list
 def contexts_from_names(names: DataFrame, name_col: str = "display_name", omit_col: str | None = None) -> DataFrame:
     """Registry rows ``context_id, display_name, omit_keywords`` from display names.
 
-    Names whose slug is empty are rejected (the reference raises on them)."""
+    Names whose slug is empty are rejected (the reference raises on them).  A ``seq`` column, where there is one, passes through."""
     omit = omit_list(F.col(omit_col)) if omit_col else F.lit(None).cast("array<string>")
     return (names.select(context_slug(F.col(name_col)).alias("context_id"), F.col(name_col).alias("display_name"),
-                         omit.alias("omit_keywords"))
+                         omit.alias("omit_keywords"), *(["seq"] if "seq" in names.columns else []))
                  .where("context_id IS NOT NULL"))
 
 

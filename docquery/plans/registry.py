@@ -418,8 +418,7 @@ def _registry(spark, sf):
     base = CX.contexts_from_names(d.select(F.col("lang").alias("display_name")).distinct())
     upd = (d.select(F.concat(F.lit("Source "), F.col("source")).alias("display_name"),
                     F.concat(F.col("lang"), F.lit(", "), F.col("source")).alias("omit"), F.col("doc_id").alias("seq")))
-    u = CX.contexts_from_names(upd, "display_name", "omit").join(upd.select("display_name", "seq"), "display_name")
-    return CX.upsert_contexts(base, u)
+    return CX.upsert_contexts(base, CX.contexts_from_names(upd, "display_name", "omit"))
 
 
 @register("context_registry")

@@ -402,3 +402,16 @@ def test_preceding_rows_across_blocks(spark):
         by = {(g, k): t for g, k, t in rows}
         for r in out:
             assert r.prev == [by[(r.g, j)] for j in range(max(0, r.k - frame), r.k)], (frame, block, r)
+
+
+def test_registry_pairs_no_documents_of_a_source(spark, tmp_path):
+    """The last document of a source names its omit list; documents of one source never meet as pairs."""
+    from docquery.plans.registry import q_context_has_sources, q_context_registry
+    rows = [(k, f"text {k}", "en" if k % 3 else "fr", f"s{k % 2}", 6) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    registry = q_context_registry(spark, str(tmp_path))
+    assert "Join Inner" not in registry._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.display_name: r.omit_keywords for r in registry.collect()}
+    assert got == {"en": None, "fr": None, "Source s0": ["en", "s0"], "Source s1": ["fr", "s1"]}
+    flags = {r.display_name: r.has_sources for r in q_context_has_sources(spark, str(tmp_path)).collect()}
+    assert flags == {"en": True, "fr": True, "Source s0": False, "Source s1": False}
