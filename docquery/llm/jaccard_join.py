@@ -8,13 +8,13 @@ o = ceil(t*n) of its n shingles in the other set.  That gives filters under any
    one node holds matches nothing, so a node with more than n - o such shingles has no link.  One
    aggregate by shingle (least and greatest node), one by node; most nodes end here.
 2. The nodes left emit all shingles.  Shingles of one node are dropped as matchless, so a node keeps m of n
-   shingles and any linked pair shares one of the first m - o + 1 under *every* order: rarest first
-   (frequency order), and two orders of permuted hashes.  Candidates come from the first; they must also
-   share prefix shingles under the other two, and fit in size, before the sets are compared exactly.
-3. Candidates are drawn in rounds.  In a round every shingle's list names a few pivots, and only nodes not yet
-   connected with them are compared with them: linear in the lists, and large groups of near copies connect
-   in a few rounds.  When few open pairs are left, or a round connects nothing, all pairs of a list that are still in
-   different components are compared.  No pair is left out, none within a component is spent.
+   shingles and any linked pair shares one of the first m - o + 1, rarest first.  Each of these has a list of its nodes;
+   candidates are the pairs of a list that fit in size, and a candidate is compared exactly.
+3. Candidates are drawn in rounds.  In a round every shingle's list names a few pivots, and every node is compared with
+   that one of the pivots in other components with which it shares most lists: a pair a node, and large groups of near
+   copies connect in a few rounds.  When few open pairs are left, or a round connects little, all pairs of a list that are
+   still in different components are compared inside tasks (:mod:`blocks`) by histograms of the sets, a bound that drops
+   no link; what is left is compared exactly.  No pair is left out, none within a component is spent.
 
 Components by iterated least labels with pointer jumping; every round's tables are written to the shared
 folder.  Memory per task is bounded by texts and by set sizes; hot shingles and hot nodes only meet partial
@@ -37,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import blocks, common
 
 WORDS, PERCENT = 4, 85
 QUARTER = 62          # shingles whose hash is below 2**62 (as unsigned 64 bits) form the prefix in hash order
-OPEN_PER_ROW = 4      # open pairs per row of all lists from which on all of them are compared at once
-PIVOTS = 8            # pivots of a list in a round
+OPEN_PER_ROW = 1      # open pairs per row of all lists from which on all of them are compared at once
+LITTLE = 20           # a round in which at most one of so many pairs is a link is the last of its kind
+PIVOTS = 3            # pivots of a list in a round
 MEMO_WORDS = 300_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -136,9 +137,9 @@ def open_nodes(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataF
 
 
 def reduced_sets(texts: DataFrame, left: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, n, tokens, rare, second, third): matchable shingles of the open nodes and their prefixes.
+    """(node, n, m, tokens, rare, hist): matchable shingles of the open nodes and their rarest ones, the first m - o + 1.
 
-    ``tokens`` are sorted by hash; the prefixes are the first m - o + 1 under the three orders.
+    ``tokens`` are sorted by hash; ``m`` is their number.
     """
     # the list grows with the corpus, so it is never broadcast, whatever its size here
     kept = texts.join(left.select(*[F.col(c).alias("r" + c) for c in ("doc_id", "_th", "_tl")]).hint("merge"),
@@ -149,26 +150,68 @@ def reduced_sets(texts: DataFrame, left: DataFrame, n: int, percent: int) -> Dat
     sets = rows.join(shared, "h").groupBy("node").agg(F.max("n").alias("n"), F.collect_list(F.struct("df", "h")).alias("t"))
     first = (F.size("t") - need(F.col("n"), percent) + 1).cast("int")
     sets = sets.filter(F.size("t") >= need(F.col("n"), percent))
-    by = {"rare": F.col("t"), "second": F.transform("t", lambda x: F.struct(F.xxhash64(F.lit(2), x["h"]).alias("k"), x["h"].alias("h"))),
-          "third": F.transform("t", lambda x: F.struct(F.xxhash64(F.lit(3), x["h"]).alias("k"), x["h"].alias("h")))}
-    sets = sets.select("node", "n", F.array_sort(F.transform("t", lambda x: x["h"])).alias("tokens"),
-                       *[F.transform(F.slice(F.array_sort(v), F.lit(1), first), lambda x: x["h"]).alias(k) for k, v in by.items()])
-    return common.staged(sets, "jaccard-sets")
+    hashes = lambda t: F.transform(t, lambda x: x["h"])
+    sets = sets.select("node", "n", F.size("t").alias("m"), F.array_sort(hashes(F.col("t"))).alias("tokens"),
+                       hashes(F.slice(F.array_sort("t"), F.lit(1), first)).alias("rare"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, blocks.histograms(b.column("tokens"))], names=[*b.schema.names, "hist"])
+
+    return common.staged(sets.mapInArrow(run, "node long, n int, m int, tokens array<long>, rare array<long>, hist binary"), "jaccard-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: filters of size and of the two further orders, then the exact count."""
-    side = {s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("second").alias(f"second_{s}"),
-                           F.col("third").alias(f"third_{s}")) for s in "ab"}
-    fit = pairs.join(side["a"], "a").join(side["b"], "b").filter(
-        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b", "n_a", "n_b")
-    full = {s: sets.select(F.col("node").alias(s), F.col("tokens").alias(f"t_{s}")) for s in "ab"}
+    """The pairs (a, b) that are links by the exact count."""
+    full = {s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}")) for s in "ab"}
     both = F.size(F.array_intersect("t_a", "t_b"))
-    return (fit.join(full["a"], "a").join(full["b"], "b").withColumn("both", both)
+    return (pairs.join(full["a"], "a").join(full["b"], "b").withColumn("both", both)
             .filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
 
 
+def fits(n: Column, other: Column, percent: int) -> Column:
+    return 100 * F.least(n, other) >= percent * F.greatest(n, other)
+
+
+def pivot_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every node with that pivot of its lists, in another component, with which it shares most of them."""
+    met = lists.join(groups.select("h", F.explode("p").alias("p")), "h").filter((F.col("label") != F.col("p.label")) & fits(F.col("n"), F.col("p.n"), percent))
+    best = (met.groupBy("node", F.col("p.node").alias("other")).agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("node").agg(F.max_by("other", F.struct("c", "other")).alias("other")))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+
+
+def open_pairs(lists: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """(a, b): the pairs of a list in two components that can be links by their sizes and histograms."""
+    members = (lists.join(groups.select("h", F.col("c").alias("m"), F.col("top.label").alias("big"), (F.col("c") - F.col("top.c")).alias("outside")), "h")
+               .withColumnRenamed("h", "key").join(sets.select("node", F.col("m").alias("held"), "hist"), "node"))
+
+    def kept(c: dict, r: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The pairs of rows as one key of two columns, least node first."""
+        n, m = c["n"][r].astype(np.int64), c["n"][p].astype(np.int64)
+        stay = (c["label"][r] != c["label"][p]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        r, p = r[stay], p[stay]
+        stay = blocks.may_link(c, c, r, p, percent, "held")
+        a, b = c["node"][r[stay]], c["node"][p[stay]]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        c = blocks.arrays(table, {"hist": (np.uint8, blocks.BUCKETS)})
+        order, cuts = blocks.groups(c)
+        found = [np.zeros((0, 2), np.int64)]
+        if c["kind"][0] == blocks.BOTH:  # whole lists
+            c = {k: v[order] for k, v in c.items()}
+            found += [kept(c, r, p) for r, p in blocks.pairs_within(np.diff(cuts))]
+        else:  # one block of a large list
+            own, partners = (np.nonzero(c["kind"] == kind)[0] for kind in (blocks.ROW, blocks.PARTNER))
+            found += [kept(c, np.repeat(own[at:at + blocks.CHUNK], len(partners)), np.tile(partners, len(own[at:at + blocks.CHUNK])))
+                      for at in range(0, len(own), blocks.CHUNK)]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return blocks.compared(members, 0, True, rows // blocks.CELL_ROWS + 1, ["n", "held", "hist"], run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of the edges (a, b): the least node of the component."""
     both = common.staged(edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
@@ -197,39 +240,36 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(node, label) of the nodes that have links; the label is the least node of the component."""
-    lists = common.staged(sets.select(F.explode("rare").alias("h"), "node"), "jaccard-lists")
+    lists = common.staged(sets.select(F.explode("rare").alias("h"), "node", "n").withColumn("label", F.col("node")), "jaccard-lists")
     rows = lists.count()
     labels = sets.select("node", F.col("node").alias("label")).limit(0)
     stuck, turn = False, 0
     while True:
         turn += 1
-        now = lists.select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
-        parts = now.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+        parts = lists.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(turn))).alias("r"))
         # up to PIVOTS pivots a list, from as many shares of its components
         shares = parts.groupBy("h", F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(PIVOTS)).alias("share")).agg(
-            F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"),
-            F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p"))
-        groups = shares.groupBy("h").agg(F.sum("parts").alias("parts"), F.sum("c").alias("c"), F.sum("cc").alias("cc"),
+            F.count(F.lit(1)).alias("parts"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.max(F.struct("c", "label")).alias("top"),
+            F.min_by(F.struct("r.node", "r.n", "label"), F.xxhash64("r.node", F.lit(turn))).alias("p"))
+        groups = shares.groupBy("h").agg(F.sum("parts").alias("parts"), F.sum("c").alias("c"), F.sum("cc").alias("cc"), F.max("top").alias("top"),
                                          F.collect_list("p").alias("p")).filter("parts > 1")
         groups = common.staged(groups, "jaccard-groups")
         still = groups.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("open")).first()["open"]
         if not still:
             return labels
         last = stuck or still <= OPEN_PER_ROW * rows
-        # only lists with nodes of several components stay
-        lists = common.staged(now.join(groups.select("h"), "h"), "jaccard-lists")
-        if last:  # every pair of a list that lies in two components
-            left, right = (lists.select("h", F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
-            pairs = left.join(right, "h").filter("la != lb and a < b").select("a", "b")
-        else:  # every node of a list with the list's pivots
-            pairs = lists.join(groups.select("h", F.explode("p").alias("p")), "h").filter("label != p.label").select(
-                F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-        found = common.staged(verified(pairs.distinct(), sets, percent), "jaccard-links")
-        stuck = found.isEmpty()
-        if not stuck:
+        pairs = open_pairs(lists, groups, sets, percent, rows) if last else pivot_pairs(lists, groups, percent).distinct()
+        pairs = common.staged(pairs, "jaccard-pairs")
+        found = common.staged(verified(pairs, sets, percent), "jaccard-links")
+        links = found.count()
+        if links:
             labels = merged(labels, found)
         if last:
             return labels
+        stuck = links * LITTLE <= pairs.count()
+        # only lists with nodes of several components stay
+        now = lists.join(groups.select("h"), "h", "left_semi").select("h", "node", "n").join(labels, "node", "left")
+        lists = common.staged(now.select("h", "node", "n", F.coalesce("label", "node").alias("label")), "jaccard-lists")
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
