@@ -13,11 +13,11 @@ A set is the distinct word shingles of a text; equal sets are one node (128-bit
 
 Which pairs are compared: in a round every node of a band names its most similar partner in another
 component (of a band of over ``CHUNK`` nodes about that many, other ones every round, stand as partners); the best of a node's partners is
-checked, components are joined, and bands of one component leave.  Rounds end when one joins nothing.  Then every pair of
+checked, components are joined, and bands of one component leave.  Rounds end when at most one of ``LITTLE`` pairs of one is a link.  Then every pair of
 different components that shares a band is compared, members of a band's largest component only with others, and all its survivors
-are checked.  So no pair of a band is left out, while members of one component are not compared again and again.
+that can reach the threshold by the histograms of their full sets (a bound that drops no link) are checked.  So no pair of a band is left out, while members of one component are not compared again and again.
 
-Comparisons run inside tasks on blocks of at most ``CHUNK`` times ``CHUNK`` signatures: small bands share a task, a large band is cut into
+Comparisons run inside tasks on blocks of at most ``CHUNK`` times ``CHUNK`` signatures (:mod:`blocks`): small bands share a task, a large band is cut into
 blocks by hash, and only survivors are rows.  A large band of unlinked nodes costs the square of its nodes in
 comparisons of a few bytes, in as many tasks as there are blocks.
 
@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
-from .jaccard_join import merged, shingles
+from . import blocks, common
+from .jaccard_join import LITTLE, merged, shingles
 
 WORDS, PERCENT = 5, 85
 MINIMA, BANDS, BAND = 256, 24, 4  # minima of a signature; bands and minima of a band
 BATCH, MISS = 32, 1e-6            # minima of a batch; posterior probability below which a pair is pruned
-CHUNK = 512
-CELL_ROWS = 4096                  # rows of small bands that are compared in one group
+CHUNK = blocks.CHUNK
+CELL_ROWS = blocks.CELL_ROWS      # rows of small bands that are compared in one group
 
 MEMBERS = "doc_id long, _th long, _tl int, digest binary, n int, sig binary"
 
@@ -95,7 +95,7 @@ def shared_bands(nodes: DataFrame) -> DataFrame:
 
 
 def full_sets(texts: DataFrame, nodes: DataFrame, bands: DataFrame, n: int) -> DataFrame:
-    """(node, n, tokens) of the nodes that share a band, from the text of one row of each, stored."""
+    """(node, n, tokens, hist) of the nodes that share a band, from the text of one row of each, stored."""
     wanted = nodes.join(bands.select("node").distinct(), "node").select("node", *[F.col(f"rep.{c}").alias("r" + c) for c in ("doc_id", "_th", "_tl")])
     # the list grows with the corpus, so it is never broadcast, whatever its size here
     kept = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rdoc_id")) & (F.col("_th") == F.col("r_th")) & (F.col("_tl") == F.col("r_tl")))
@@ -103,9 +103,11 @@ def full_sets(texts: DataFrame, nodes: DataFrame, bands: DataFrame, n: int) -> D
     def run(batches):
         for b in batches:
             sets = [shingles(t, n).astype(np.int64) for t in b.column("_t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
+            tokens = pa.array(sets, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int32()), tokens, blocks.histograms(tokens)],
+                                             names=["node", "n", "tokens", "hist"])
 
-    sets = kept.dropDuplicates(["node"]).select("node", "_t").mapInArrow(run, "node long, n int, tokens array<long>")
+    sets = kept.dropDuplicates(["node"]).select("node", "_t").mapInArrow(run, "node long, n int, tokens array<long>, hist binary")
     return common.staged(sets, "minhash-sets")
 
 
@@ -150,6 +152,8 @@ def block_pairs(rows: dict, partners: dict, every: bool, percent: int) -> tuple[
         words = rows["sig"].view(np.uint64)[r, :BANDS] == partners["sig"].view(np.uint64)[p, :BANDS]
         stay = words.any(1) & (words.argmax(1) == rows["band"][r])
         r, p, equal = r[stay], p[stay], equal[stay]
+        stay = blocks.may_link(rows, partners, r, p, percent)
+        r, p, equal = r[stay], p[stay], equal[stay]
     else:
         order = np.lexsort((partners["node"][p], -equal, r))
         first = order[np.unique(r[order], return_index=True)[1]] if len(order) else order
@@ -157,42 +161,24 @@ def block_pairs(rows: dict, partners: dict, every: bool, percent: int) -> tuple[
     return rows["node"][r], partners["node"][p], equal
 
 
-ROW, PARTNER, BOTH = 0, 1, 2
-
-
 def compared(rows: DataFrame, turn: int, every: bool, percent: int, cells: int) -> DataFrame:
-    """(a, b, equal) from rows (key, band, node, label, n, sig, m, big, outside) of the open bands."""
-    small = F.col("m") <= CHUNK
-    zero = F.lit(0).cast("long")
-    cell = F.xxhash64("key", "chunk", "block")
-    base = ["key", "band", "node", "label", "big", "n", "sig"]
-    lone = rows.filter(small).select(F.pmod("key", F.lit(cells)).alias("cell"), *base, zero.alias("chunk"), zero.alias("block"), F.lit(BOTH).alias("kind"))
-    large = rows.filter(~small)
-    chunks = F.ceil(F.col("m") / CHUNK)
-    blocks = F.ceil(F.col("outside") / CHUNK) if every else F.lit(1).cast("long")
-    stands = F.col("label") != F.col("big") if every else F.pmod(F.xxhash64("node", F.lit(turn)), F.col("m")) < CHUNK
-    own = large.select(*base, F.pmod(F.xxhash64("node"), chunks).alias("chunk"), F.explode(F.sequence(zero, blocks - 1)).alias("block"), F.lit(ROW).alias("kind"))
-    partners = large.filter(stands).select(*base, F.explode(F.sequence(zero, chunks - 1)).alias("chunk"),
-                                           F.pmod(F.xxhash64("node", F.lit(-1)), blocks).alias("block"), F.lit(PARTNER).alias("kind"))
-    cut = own.unionByName(partners).withColumn("cell", cell)
+    """(a, b, equal) from rows (key, band, node, label, n, sig, m, big, outside; with ``every`` hist) of the open bands."""
+    binary = {"sig": (np.uint16, MINIMA)} | ({"hist": (np.uint8, blocks.BUCKETS)} if every else {})
 
     def run(table: pa.Table) -> pa.Table:
-        c = {k: table.column(k).to_numpy() for k in ("key", "chunk", "block", "kind", "band", "node", "label", "big", "n")}
-        c["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, MINIMA)
-        order = np.lexsort((c["block"], c["chunk"], c["key"]))
-        place = np.stack([c[k][order] for k in ("key", "chunk", "block")])
-        cuts = [0, *(np.nonzero((place[:, 1:] != place[:, :-1]).any(0))[0] + 1).tolist(), len(order)]
+        c = blocks.arrays(table, binary)
+        order, cuts = blocks.groups(c)
         found = []
         for lo, hi in zip(cuts, cuts[1:]):
             at = order[lo:hi]
             kind = c["kind"][at]
-            left, right = at[kind != PARTNER], at[(c["label"][at] != c["big"][at]) if every and kind[0] == BOTH else (kind != ROW)]
+            left, right = at[kind != blocks.PARTNER], at[(c["label"][at] != c["big"][at]) if every and kind[0] == blocks.BOTH else (kind != blocks.ROW)]
             if len(left) and len(right):
                 found.append(block_pairs({k: v[left] for k, v in c.items()}, {k: v[right] for k, v in c.items()}, every, percent))
         a, b, equal = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "equal": pa.array(equal, pa.int32())})
 
-    return lone.unionByName(cut).groupBy("cell").applyInArrow(run, "a long, b long, equal int")
+    return blocks.compared(rows, turn, every, cells, ["band", "n", *binary], run, "a long, b long, equal int", CHUNK)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,17 +202,20 @@ def components(nodes: DataFrame, bands: DataFrame, sets: DataFrame, percent: int
         # bands of one component leave
         bands = common.staged(now.join(state, "key"), "minhash-open")
         rows = bands.join(nodes.select("node", "n", "sig"), "node")
+        if every:
+            rows = rows.join(sets.select("node", "hist"), "node")
         pairs = compared(rows, turn, every, percent, cells)
         if not every:  # the best partner of each node
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = linked(common.staged(pairs, "minhash-pairs"), sets, percent)
-        none = found.isEmpty()
-        if not none:
+        pairs = common.staged(pairs, "minhash-pairs")
+        found = linked(pairs, sets, percent)
+        links = found.count()
+        if links:
             labels = merged(labels, found)
         if every:
             return labels
-        bands, every = bands.select("key", "band", "node"), none
+        bands, every = bands.select("key", "band", "node"), links * LITTLE <= pairs.count()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
