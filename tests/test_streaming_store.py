@@ -282,3 +282,21 @@ def test_chunks_of_huge_files_come_from_many_tasks(spark):
     want = sorted((r.path, r.chunk_number, r.chunk_text) for r in explode_chunks(whole).collect())
     assert tasks > 5 and got == want
     assert len({r.chunk_id for r in rows}) == len(want) and {(r.title, r.author) for r in rows} >= {("Big", "Ann+Co"), ("one line", "Unknown")}
+
+
+def test_search_rows_stay_in_the_task_of_their_chunk(spark):
+    from docquery.operators.search import chunk_masks, keyword_table, pattern_hits, query_masks
+    from docquery.session import broadcast_if_small, value_bytes
+
+    texts = ["Alpha beta gamma", "beta Alpha O'Neil", "gamma delta Beta alpha", "Delta", "alpha gamma'beta", "x Alpha Gamma y Beta"]
+    s = ST.load_contexts(spark, _chunks(spark, *[("ab"[i % 2], str(i), t) for i, t in enumerate(texts)]), _path())
+    queries = spark.createDataFrame([(1, None, ["alpha", "beta", "gamma"]), (2, "a", ["delta"]), (3, None, ["alpha", "o'neil"]),
+                                     (5, "b", ["beta", "gamma", "alpha", "delta"])], "query_id long, context_id string, keywords array<string>")
+    chunks, vocab, grams = s.table("chunks"), s.vocabulary(), s.gram_counts()
+    masks, wild = query_masks(keyword_table(queries), vocab, grams)
+    plan = chunk_masks(broadcast_if_small(masks), wild, chunks, s.postings(), 4)._jdf.queryExecution().executedPlan().toString()
+    # the stored postings are dealt by chunk; no row of a query and a chunk is shuffled
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(chunk_id" in plan
+    whole, halves = (sorted(map(tuple, pattern_hits(queries, chunks, post=s.postings(), vocab=vocab, grams=grams, block_bytes=b).collect()))
+                     for b in (1 << 24, value_bytes(masks)))
+    assert whole == halves and {h[0] for h in whole} == {1, 2, 3, 5}
