@@ -13,8 +13,8 @@ o = ceil(t*n) of its n shingles in the other set.  That gives filters under any
 3. Candidates are drawn in rounds.  In a round every shingle's list names a few pivots, and every node is compared with
    that one of the pivots in other components with which it shares most lists: a pair a node, and large groups of near
    copies connect in a few rounds.  When few open pairs are left, or a round connects little, all pairs of a list that are
-   still in different components are compared inside tasks (:mod:`blocks`) by histograms of the sets, a bound that drops
-   no link; what is left is compared exactly.  No pair is left out, none within a component is spent.
+   still in different components are compared inside tasks (:mod:`blocks`): by histograms of the sets, a bound that drops
+   no link, then exactly.  Only links that connect components leave a task.  No pair is left out, none within a component is spent.
 
 Components by iterated least labels with pointer jumping; every round's tables are written to the shared
 folder.  Memory per task is bounded by texts and by set sizes; hot shingles and hot nodes only meet partial
@@ -44,6 +44,7 @@ QUARTER = 62          # shingles whose hash is below 2**62 (as unsigned 64 bits)
 OPEN_PER_ROW = 1      # open pairs per row of all lists from which on all of them are compared at once
 LITTLE = 20           # a round in which at most one of so many pairs is a link is the last of its kind
 PIVOTS = 3            # pivots of a list in a round
+CELL_TOKENS = 1 << 20 # shingles of the sets that are compared exactly in one cell
 MEMO_WORDS = 300_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -181,35 +182,76 @@ def pivot_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
-def open_pairs(lists: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
-    """(a, b): the pairs of a list in two components that can be links by their sizes and histograms."""
-    members = (lists.join(groups.select("h", F.col("c").alias("m"), F.col("top.label").alias("big"), (F.col("c") - F.col("top.c")).alias("outside")), "h")
-               .withColumnRenamed("h", "key").join(sets.select("node", F.col("m").alias("held"), "hist"), "node"))
+def cell_pairs(c: dict, percent: int) -> np.ndarray:
+    """(i, j): the pairs of rows of a cell in two components that can be links by their sizes and histograms, each pair of nodes once."""
+    order, cuts = blocks.groups(c)
 
-    def kept(c: dict, r: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """The pairs of rows as one key of two columns, least node first."""
+    def kept(r: np.ndarray, p: np.ndarray) -> np.ndarray:
         n, m = c["n"][r].astype(np.int64), c["n"][p].astype(np.int64)
         stay = (c["label"][r] != c["label"][p]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
         r, p = r[stay], p[stay]
         stay = blocks.may_link(c, c, r, p, percent, "held")
-        a, b = c["node"][r[stay]], c["node"][p[stay]]
-        return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)
+        return np.stack([r[stay], p[stay]], 1)
+
+    found = [np.zeros((0, 2), np.int64)]
+    if c["kind"][0] == blocks.BOTH:  # whole lists
+        found += [kept(order[r], order[p]) for r, p in blocks.pairs_within(np.diff(cuts))]
+    else:  # one block of a large list
+        own, partners = (np.nonzero(c["kind"] == kind)[0] for kind in (blocks.ROW, blocks.PARTNER))
+        found += [kept(np.repeat(own[at:at + blocks.CHUNK], len(partners)), np.tile(partners, len(own[at:at + blocks.CHUNK])))
+                  for at in range(0, len(own), blocks.CHUNK)]
+    pairs = np.concatenate(found)
+    nodes = np.sort(c["node"][pairs], axis=1)
+    return pairs[np.unique(nodes, axis=0, return_index=True)[1]]
+
+
+def spanning_links(c: dict, sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs by the exact count, without those whose components earlier ones connect: fewer than there are rows."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    label, n, links = c["label"].tolist(), c["n"].tolist(), []
+    for i, j in pairs.tolist():
+        a, b = root(label[i]), root(label[j])
+        if a != b:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (n[i] + n[j] - both):
+                up[a] = b
+                links.append((i, j))
+    return links
 
-    def run(table: pa.Table) -> pa.Table:
+
+def open_pairs(lists: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """(a, b): links that connect the components of every list that links of its nodes connect.
+
+    Histograms first say which rows of a list have a pair that can be a link; only those bring their sets, and a cell
+    compares its pairs exactly.  Both steps give at most as many rows as they read."""
+    members = (lists.join(groups.select("h", F.col("c").alias("m"), F.col("top.label").alias("big"), (F.col("c") - F.col("top.c")).alias("outside")), "h")
+               .withColumnRenamed("h", "key").join(sets.select("node", F.col("m").alias("held"), "hist"), "node"))
+
+    def with_pairs(table: pa.Table) -> pa.Table:
         c = blocks.arrays(table, {"hist": (np.uint8, blocks.BUCKETS)})
-        order, cuts = blocks.groups(c)
-        found = [np.zeros((0, 2), np.int64)]
-        if c["kind"][0] == blocks.BOTH:  # whole lists
-            c = {k: v[order] for k, v in c.items()}
-            found += [kept(c, r, p) for r, p in blocks.pairs_within(np.diff(cuts))]
-        else:  # one block of a large list
-            own, partners = (np.nonzero(c["kind"] == kind)[0] for kind in (blocks.ROW, blocks.PARTNER))
-            found += [kept(c, np.repeat(own[at:at + blocks.CHUNK], len(partners)), np.tile(partners, len(own[at:at + blocks.CHUNK])))
-                      for at in range(0, len(own), blocks.CHUNK)]
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return blocks.compared(members, 0, True, rows // blocks.CELL_ROWS + 1, ["n", "held", "hist"], run, "a long, b long").distinct()
+        return table.select(["key", "node", "n", "label", "big"]).take(pa.array(np.unique(cell_pairs(c, percent)), pa.int64()))
+
+    kept = blocks.compared(members, 0, True, rows // blocks.CELL_ROWS + 1, ["n", "held", "hist"], with_pairs, "key long, node long, n int, label long, big long")
+    kept = common.staged(kept.distinct(), "jaccard-kept")
+    sizes = kept.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("label") != F.col("big")).alias("outside"))
+    full = kept.join(sizes, "key").join(sets.select("node", F.col("m").alias("held"), "tokens"), "node")
+    held = full.agg(F.sum("held")).first()[0] or 0
+
+    def run(table: pa.Table) -> pa.Table:
+        tokens = table.column("tokens").combine_chunks()
+        c = blocks.arrays(table.drop_columns("tokens").append_column("hist", blocks.histograms(tokens)), {"hist": (np.uint8, blocks.BUCKETS)})
+        values, ends = np.asarray(tokens.flatten()), np.cumsum(np.asarray(tokens.value_lengths()))
+        links = spanning_links(c, np.split(values, ends[:-1]), cell_pairs(c, percent), percent)
+        nodes = np.sort(c["node"][np.array(links, np.int64).reshape(-1, 2)], axis=1)
+        return pa.table({"a": pa.array(nodes[:, 0], pa.int64()), "b": pa.array(nodes[:, 1], pa.int64())})
+
+    return blocks.compared(full, 0, True, held // CELL_TOKENS + 1, ["n", "held", "tokens"], run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

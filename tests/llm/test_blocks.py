@@ -79,3 +79,20 @@ def test_pairs_within_groups():
     group = np.repeat(np.arange(5), sizes)
     want = [(i, j) for i in range(15) for j in range(i + 1, 15) if group[i] == group[j]]
     assert got == want * 3
+
+
+def test_rows_of_the_last_round_do_not_exceed_the_nodes(spark, monkeypatch):
+    # copies that all link: every pair passes the histograms, and the last round comes first
+    monkeypatch.setattr(jaccard_join, "OPEN_PER_ROW", 10 ** 9)
+    sizes = counted(monkeypatch, jaccard_join, "verified")
+    runs, compared = [], blocks.compared
+
+    def spied(*args):
+        out = compared(*args).cache()
+        runs.append((args[0].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(blocks, "compared", spied)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(unlinked_copies(1, copies=60), "doc_id long, text string"))
+    assert {r["component_id"] for r in got.collect()} == {0}
+    assert runs and all(made <= read for read, made in runs) and sum(sizes) < 60 * len(runs)
