@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from itertools import chain
 
 import pyarrow as pa
@@ -33,9 +34,9 @@ from . import common
 from .pieces import Pieces
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 250_000   # states kept per worker; the table is emptied when full
+MAX_STATES = 120_000   # states kept per worker; the table is emptied when full
 MAX_DECODE = 200_000   # decode transitions kept per worker
-MEMO_PARTS = 500_000   # parts of texts whose ids are kept per worker
+MEMO_PARTS = 300_000   # parts of texts whose ids are kept per worker, as bytes
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -187,12 +188,12 @@ class Codec:
 
         self.machine = Transducer(read_ranks(ranks_path))
         split, encode = regex.compile(pattern).findall, self.machine.encode
-        self.pieces = Pieces(lambda s: tuple(chain.from_iterable(encode(p.encode()) for p in split(s))), MEMO_PARTS)
+        self.pieces = Pieces(lambda s: array("I", chain.from_iterable(encode(p.encode()) for p in split(s))).tobytes(), MEMO_PARTS)
         self.decoder = StreamDecoder(self.machine.bytes_of)
         self.digits = {r: str(r) for r in self.machine.bytes_of}
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.pieces.values(text)))
+        return array("I", b"".join(self.pieces.values(text))).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.decoder.feed(ids) + self.decoder.close()

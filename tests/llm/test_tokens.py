@@ -173,3 +173,10 @@ def test_parts_of_the_half_before_are_not_encoded_again():
     told.clear()
     assert "".join(pieces.values("x b c d e f")) == "x b c d e f" and told == ["x", " f"]
     assert len(pieces.memo) <= 4 and len(pieces.old) <= 4
+
+
+def test_kept_parts_are_bytes_and_memory_is_given_back():
+    codec = bpe.Codec(bpe.default_ranks(), bpe.default_pattern())
+    codec.encode("one two three two")
+    assert all(isinstance(v, bytes) and len(v) % 4 == 0 for v in codec.pieces.memo.values())
+    common.give_back()
