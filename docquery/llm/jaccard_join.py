@@ -145,9 +145,10 @@ def reduced_sets(texts: DataFrame, left: DataFrame, n: int, percent: int) -> Dat
     # the list grows with the corpus, so it is never broadcast, whatever its size here
     kept = texts.join(left.select(*[F.col(c).alias("r" + c) for c in ("doc_id", "_th", "_tl")]).hint("merge"),
                       F.col("doc_id").eqNullSafe(F.col("rdoc_id")) & (F.col("_th") == F.col("r_th")) & (F.col("_tl") == F.col("r_tl")))
-    kept = kept.dropDuplicates(["doc_id", "_th", "_tl"])  # rows repeated as a whole
-    rows = emitted(kept, n, None).select("h", "node", "n")  # made twice from one shuffle of the texts
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # rows repeated as a whole go; texts and shared shingles are stored one after the other, so the shuffles of one step at a time are on disk
+    kept = common.staged(kept.dropDuplicates(["doc_id", "_th", "_tl"]).select("_t"), "jaccard-texts")
+    rows = emitted(kept, n, None).select("h", "node", "n")
+    shared = common.staged(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "jaccard-shared")
     sets = rows.join(shared, "h").groupBy("node").agg(F.max("n").alias("n"), F.collect_list(F.struct("df", "h")).alias("t"))
     first = (F.size("t") - need(F.col("n"), percent) + 1).cast("int")
     sets = sets.filter(F.size("t") >= need(F.col("n"), percent))
@@ -239,7 +240,10 @@ def open_pairs(lists: DataFrame, groups: DataFrame, sets: DataFrame, percent: in
 
     kept = blocks.compared(members, 0, True, rows // blocks.CELL_ROWS + 1, ["n", "held", "hist"], with_pairs, "key long, node long, n int, label long, big long")
     kept = common.staged(kept.distinct(), "jaccard-kept")
-    sizes = kept.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("label") != F.col("big")).alias("outside"))
+    sizes = (kept.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("label") != F.col("big")).alias("outside"),
+                                     *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"of{k}") for k in range(2)])
+             # lists left with the same nodes have the same pairs: one of them brings its sets
+             .groupBy("m", "of0", "of1").agg(F.min_by(F.struct("key", "outside"), "key").alias("one")).select("one.*", "m"))
     full = kept.join(sizes, "key").join(sets.select("node", F.col("m").alias("held"), "tokens"), "node")
     held = full.agg(F.sum("held")).first()[0] or 0
 
@@ -347,7 +351,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_th") == F.col("r_th")) & (F.col("_tl") == F.col("r_tl"))
     repeated = keyed.join(marked.filter("stays"), same, "left_semi").groupBy("_id", "_th", "_tl").agg(
         F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
-    return keyed.join(marked, same, "left_anti").select("_row.*").unionByName(repeated.select("_row.*"))
+    # the list grows with the corpus, so it is never broadcast, whatever its size here
+    return keyed.join(marked.hint("merge"), same, "left_anti").select("_row.*").unionByName(repeated.select("_row.*"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
