@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import Pieces
+from .pieces import BatchPieces
 
 MAGIC = b"DACT0001"
 BLOCK = 512               # entries per rank block
 CHUNK_BITS = 8            # bits per chunk; 8 or 16
 ROLL_TOKENS = 8_000_000   # ids per file
+JOINED = 100              # new parts that are encoded as one text
+TEXT_CHARS = 2_000_000    # texts are encoded together up to this length; a longer one is encoded alone
 END_ID = 2                # id appended to each document by the registered query
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -63,35 +65,69 @@ def load_tokenizer(path: str):
 
 
 @functools.cache
-def worker_pieces(path: str) -> Pieces:
+def worker_pieces(path: str) -> BatchPieces:
     """One memo of parts per tokenizer and worker process, kept over its tasks; values are id bytes."""
     tk = load_tokenizer(path)
-    return Pieces(lambda s: np.array(tk.encode(s, add_special_tokens=False).ids, "<u4").tobytes())
+    sizes = np.zeros(1 + max(tk.get_vocab().values()), np.int64)  # bytes of each token: a sign of a byte-level vocabulary is a byte
+    for token, k in tk.get_vocab().items():
+        sizes[k] = len(token)
+
+    def encode(s: str) -> bytes:
+        return np.array(tk.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_many(parts: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(parts), JOINED):
+            some = parts[k:k + JOINED]
+            ids = np.array(tk.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            token_ends, part_ends = np.cumsum(sizes[ids]), np.cumsum([len(s.encode()) for s in some])
+            last = np.searchsorted(token_ends, part_ends)  # of each part, its last token
+            if last[-1] + 1 == len(ids) and (token_ends[last] == part_ends).all():
+                blob, bounds = ids.tobytes(), [0, *(4 * (last + 1)).tolist()]
+                out += [blob[i:j] for i, j in zip(bounds, bounds[1:])]
+            else:  # tokens do not give back these bytes
+                out += [encode(s) for s in some]
+        return out
+
+    return BatchPieces(encode, encode_many)
+
+
+def together(rows: Iterator[tuple], chars: int = TEXT_CHARS) -> Iterator[list[tuple]]:
+    """Runs of (id, text) of bounded length."""
+    some, size = [], 0
+    for row in rows:
+        if some and size + len(row[1]) > chars:
+            yield some
+            some, size = [], 0
+        some.append(row)
+        size += len(row[1])
+    if some:
+        yield some
 
 
 # ---------------------------------------------------------------- codec
 def encode_levels(ids: np.ndarray, bits: int = CHUNK_BITS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(data, bitmap, ranks) of each level."""
     dtype, mask = (np.uint8, 0xFF) if bits == 8 else (np.uint16, 0xFFFF)
-    rest, levels = ids.astype(np.uint64), []
+    rest, levels = ids.astype(np.uint32), []
     while True:
-        more = rest >> np.uint64(bits)
+        more = rest >> np.uint32(bits)
         goes_on = more > 0
         ones = np.add.reduceat(goes_on, np.arange(0, len(rest), BLOCK), dtype=np.int64) if len(rest) else np.zeros(0, np.int64)
         ranks = np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
-        levels.append(((rest & np.uint64(mask)).astype(dtype), np.packbits(goes_on, bitorder="little"), ranks))
+        levels.append(((rest & np.uint32(mask)).astype(dtype), np.packbits(goes_on, bitorder="little"), ranks))
         if not goes_on.any():
             return levels
         rest = more[goes_on]
 
 
 def decode_levels(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bits: int = CHUNK_BITS) -> np.ndarray:
-    out = np.zeros(0, np.uint64)
+    out = np.zeros(0, np.uint32)
     for data, bitmap, _ in reversed(levels):
-        cur = data.astype(np.uint64)
+        cur = data.astype(np.uint32)
         if len(out):
             on = np.unpackbits(bitmap, count=len(data), bitorder="little").astype(bool)
-            cur[on] |= out << np.uint64(bits)
+            cur[on] |= out << np.uint32(bits)
         out = cur
     return out.astype("<u4")
 
@@ -175,13 +211,14 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int | None =
             common.write_file(uri, pack(held, bits))
             return (part, seq, uri, len(held), n)
 
-        for doc_id, text in common.arrow_rows(batches, "doc_id", "text"):
-            ids = np.frombuffer(b"".join(parts.values(text)) + tail, "<u4")
-            held.append((doc_id, ids))
-            n += len(ids)
-            if n >= roll_tokens:
-                rows.append(flush())
-                seq, held, n = seq + 1, [], 0
+        for some in together(common.arrow_rows(batches, "doc_id", "text")):
+            for (doc_id, _), blob in zip(some, parts.many([text for _, text in some])):
+                ids = np.frombuffer(blob + tail, "<u4")
+                held.append((doc_id, ids))
+                n += len(ids)
+                if n >= roll_tokens:
+                    rows.append(flush())
+                    seq, held, n = seq + 1, [], 0
         if held:
             rows.append(flush())
         if rows:
