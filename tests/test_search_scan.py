@@ -86,3 +86,26 @@ def test_places_and_orders_of_terms():
     im, o, full = scan.text_flags("Foo Bar Foo", ["Foo", "Bar", "B?r"], 0b011, 0b100, {})
     assert (im, o, full) == (0b111, [0b110, 0b001, 0b001], False)  # Bar and B?r share their only place
     assert scan.text_flags("Foo Bar Foo", ["Foo", "Bar"], 0b11, 0, {}) == (0b11, [0b10, 0b01], True)
+
+
+def test_only_hit_chunks_are_shuffled_for_their_scores(spark, monkeypatch):
+    from docquery.operators import rerank
+    chunks = spark.createDataFrame([(f"c{i}", f"foo bar{i} baz") for i in range(30)] + [("c3", "foo again")], "chunk_id string, chunk_text string")
+    for name in ("title", "author", "chapter", "page_number", "chunk_number"):
+        chunks = chunks.withColumn(name, F.lit(1))
+    chunks = cut_lineage(chunks)
+    hits = cut_lineage(spark.createDataFrame([(1, 1, "c3"), (1, 2, "c4"), (2, 1, "c4"), (2, 2, "gone")], "query_id int, pos int, chunk_id string"))
+    queries = spark.createDataFrame([(1, "foo"), (2, "bar4 baz")], "query_id int, query_text string")
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(rerank, "cut_lineage", noted)
+    row = lambda r: (r.query_id, r.pos, r.chunk_id, r.page_text, round(r.relevance, 6))
+    few = sorted(map(row, rerank.score_hits(hits, queries, chunks).collect()))
+    assert "LeftSemi" in plans[-1] and "BroadcastHashJoin" in plans[-1]
+    monkeypatch.setattr(rerank, "HIT_IDS", 0)
+    assert sorted(map(row, rerank.score_hits(hits, queries, chunks).collect())) == few and len(few) == 4
+    assert "LeftSemi" not in plans[-1]
