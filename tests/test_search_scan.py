@@ -109,3 +109,22 @@ def test_only_hit_chunks_are_shuffled_for_their_scores(spark, monkeypatch):
     monkeypatch.setattr(rerank, "HIT_IDS", 0)
     assert sorted(map(row, rerank.score_hits(hits, queries, chunks).collect())) == few and len(few) == 4
     assert "LeftSemi" not in plans[-1]
+
+
+def test_single_keywords_make_no_row_of_a_query_and_a_chunk(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"c{i}", "c", f"word{i % 5} Other words here") for i in range(20)], "chunk_id string, context_id string, chunk_text string")
+    s = ST.load_contexts(spark, chunks, f"{checkpoint_dir(spark).rstrip('/')}/scan-{uuid.uuid4().hex}")
+    queries = spark.createDataFrame([(1, "c", ["other"]), (2, "c", ["word3"])], "query_id long, context_id string, keywords array<string>")
+    vocab, grams, plans = s.vocabulary(), s.gram_counts(), []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(search, "cut_lineage", noted)
+    found = search.pattern_hits(queries, s.table("chunks"), post=s.postings(), vocab=vocab, grams=grams, whole=s.whole_chunks(), tiers=(4,))
+    got = sorted((r.query_id, r.rank, r.score, r.chunk_id) for r in found.collect())
+    # Other: F within two edits and capitalised as it stands; word3: all its forms but the upper and the capitalised one
+    assert [g for g in got if g[0] == 1] == [(1, k + 1, 2, c) for k, c in enumerate(["c0", "c1", "c10", "c11"])]
+    assert [g for g in got if g[0] == 2] == [(2, k + 1, 5, c) for k, c in enumerate(["c13", "c18", "c3", "c8"])]
+    assert any("MapInArrow" in p for p in plans) and not any("Generate explode(tokens" in p for p in plans)
